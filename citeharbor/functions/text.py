@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import html as html_entities
+import html as html_module
+import re
 import sys
+from html import entities
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -87,9 +89,18 @@ RARE_ENTITY = rf"&(?:#|(?!(?:{_COMMON_NAMES});)[A-Za-z])"
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+_REFERENCE = re.compile("&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);?")
+
+
+def _reference_char(match: re.Match) -> str:
+    name = match[1] + ";"
+    known = name[0] == "#" or name in entities.html5
+    return html_module.unescape("&" + name) if known else match[0]
+
+
 @F.pandas_udf(T.StringType())
 def _decode_rare_entities(values: pd.Series) -> pd.Series:
-    return values.map(html_entities.unescape, na_action="ignore")
+    return values.map(lambda v: _REFERENCE.sub(_reference_char, v), na_action="ignore")
 
 
 def decode_entities(value: Column | str) -> Column:

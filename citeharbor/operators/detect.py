@@ -24,8 +24,3 @@ def signal_table(articles: DataFrame, text: str = "fulltext", key: str = "seq",
                  patterns: PatternSet = ARCHIVE) -> DataFrame:
     """One row per signal, in reading order within a document."""
     return articles.select(key, F.inline(document_signals(text, patterns)))
-
-
-def spread_documents(articles: DataFrame, partitions: int) -> DataFrame:
-    """Even out row counts before detection when the input comes in few files."""
-    return articles.repartition(partitions)

@@ -8,6 +8,8 @@ from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeharbor.sources.stages import cut
+
 
 def summary_text(datasets: DataFrame) -> DataFrame:
     """``text``: title and snippet of each summary row."""
@@ -28,17 +30,20 @@ def cluster_datasets(datasets: DataFrame, k: int = 8, seed: int = 42,
     return stages.fit(texts).transform(texts).select(*datasets.columns, "cluster")
 
 
-def text_groups(datasets: DataFrame) -> DataFrame:
-    """``icpsr_study_number, text, group_study``: datasets with one text share a group.
+def text_leaders(datasets: DataFrame) -> DataFrame:
+    """``text, group_study, n_datasets``: one row per distinct text.
 
-    The group is named after its smallest dataset number, so exact copies are
+    A group is named after its smallest dataset number, so exact copies are
     compared once and never against each other.
     """
-    named = summary_text(datasets).withColumn("_text_key", F.xxhash64("text"))
-    leaders = named.groupBy("_text_key", "text").agg(
+    return summary_text(datasets).groupBy("text").agg(
         F.min("icpsr_study_number").alias("group_study"), F.count("*").alias("n_datasets"))
-    return named.select("icpsr_study_number", "_text_key", "text").join(
-        leaders, ["_text_key", "text"]).drop("_text_key")
+
+
+def text_groups(datasets: DataFrame) -> DataFrame:
+    """``icpsr_study_number, group_study, n_datasets``: the members of each text group."""
+    return summary_text(datasets).join(text_leaders(datasets), "text").select(
+        "icpsr_study_number", "group_study", "n_datasets")
 
 
 def term_weights(texts: DataFrame, key: str) -> DataFrame:
@@ -69,8 +74,7 @@ def similar_groups(datasets: DataFrame, threshold: float = 0.5,
     first shared term only if that term and the lengths of what follows it can
     still add up to the threshold; only such pairs are scored.
     """
-    groups = text_groups(datasets).select("group_study", "text").distinct()
-    weights = term_weights(groups, "group_study")
+    weights = cut(term_weights(text_leaders(datasets), "group_study"))
     after = (Window.partitionBy("group_study").orderBy("df", "term")
              .rowsBetween(1, Window.unboundedFollowing))
     square = F.col("weight") * F.col("weight")

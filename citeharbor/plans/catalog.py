@@ -15,14 +15,14 @@ from citeharbor.operators import (
     classify, detect, fulltext, linkmap, normalize, pages, references, similarity, stats,
     summary, views)
 from citeharbor.plans import fixtures
-from citeharbor.sources.readers import read_csv, read_table
+from citeharbor.sources.readers import read_csv, read_table, spread
 from citeharbor.sources.stages import shared_folder
 from citeharbor.sources.writers import write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-SOURCE_TERMS = ("eauouon", "thearen")
+SOURCE_TERMS = ("tion", "sch ")
 SEARCH_TEXT = "journal of src1[0-4]?$"
 
 # Another use of the detector: licences and contact data instead of dataset names.
@@ -69,7 +69,7 @@ def q_url_priority(spark, sf_dir):
 
 @query
 def q_inverted_index(spark, sf_dir):
-    documents = read_table(spark, sf_dir, "documents")
+    documents = fixtures.texts(spark, sf_dir)
     tokens = documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
     index = (tokens.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("positions"))
              .groupBy("doc_id").agg(F.map_from_entries(
@@ -79,7 +79,7 @@ def q_inverted_index(spark, sf_dir):
 
 @query
 def q_norm_text(spark, sf_dir):
-    documents = read_table(spark, sf_dir, "documents")
+    documents = fixtures.texts(spark, sf_dir)
     return documents.select("doc_id", text.norm_text("text").alias("normed"))
 
 
@@ -124,27 +124,27 @@ def q_parse_refs(spark, sf_dir):
 
 @query
 def q_sentences(spark, sf_dir):
-    documents = read_table(spark, sf_dir, "documents")
+    documents = fixtures.texts(spark, sf_dir)
     return documents.select(
         "doc_id", F.posexplode(text.sentences("text")).alias("sentence_no", "sentence"))
 
 
 @query
 def q_negative_context(spark, sf_dir):
-    split = fixtures.articles(spark, sf_dir).select(
+    split = fixtures.spread_articles(spark, sf_dir).select(
         "seq", F.posexplode(text.sentences("fulltext")).alias("sentence_no", "sentence"))
     return split.filter(negative_context("sentence"))
 
 
 @query
 def q_html_text(spark, sf_dir):
-    return read_table(spark, sf_dir, "pages").select(
+    return spread(read_table(spark, sf_dir, "pages"), "page_id").select(
         "page_id", text.html_to_text("html").alias("page_text"))
 
 
 @query
 def q_page_metadata(spark, sf_dir):
-    return pages.page_metadata(read_table(spark, sf_dir, "pages"))
+    return pages.page_metadata(spread(read_table(spark, sf_dir, "pages"), "page_id"))
 
 
 # --- acquisition --------------------------------------------------------------------
@@ -188,18 +188,18 @@ def q_csv_roundtrip(spark, sf_dir):
 
 @query
 def q_signals(spark, sf_dir):
-    return detect.signal_table(fixtures.articles(spark, sf_dir))
+    return detect.signal_table(fixtures.spread_articles(spark, sf_dir))
 
 
 @query
 def q_detect_documents(spark, sf_dir):
-    articles = fixtures.articles(spark, sf_dir).select("seq", "fulltext")
+    articles = fixtures.spread_articles(spark, sf_dir).select("seq", "fulltext")
     return detect.with_detection(articles).drop("fulltext")
 
 
 @query
 def q_detect_natural(spark, sf_dir):
-    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = fixtures.texts(spark, sf_dir).select("doc_id", "text")
     return detect.with_detection(documents, "text", NATURAL).drop("text")
 
 
@@ -254,7 +254,7 @@ def q_funnel_stats(spark, sf_dir):
 # --- datasets ---------------------------------------------------------------------------
 
 def _text_detected(spark, sf_dir):
-    return detect.with_detection(fixtures.articles(spark, sf_dir))
+    return detect.with_detection(fixtures.spread_articles(spark, sf_dir))
 
 
 @query
@@ -283,8 +283,7 @@ def q_dataset_similarity(spark, sf_dir):
 @query
 def q_dataset_text_groups(spark, sf_dir):
     datasets = summary.dataset_summary(fixtures.detected_stage(spark, sf_dir))
-    return similarity.text_groups(datasets).select(
-        "icpsr_study_number", "group_study", "n_datasets")
+    return similarity.text_groups(datasets)
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from citeharbor.operators.detect import with_detection
 from citeharbor.operators.references import with_evidence
-from citeharbor.sources.readers import read_table
+from citeharbor.sources.readers import read_table, spread
 from citeharbor.sources.stages import load_or_build, shared_folder
 
 WORK_URL = "https://openalex.org/W"
@@ -91,6 +91,16 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, ARTICLES_SQL, documents=read_table(spark, sf_dir, "documents"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread over the cores for per-row text work."""
+    return spread(read_table(spark, sf_dir, "documents"), "doc_id")
+
+
+def spread_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles, spread over the cores for per-row text work."""
+    return _run(spark, ARTICLES_SQL, documents=texts(spark, sf_dir))
+
+
 def work_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, MAP_SQL, documents=read_table(spark, sf_dir, "documents"))
 
@@ -132,7 +142,7 @@ def nested_works(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles with text and reference evidence and a category, without their text."""
-    found = with_detection(articles(spark, sf_dir)).drop("fulltext")
+    found = with_detection(spread_articles(spark, sf_dir)).drop("fulltext")
     return with_evidence(found, work_map(spark, sf_dir))
 
 

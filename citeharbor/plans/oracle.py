@@ -159,9 +159,9 @@ HTML_TEXT = (
 
 def decoded(value: str) -> str:
     for name, char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"),
-                       ("&gt;", ">"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
+                       ("&gt;", ">"), ("&nbsp;", "\xa0")):
         value = f"replace({value}, '{name}', '{char}')"
-    return value
+    return rf"regexp_replace({value}, '&amp(;|\b)', '&', 'g')"
 
 
 PAGE_TEXT = (
@@ -260,7 +260,7 @@ ORACLE: dict[str, str] = {
         f"SELECT CAST(page_id AS VARCHAR) AS icpsr_id, concat('{STUDY}', page_id) AS icpsr_url, "
         "array_to_string(list_filter(list_transform(string_split_regex("
         + decoded(r"regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 'is')")
-        + f", '</?[a-zA-Z][^>]*>'), lambda x: {strip('x')}), lambda x: x <> ''), '') AS title, "
+        + rf", '</?[a-zA-Z][^>]*>'), lambda x: {strip('x')}), lambda x: x <> ''), '') AS title, "
         r"CAST(CASE WHEN regexp_matches(html, '<(a|span)\b[^>]*>[^<]*investigator', 'i') "
         "THEN 'x' END AS VARCHAR) AS creators, "
         r"CAST(CASE WHEN regexp_matches(html, '\b(badge|subject-list)\b') THEN 'x' END AS VARCHAR) "

@@ -74,3 +74,15 @@ def read_work_map(spark: SparkSession, path: str, kind: str = "parquet") -> Data
 
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
+
+
+def spread(table: DataFrame, key: str, tasks_per_core: int = 2) -> DataFrame:
+    """Even out a scan that comes in fewer pieces than the cluster has cores.
+
+    Meant for a plain scan of wide text before per-row work; a scan with enough
+    pieces, the normal case at scale, is returned as it is and not shuffled.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(tasks_per_core * cores, key)

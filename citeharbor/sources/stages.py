@@ -44,3 +44,9 @@ def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
         return stored
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame read from a checkpoint in the shared folder: computed once, reused often."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
