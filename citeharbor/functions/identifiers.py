@@ -21,8 +21,6 @@ UNRELATED = "not_icpsr_related"
 DATA_DOCUMENT = "icpsr_data_doc"
 RESEARCH = "research_article_using_icpsr"
 
-_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
-
 
 def clean_doi(doi: Column | str) -> Column:
     """Trim and drop a resolver prefix, keeping the case of the rest."""
@@ -34,18 +32,19 @@ def find_doi(text: Column | str) -> Column:
     return non_empty(F.regexp_extract(as_column(text), ANY_DOI.replace(r"\d", r"\p{Nd}"), 0))
 
 
+def _decimal(value: Column | str) -> Column:
+    return strip(as_column(value).cast("string")).try_cast("decimal(38,6)")
+
+
 def to_number(value: Column | str) -> Column:
     """Numeric value of a string or number; anything unparsable is NULL."""
-    text = strip(as_column(value).cast("string"))
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    return _decimal(value).cast("double")
 
 
 def study_key(value: Column | str) -> Column:
     """Dataset number as BIGINT, so that 08079, 8079 and 8079.0 are one dataset."""
-    text = strip(as_column(value).cast("string"))
-    number = to_number(value)
-    whole = (number == F.floor(number).cast("double")) & (F.abs(number) < F.lit(2.0**63))
-    return F.coalesce(text.try_cast("bigint"), F.when(whole, number.try_cast("bigint")))
+    number = _decimal(value)
+    return F.when(number % 1 == 0, number.try_cast("bigint"))
 
 
 def study_link(value: Column | str) -> Column:

@@ -103,18 +103,27 @@ def _decode_rare_entities(values: pd.Series) -> pd.Series:
     return values.map(lambda v: _REFERENCE.sub(_reference_char, v), na_action="ignore")
 
 
-def decode_entities(value: Column | str) -> Column:
-    """Decode character references.
-
-    The common names are replaced in the JVM. Only rows with another reference
-    are sent to Python: all others pass a NULL through the Arrow batch.
-    """
+def decode_common(value: Column | str) -> Column:
+    """Decode the common character references; exact when no other one occurs."""
     value = as_column(value)
-    rare = value.rlike(RARE_ENTITY)
-    plain = value
     for name, char in COMMON_ENTITIES:
-        plain = F.replace(plain, F.lit(name), F.lit(char))
-    return F.when(rare, _decode_rare_entities(F.when(rare, value))).otherwise(plain)
+        value = F.replace(value, F.lit(name), F.lit(char))
+    return value
+
+
+def has_rare_entity(value: Column | str) -> Column:
+    return as_column(value).rlike(RARE_ENTITY)
+
+
+def decode_all(value: Column | str, rare: Column | str) -> Column:
+    """Decode every character reference.
+
+    ``rare`` flags the rows that need Python; all others pass a NULL through the
+    Arrow batch and are decoded in the JVM.
+    """
+    value, rare = as_column(value), as_column(rare)
+    return F.when(rare, _decode_rare_entities(F.when(rare, value))).otherwise(
+        decode_common(value))
 
 
 def drop_hidden(html: Column | str) -> Column:
@@ -122,19 +131,26 @@ def drop_hidden(html: Column | str) -> Column:
     return F.regexp_replace(as_column(html), HIDDEN, "\n")
 
 
-def html_to_text(html: Column | str) -> Column:
-    """Visible text of a page: one trimmed, non-blank line per text node line.
+def bare_text(html: Column | str) -> Column:
+    """A page without markup, its character references still encoded."""
+    return F.regexp_replace(
+        F.regexp_replace(drop_hidden(html), TAG, "\n"), DECLARATION, "\n")
 
-    NULL when the page has no visible text.
-    """
-    bare = F.regexp_replace(F.regexp_replace(drop_hidden(html), TAG, "\n"), DECLARATION, "\n")
+
+def clean_lines(value: Column | str) -> Column:
+    """Trimmed non-blank lines; NULL when there is none."""
     lines = F.filter(
-        F.transform(F.split(decode_entities(bare), LINE_BREAK), strip), lambda x: x != "")
-    return non_empty(F.array_join(lines, "\n"))
+        F.transform(F.split(as_column(value), LINE_BREAK), strip), lambda x: x != "")
+    return non_empty(let(lines, lambda x: F.array_join(x, "\n")))
+
+
+def text_nodes(fragment: Column | str) -> Column:
+    """An HTML fragment with a NUL character in place of each tag."""
+    return F.regexp_replace(as_column(fragment), TAG, "\u0000")
 
 
-def element_text(fragment: Column | str, separator: str = "") -> Column:
-    """Text of an HTML fragment: each text node trimmed, joined by ``separator``."""
-    nodes = decode_entities(F.regexp_replace(as_column(fragment), TAG, "\u0000"))
-    kept = F.filter(F.transform(F.split(nodes, "\u0000"), strip), lambda x: x != "")
+def join_nodes(nodes: Column | str, separator: str = "") -> Column:
+    """Trimmed, non-blank text nodes joined by ``separator``."""
+    kept = F.filter(
+        F.transform(F.split(as_column(nodes), "\u0000"), strip), lambda x: x != "")
     return F.array_join(kept, separator)

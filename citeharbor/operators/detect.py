@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from citeharbor.functions.detection import RESULT_FIELDS, detect, document_signals
 from citeharbor.functions.patterns import ARCHIVE, PatternSet
+from citeharbor.operators.binding import bind
 
 
 def with_detection(articles: DataFrame, text: str = "fulltext",
                    patterns: PatternSet = ARCHIVE) -> DataFrame:
     """Add the seven text-detection columns.
 
-    The result struct is unpacked by a generator: later filters on its fields
-    stay above it, so the patterns run once per document. Row-local, no shuffle.
+    The patterns run once per document, whatever is filtered later. Row-local.
     """
     kept = [c for c in articles.columns if c not in RESULT_FIELDS]
-    return articles.select(*kept, F.inline_outer(F.array(detect(text, patterns))))
+    return bind(articles, detect(text, patterns), kept)
 
 
 def signal_table(articles: DataFrame, text: str = "fulltext", key: str = "seq",

@@ -6,28 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeharbor.functions.core import non_empty, strip
-from citeharbor.functions.text import html_to_text
+from citeharbor.operators.pages import with_page_text
 
 
-def page_texts(pages: DataFrame, order: str = "page_id") -> DataFrame:
-    """``url, text`` with one row per URL; the first copy of a page counts.
+def first_copies(pages: DataFrame, page_id: str = "page_id") -> DataFrame:
+    """``url, page_id`` of the first copy of each page; only these two columns move."""
+    return pages.groupBy("url").agg(F.min(page_id).alias(page_id))
 
-    Copies of a page are reduced before the shuffle and parsed after it, so the
-    parser runs once per URL.
-    """
-    first = pages.groupBy("url").agg(F.min_by("html", order).alias("html"))
-    return (first.select("url", html_to_text("html").alias("text"))
-            .filter(F.col("text").isNotNull()))
+
+def page_texts(pages: DataFrame, wanted: DataFrame, page_id: str = "page_id") -> DataFrame:
+    """``page_id, text`` of the wanted pages that hold text, parsed once each."""
+    chosen = pages.join(wanted.select(page_id), page_id, "left_semi")
+    return with_page_text(chosen.select(page_id, "html")).filter(F.col("text").isNotNull())
 
 
 def attach_fulltext(articles: DataFrame, pages: DataFrame, key: str = "seq",
-                    order: str = "page_id") -> DataFrame:
+                    page_id: str = "page_id") -> DataFrame:
     """Add ``fulltext``: page of ``fulltext_url``, page of ``record_url``, abstract, ``""``.
 
-    The candidate URLs become a narrow table without NULLs, so missing URLs
-    never meet in one join partition. Pages nobody points to are dropped before
-    they are parsed; a URL shared by very many articles is one page row on the
-    small side of a join that can be split at run time.
+    Candidate URLs are resolved to page ids on narrow tables first; missing URLs
+    are gone by then and copies of a page are reduced to their smallest id
+    before any shuffle. The HTML itself moves once, by its unique id, and only
+    for pages that some article points to.
     """
     slots = [c for c in ("fulltext_url", "record_url") if c in articles.columns]
     candidates = (
@@ -35,8 +35,8 @@ def attach_fulltext(articles: DataFrame, pages: DataFrame, key: str = "seq",
             F.struct(F.lit(i).alias("slot"), non_empty(c).alias("url"))
             for i, c in enumerate(slots)])).alias("c"))
         .select(key, "c.slot", "c.url").filter(F.col("url").isNotNull()))
-    wanted = pages.join(candidates.select("url"), "url", "left_semi")
-    found = (candidates.join(page_texts(wanted, order), "url")
+    resolved = candidates.join(first_copies(pages, page_id), "url").select(key, "slot", page_id)
+    found = (resolved.join(page_texts(pages, resolved, page_id), page_id)
              .groupBy(key).agg(F.min_by("text", "slot").alias("_page_text")))
     abstract = (F.when(strip("abstract_text") != "", F.col("abstract_text"))
                 if "abstract_text" in articles.columns else F.lit(None).cast("string"))

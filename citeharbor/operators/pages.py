@@ -1,4 +1,4 @@
-"""Metadata of dataset landing pages."""
+"""Text of web pages and metadata of dataset landing pages."""
 
 from __future__ import annotations
 
@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from citeharbor.functions.core import WHITESPACE, non_empty
 from citeharbor.functions.identifiers import STUDY_PAGE, find_doi
-from citeharbor.functions.text import TAG_BODY, drop_hidden, element_text
+from citeharbor.functions.text import (
+    TAG_BODY, bare_text, clean_lines, decode_all, drop_hidden, has_rare_entity, join_nodes,
+    text_nodes)
+from citeharbor.operators.binding import bind
 from citeharbor.schemas import NESTED_PAGE_FIELDS
 
 # Workers need no copy of this package: its Python helpers travel with the task.
@@ -117,11 +120,28 @@ def _parse_nested(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             [_nested_fields(h) for h in batch], columns=["subjects", "description", "creators"])
 
 
-def page_title(html: Column | str) -> Column:
-    """Text of the first ``h1``; NULL when the page has none."""
-    heading = F.regexp_extract(
+def with_decoded(df: DataFrame, encoded: Column, name: str) -> DataFrame:
+    """Add ``name``: an encoded text column with all character references decoded."""
+    bound = bind(df, F.struct(encoded.alias("_encoded")))
+    flagged = bound.withColumn("_rare", has_rare_entity("_encoded"))
+    return flagged.withColumn(name, decode_all("_encoded", "_rare")).drop("_encoded", "_rare")
+
+
+def with_page_text(pages: DataFrame, html: str = "html", name: str = "text") -> DataFrame:
+    """Replace ``html`` by the visible text of the page, NULL when there is none.
+
+    The page is stripped of markup, decoded and cleaned in steps that are each
+    computed once, whatever is filtered later.
+    """
+    kept = [c for c in pages.columns if c not in (html, name)]
+    decoded = with_decoded(pages, bare_text(html), "_decoded")
+    return bind(decoded, F.struct(clean_lines("_decoded").alias(name)), kept)
+
+
+def heading(html: Column | str) -> Column:
+    """Markup of the first ``h1`` element, empty when the page has none."""
+    return F.regexp_extract(
         drop_hidden(html), rf"(?is)<h1\b({TAG_BODY})>(.*?)(?:</h1\s*>|\z)", 0)
-    return F.when(heading != "", element_text(heading))
 
 
 def page_metadata(pages: DataFrame, key: Column | str = "page_id", html: str = "html",
@@ -133,12 +153,13 @@ def page_metadata(pages: DataFrame, key: Column | str = "page_id", html: str = "
     the others hand a NULL to Python.
     """
     number = (F.col(key) if isinstance(key, str) else key).cast("string")
-    nested = _parse_nested(F.when(F.col(html).rlike(NEEDS_PARSER), F.col(html)))
-    parsed = pages.select(
-        number.alias("icpsr_id"), F.concat(F.lit(base), number).alias("icpsr_url"),
-        page_title(html).alias("title"), find_doi(html).alias("doi"), nested.alias("n"))
+    source = pages.select(number.alias("icpsr_id"), F.col(html).alias("html"))
+    titled = with_decoded(source, text_nodes(heading("html")), "_heading")
+    parsed = titled.withColumn(
+        "n", _parse_nested(F.when(F.col("html").rlike(NEEDS_PARSER), F.col("html"))))
     return parsed.select(
-        "icpsr_id", "icpsr_url", "title",
+        "icpsr_id", F.concat(F.lit(base), "icpsr_id").alias("icpsr_url"),
+        F.when(F.col("_heading") != "", join_nodes("_heading")).alias("title"),
         non_empty(F.array_join("n.creators", "; ")).alias("creators"),
         non_empty(F.array_join("n.subjects", "; ")).alias("subjects"),
-        F.col("n.description").alias("description"), "doi")
+        F.col("n.description").alias("description"), find_doi("html").alias("doi"))

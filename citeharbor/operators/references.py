@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from citeharbor.functions.core import non_empty
 from citeharbor.functions.nested import parse_references
+from citeharbor.functions.patterns import ARCHIVE, PatternSet
 from citeharbor.operators.classify import with_category
+from citeharbor.operators.detect import with_detection
 
 REFERENCE_FIELDS = ("ref_has_icpsr", "ref_icpsr_work_ids", "ref_icpsr_dois",
                     "ref_icpsr_study_numbers")
@@ -72,20 +74,34 @@ def reference_hits(articles: DataFrame, work_map: DataFrame, key: str = "seq",
 
 
 def with_references(articles: DataFrame, work_map: DataFrame | None, key: str = "seq",
-                    map_order: str = "seq") -> DataFrame:
-    """Add the four reference columns; without references or a map nothing matches."""
+                    map_order: str = "seq", citations: DataFrame | None = None) -> DataFrame:
+    """Add the four reference columns; without references or a map nothing matches.
+
+    ``citations`` is where the reference cells are read from. Pass the table as
+    it was before text detection, so that branch of the plan has no detection.
+    """
     articles = articles.drop(*REFERENCE_FIELDS)
-    if work_map is None or "referenced_works" not in articles.columns:
+    citations = articles if citations is None else citations
+    if work_map is None or "referenced_works" not in citations.columns:
         return articles.withColumns({
             "ref_has_icpsr": F.lit(False), "ref_icpsr_work_ids": F.lit(""),
             "ref_icpsr_dois": F.lit(""), "ref_icpsr_study_numbers": F.lit("")})
-    hits = reference_hits(articles, work_map, key, map_order)
+    hits = reference_hits(citations, work_map, key, map_order)
     return articles.join(hits, key, "left").withColumns({
         "ref_has_icpsr": F.coalesce("ref_has_icpsr", F.lit(False)),
         **{c: F.coalesce(c, F.lit("")) for c in REFERENCE_FIELDS[1:]}})
 
 
 def with_evidence(articles: DataFrame, work_map: DataFrame | None, key: str = "seq",
-                  **category_options) -> DataFrame:
-    """Reference evidence and category on top of a text-detected table."""
-    return with_category(with_references(articles, work_map, key), **category_options)
+                  text: str = "fulltext", patterns: PatternSet = ARCHIVE,
+                  keep_text: bool = True, **category_options) -> DataFrame:
+    """Text evidence, reference evidence and category of every article.
+
+    Detection runs before the join, row by row; without ``keep_text`` the text
+    itself never enters a shuffle.
+    """
+    found = with_detection(articles, text, patterns)
+    if not keep_text:
+        found = found.drop(text)
+    return with_category(
+        with_references(found, work_map, key, citations=articles), **category_options)

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 65_536
+from citeharbor.sources.stages import cut
+
+BUCKET_BITS = 16
 
 
 def _running_total(counts: DataFrame, bucket: str, levels: int) -> DataFrame:
     """``bucket, offset``: rows in all earlier buckets.
 
     Buckets are themselves bucketed, level by level, so each window partition
-    holds at most ``BUCKET_ROWS`` buckets.
+    holds at most ``2**BUCKET_BITS`` buckets.
     """
     earlier = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     if levels == 0:
         return counts.select(bucket, F.coalesce(F.sum("n").over(
             earlier.partitionBy(F.lit(0))), F.lit(0)).alias("offset"))
-    group = F.floor(F.col(bucket) / BUCKET_ROWS).cast("bigint")
-    grouped = counts.withColumn("_group", group)
+    grouped = counts.withColumn("_group", F.shiftright(bucket, BUCKET_BITS))
     upper = _running_total(
         grouped.groupBy("_group").agg(F.sum("n").alias("n")), "_group", levels - 1)
     inner = grouped.withColumn("_inner", F.coalesce(
@@ -31,14 +32,13 @@ def _running_total(counts: DataFrame, bucket: str, levels: int) -> DataFrame:
 def with_row_id(df: DataFrame, order: str = "seq", name: str = "row_id") -> DataFrame:
     """Add the 0-based position of each row in ``order``, a unique non-NULL integer.
 
-    ``order`` is cut into ranges of ``BUCKET_ROWS`` values. A range holds at
+    ``order`` is cut into ranges of ``2**BUCKET_BITS`` values. A range holds at
     most that many rows, so ranges are numbered independently and shifted by the
     row count of all earlier ranges. Reads ``df`` twice: pass a stored table.
     """
-    bucket = F.floor(F.col(order) / BUCKET_ROWS).cast("bigint")
-    ranged = df.withColumn("_bucket", bucket)
-    offsets = _running_total(
-        ranged.groupBy("_bucket").agg(F.count("*").alias("n")), "_bucket", levels=2)
+    ranged = df.withColumn("_bucket", F.shiftright(F.col(order).cast("bigint"), BUCKET_BITS))
+    counts = cut(ranged.groupBy("_bucket").agg(F.count("*").alias("n")))
+    offsets = _running_total(counts, "_bucket", levels=2)
     local = F.row_number().over(Window.partitionBy("_bucket").orderBy(order)) - 1
     return (ranged.withColumn("_local", local).join(offsets, "_bucket")
             .withColumn(name, F.col("_local") + F.col("offset"))

@@ -138,8 +138,8 @@ def q_negative_context(spark, sf_dir):
 
 @query
 def q_html_text(spark, sf_dir):
-    return spread(read_table(spark, sf_dir, "pages"), "page_id").select(
-        "page_id", text.html_to_text("html").alias("page_text"))
+    source = spread(read_table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    return pages.with_page_text(source, name="page_text")
 
 
 @query

@@ -7,7 +7,6 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeharbor.operators.detect import with_detection
 from citeharbor.operators.references import with_evidence
 from citeharbor.sources.readers import read_table, spread
 from citeharbor.sources.stages import load_or_build, shared_folder
@@ -142,8 +141,8 @@ def nested_works(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles with text and reference evidence and a category, without their text."""
-    found = with_detection(spread_articles(spark, sf_dir)).drop("fulltext")
-    return with_evidence(found, work_map(spark, sf_dir))
+    return with_evidence(
+        spread_articles(spark, sf_dir), work_map(spark, sf_dir), keep_text=False)
 
 
 def detected_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
