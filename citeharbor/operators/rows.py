@@ -20,12 +20,13 @@ def _running_total(counts: DataFrame, bucket: str, levels: int) -> DataFrame:
     if levels == 0:
         return counts.select(bucket, F.coalesce(F.sum("n").over(
             earlier.partitionBy(F.lit(0))), F.lit(0)).alias("offset"))
-    grouped = counts.withColumn("_group", F.shiftright(bucket, BUCKET_BITS))
+    group = f"_group{levels}"
+    grouped = counts.withColumn(group, F.shiftright(bucket, BUCKET_BITS))
     upper = _running_total(
-        grouped.groupBy("_group").agg(F.sum("n").alias("n")), "_group", levels - 1)
+        grouped.groupBy(group).agg(F.sum("n").alias("n")), group, levels - 1)
     inner = grouped.withColumn("_inner", F.coalesce(
-        F.sum("n").over(earlier.partitionBy("_group")), F.lit(0)))
-    return (inner.join(upper, "_group")
+        F.sum("n").over(earlier.partitionBy(group)), F.lit(0)))
+    return (inner.join(upper, group)
             .select(bucket, (F.col("_inner") + F.col("offset")).alias("offset")))
 
 

@@ -16,6 +16,7 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with doubled quotes; an empty string is read back as NULL."""
     options = {k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}
     df.write.mode("overwrite").options(**options).csv(path)
 
