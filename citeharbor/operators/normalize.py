@@ -18,11 +18,13 @@ FIRST_YEAR, LAST_YEAR = 2000, 2024
 
 def source_filter(works: DataFrame, terms: Sequence[str] = SEARCH_TERMS,
                   first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR,
-                  text_columns: Sequence[str] = ("title", "abstract_text")) -> DataFrame:
+                  text_columns: Sequence[str] = ("title", "abstract_text"),
+                  page_size: int | None = None, pages: int | None = None) -> DataFrame:
     """Open-access works of the given years that mention one of the terms.
 
     Every predicate is a plain column test, so the flag and year tests reach
-    the Parquet reader.
+    the Parquet reader. ``page_size`` and ``pages`` together limit a request, as
+    a source that answers in pages would; by default all works are kept.
     """
     kept = works.filter(
         F.col("is_oa") & F.col("publication_year").between(first_year, last_year))
@@ -33,7 +35,7 @@ def source_filter(works: DataFrame, terms: Sequence[str] = SEARCH_TERMS,
             for term in terms:
                 hit = hit | text.contains(term.lower())
         kept = kept.filter(hit)
-    return kept
+    return kept if page_size is None or pages is None else kept.limit(page_size * pages)
 
 
 def fulltext_url(pdf: Column, landing: Column, oa_status: Column, oa_url: Column) -> Column:

@@ -48,11 +48,11 @@ def matched_edges(edges: DataFrame, works: DataFrame) -> DataFrame:
 def matched_pairs(edges: DataFrame, works: DataFrame, key: str) -> DataFrame:
     """One row per (citing work, mapped work) with the number of citations.
 
-    The pairs are counted before the join, so repeated edges never travel, and
+    The join drops all edges to unmapped works before anything is grouped, and
     nothing is gathered per citing work.
     """
-    counted = edges.groupBy(key, "work_id").agg(F.count("*").alias("n_refs"))
-    return counted.join(works, "work_id").select(key, "work_id", "doi", "study", "n_refs")
+    return (matched_edges(edges, works).groupBy(key, "work_id", "doi", "study")
+            .agg(F.count("*").alias("n_refs")))
 
 
 def reference_hits(articles: DataFrame, work_map: DataFrame, key: str = "seq",

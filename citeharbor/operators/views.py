@@ -16,7 +16,7 @@ from citeharbor.functions.identifiers import (
     DATA_DOCUMENT, RESEARCH, STUDY_PAGE, doi_link, study_key, study_link, to_number)
 from citeharbor.functions.labels import dataset_label, row_label, year_range
 from citeharbor.operators.rows import with_row_id
-from citeharbor.schemas import pick_columns
+from citeharbor.schemas import VIEW_COLUMNS, pick_columns, with_optional
 
 SEARCH_COLUMNS = ("title", "doi", "authors", "journal")
 ARTICLE_TYPES = {"research": RESEARCH, "data_doc": DATA_DOCUMENT}
@@ -76,23 +76,25 @@ def overview(articles: DataFrame) -> DataFrame:
     """One row of headline numbers over works with an identified dataset.
 
     Rows are first reduced to (journal, dataset, category) groups, on which the
-    two distinct counts are cheap.
+    two distinct counts are cheap. A table without categories counts every work
+    as research in the second part and none in the first.
     """
-    groups = articles.filter("has_dataset_link").groupBy(
-        "journal", "study_norm", "icpsr_work_category").agg(
-            F.count("*").alias("n"),
-            F.min(to_number("year")).alias("first"), F.max(to_number("year")).alias("last"))
-    research = F.col("icpsr_work_category") == RESEARCH
-    documents = F.col("icpsr_work_category") == DATA_DOCUMENT
-
-    def total(condition: Column | None = None) -> Column:
-        n = F.col("n") if condition is None else F.when(condition, F.col("n"))
-        return F.coalesce(F.sum(n), F.lit(0)).cast("bigint")
+    known = "icpsr_work_category" in articles.columns
+    linked = with_optional(articles.filter("has_dataset_link"), VIEW_COLUMNS)
+    groups = linked.groupBy("journal", "study_norm", "icpsr_work_category").agg(
+        F.count("*").alias("n"),
+        F.min(to_number("year")).alias("first"), F.max(to_number("year")).alias("last"))
+    category = F.col("icpsr_work_category")
+    labelled = category == RESEARCH
+    research = labelled if known else F.lit(True)
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("bigint")
 
     return groups.agg(
-        total().alias("n_identified"),
-        total(research).alias("n_research_identified"),
-        total(documents).alias("n_docs_identified"),
+        total(F.lit(True)).alias("n_identified"),
+        total(labelled).alias("n_research_identified"),
+        total(category == DATA_DOCUMENT).alias("n_docs_identified"),
         total(research).alias("n_research_linked"),
         F.count_distinct(F.when(research, F.col("journal"))).alias("n_journals_linked"),
         F.count_distinct(F.when(research, F.col("study_norm"))).alias("n_datasets_linked"),
@@ -156,15 +158,21 @@ def article_table(articles: DataFrame, order: str = "seq", **filters) -> DataFra
 
 
 def filter_counts(articles: DataFrame, **filters) -> DataFrame:
-    """The same counts for all works and for the filtered ones, in one scan."""
+    """The same counts for all works and for the filtered ones, in one scan.
+
+    A count whose column is absent is left out.
+    """
     chosen = article_condition(articles.columns, **filters)
+    category = F.col("icpsr_work_category")
     flags = {
-        "articles": F.lit(True),
-        "hits": F.col("has_icpsr"),
-        "linked": F.col("has_dataset_link"),
-        "research": F.col("icpsr_work_category") == RESEARCH,
-        "data_docs": F.col("icpsr_work_category") == DATA_DOCUMENT,
+        "articles": (None, F.lit(True)),
+        "hits": ("has_icpsr", F.col("has_icpsr")),
+        "linked": ("has_dataset_link", F.col("has_dataset_link")),
+        "research": ("icpsr_work_category", category == RESEARCH),
+        "data_docs": ("icpsr_work_category", category == DATA_DOCUMENT),
     }
+    flags = {name: flag for name, (column, flag) in flags.items()
+             if column is None or column in articles.columns}
     return articles.withColumn("_chosen", chosen).agg(
         *[F.count_if(flag).alias(f"total_{name}") for name, flag in flags.items()],
         *[F.count_if(F.col("_chosen") & flag).alias(f"filtered_{name}")
@@ -174,7 +182,7 @@ def filter_counts(articles: DataFrame, **filters) -> DataFrame:
 def article_detail(table: DataFrame, row_id: int | None = None) -> DataFrame:
     """Detail card of one numbered work, or of every work."""
     rows = table if row_id is None else table.filter(F.col("row_id") == row_id).limit(1)
-    return rows.select(
+    return with_optional(rows, VIEW_COLUMNS).select(
         "row_id", row_label("row_id", "title").alias("label"),
         F.coalesce("title", F.lit("")).alias("title"),
         doi_link("doi").alias("doi_url"), "journal", "icpsr_study_number",

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from citeharbor import schemas
 from citeharbor.functions.patterns import ARCHIVE, PatternSet
-from citeharbor.operators.classify import detected_subset
+from citeharbor.operators.classify import detected_subset, with_category
+from citeharbor.operators.detect import with_detection
 from citeharbor.operators.fulltext import attach_fulltext
 from citeharbor.operators.linkmap import build_work_map
 from citeharbor.operators.normalize import dedupe_by_doi, flatten_works
-from citeharbor.operators.references import with_evidence
+from citeharbor.operators.references import with_evidence, with_references
 from citeharbor.operators.similarity import cluster_datasets
 from citeharbor.operators.stats import funnel_stats
 from citeharbor.operators.summary import dataset_summary
@@ -85,14 +86,17 @@ def run_detection(spark: SparkSession, layout: Layout, works: DataFrame, pages:
     derived from the stored table, not from the plan that built it.
     """
     stored = usable_stage(spark, layout.detection, "fulltext")
+    work_map = readers.read_work_map(spark, layout.work_map)
     if stored is None:
-        articles = attach_fulltext(
-            build_articles(spark, layout, works, with_csv=with_csv), pages)
+        # Citations join the narrow table; the text then joins on the same key, moves
+        # that once, and the rest is row by row.
+        articles = with_references(
+            build_articles(spark, layout, works, with_csv=with_csv), work_map)
+        found = with_category(with_detection(attach_fulltext(articles, pages), patterns=patterns))
         target = layout.detection
     else:
-        articles, target = stored, f"{layout.detection}_next"
-    work_map = readers.read_work_map(spark, layout.work_map)
-    found = with_evidence(articles, work_map, patterns=patterns)
+        found = with_evidence(stored, work_map, patterns=patterns)
+        target = f"{layout.detection}_next"
     writers.write_table(found, target)
     if target != layout.detection:
         # A table cannot be overwritten while it is being read.

@@ -59,6 +59,12 @@ SIGNALS = _schema(
     seq=LONG, sentence_no=INT, signal_no=INT, signal_type=STRING, doi=STRING,
     study_number=STRING, score=INT, snippet=STRING)
 
+# What the report views read; absent columns count as NULL there.
+VIEW_COLUMNS = _schema(
+    title=STRING, doi=STRING, year=INT, journal=STRING, icpsr_study_number=STRING,
+    study_norm=LONG, detection_score=INT, signal_type=STRING, snippet=STRING,
+    icpsr_work_category=STRING)
+
 NESTED_PAGE_FIELDS = _schema(
     subjects=T.ArrayType(STRING), description=STRING, creators=T.ArrayType(STRING))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeharbor.sources.readers import CSV_OPTIONS
+from citeharbor.sources.stages import cut
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -29,7 +30,11 @@ def write_table(df: DataFrame, path: str, with_csv: bool = False) -> None:
 
 
 def write_if_any(df: DataFrame, path: str, with_csv: bool = False) -> bool:
-    """Write unless the table is empty; tells whether it was written."""
+    """Write unless the table is empty; tells whether it was written.
+
+    Meant for small results: the rows are computed once and kept for both steps.
+    """
+    df = cut(df)
     if df.isEmpty():
         return False
     write_table(df, path, with_csv)

@@ -146,6 +146,15 @@ def test_tables_without_optional_columns(spark):
     assert views.research_articles(bare).count() == 1
     assert views.data_documents(bare).count() == 0
     assert views.filter_articles(bare, only_hits=True, year_min=1, query="T").count() == 1
+    assert views.overview(bare).first()["n_identified"] == 0
+    assert views.filter_counts(bare, query="x").first().asDict() == {
+        "total_articles": 1, "total_linked": 0, "filtered_articles": 0, "filtered_linked": 0}
+    assert views.article_detail(views.article_table(bare)).first()["label"] == "[0] t"
+    uncategorised = views.prepare_articles(spark.createDataFrame(
+        [(1, "5", "J")], "seq bigint, icpsr_study_number string, journal string"))
+    row = views.overview(uncategorised).first()
+    assert (row["n_research_identified"], row["n_research_linked"], row["n_journals_linked"],
+            row["n_datasets_linked"]) == (0, 1, 1, 1)
 
 
 def test_row_ids_over_many_buckets(spark):
