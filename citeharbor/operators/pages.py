@@ -35,8 +35,10 @@ DESCRIPTION_PLACES = (
 )
 CREATOR_WORD = "investigator"
 
-VOID_TAGS = frozenset(
-    "area base br col embed hr img input link meta param source track wbr".split())
+# Fixed value: tags that never hold content.
+VOID_TAGS = frozenset((
+    "area base br col embed hr img input keygen link menuitem meta param source track wbr "
+    "basefont bgsound command frame image isindex nextid spacer").split())
 NEEDS_PARSER = r"(?i)badge|subject-list|description|abstract|investigator"
 
 

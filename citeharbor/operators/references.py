@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeharbor.functions.core import non_empty
+from citeharbor.functions.identifiers import study_key
 from citeharbor.functions.nested import parse_references
 from citeharbor.functions.patterns import ARCHIVE, PatternSet
 from citeharbor.operators.classify import with_category
@@ -16,18 +17,21 @@ REFERENCE_FIELDS = ("ref_has_icpsr", "ref_icpsr_work_ids", "ref_icpsr_dois",
 
 
 def mapped_works(work_map: DataFrame, order: str = "seq") -> DataFrame:
-    """Map with one row per work id; the last row that has a value sets an attribute."""
+    """Map with one row per work id; the last row that has a value sets an attribute.
+
+    Empty DOIs and the number zero count as missing, but still replace an earlier value.
+    """
     def last(name: str):
         return F.max_by(name, F.when(F.col(name).isNotNull(), F.col(order)))
 
-    study = F.col("study").cast("string")
+    number = F.coalesce(study_key("study").cast("string"), F.col("study").cast("string"))
     return (
         work_map.filter(F.col("openalex_work_id").isNotNull())
         .withColumnRenamed("icpsr_study_number", "study")
         .groupBy(F.col("openalex_work_id").alias("work_id"))
         .agg(last("icpsr_doi").alias("doi"), last("study").alias("study"))
         .select("work_id", non_empty("doi").alias("doi"),
-                F.when(~study.isin("", "0"), study).alias("study")))
+                F.when(~number.isin("", "0"), number).alias("study")))
 
 
 def citation_edges(articles: DataFrame, key: str = "seq") -> DataFrame:

@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from citeharbor import schemas
 from citeharbor.functions.patterns import ARCHIVE, PatternSet
-from citeharbor.operators.classify import detected_subset, with_category
-from citeharbor.operators.detect import with_detection
+from citeharbor.operators.classify import detected_subset
 from citeharbor.operators.fulltext import attach_fulltext
 from citeharbor.operators.linkmap import build_work_map
 from citeharbor.operators.normalize import dedupe_by_doi, flatten_works
-from citeharbor.operators.references import with_evidence, with_references
+from citeharbor.operators.references import with_evidence
 from citeharbor.operators.similarity import cluster_datasets
 from citeharbor.operators.stats import funnel_stats
 from citeharbor.operators.summary import dataset_summary
@@ -39,6 +38,10 @@ class Layout:
     def articles(self) -> str:
         return self.path("articles")
 
+    @property
+    def texts(self) -> str:
+        return self.path("articles_fulltext")
+
     @property
     def detection(self) -> str:
         return self.path("articles_with_detection")
@@ -77,33 +80,38 @@ def build_articles(spark: SparkSession, layout: Layout, works: DataFrame,
     return stored
 
 
-def run_detection(spark: SparkSession, layout: Layout, works: DataFrame, pages: DataFrame,
-                  patterns: PatternSet = ARCHIVE, with_csv: bool = False) -> DataFrame:
+def article_texts(spark: SparkSession, layout: Layout, works: DataFrame | None,
+                  pages: DataFrame | None, with_csv: bool = False) -> DataFrame:
+    """Articles with their text, as a stored stage.
+
+    Built from a stored detection table when that holds text, else from works
+    and pages; a stored stage replaces both.
+    """
+    def build() -> DataFrame:
+        earlier = usable_stage(spark, layout.detection, "fulltext")
+        if earlier is not None:
+            return earlier.drop(*schemas.TEXT_RESULT.names, *schemas.REFERENCE_RESULT.names,
+                                "icpsr_work_category")
+        return attach_fulltext(
+            build_articles(spark, layout, works, with_csv=with_csv), pages)
+
+    return load_or_build(spark, layout.texts, build, required="fulltext")
+
+
+def run_detection(spark: SparkSession, layout: Layout, works: DataFrame | None = None,
+                  pages: DataFrame | None = None, patterns: PatternSet = ARCHIVE,
+                  with_csv: bool = False, with_text: bool = True) -> DataFrame:
     """Works and pages to all stored results; returns the detection table.
 
-    A stored detection table that holds text replaces the article and text
-    stages; detection itself always runs again. Every result after it is
-    derived from the stored table, not from the plan that built it.
+    Stored text replaces works and pages; detection itself always runs again.
+    ``with_text=False`` leaves the text in its own stage: then no text enters a
+    shuffle or is stored twice. Later results are derived from the stored table.
     """
-    stored = usable_stage(spark, layout.detection, "fulltext")
+    texts = article_texts(spark, layout, works, pages, with_csv)
     work_map = readers.read_work_map(spark, layout.work_map)
-    if stored is None:
-        # Citations join the narrow table; the text then joins on the same key, moves
-        # that once, and the rest is row by row.
-        articles = with_references(
-            build_articles(spark, layout, works, with_csv=with_csv), work_map)
-        found = with_category(with_detection(attach_fulltext(articles, pages), patterns=patterns))
-        target = layout.detection
-    else:
-        found = with_evidence(stored, work_map, patterns=patterns)
-        target = f"{layout.detection}_next"
-    writers.write_table(found, target)
-    if target != layout.detection:
-        # A table cannot be overwritten while it is being read.
-        writers.write_table(spark.read.parquet(target), layout.detection)
+    found = with_evidence(texts, work_map, patterns=patterns, keep_text=with_text)
+    writers.write_table(found, layout.detection, with_csv)
     table = spark.read.parquet(layout.detection)
-    if with_csv:
-        writers.write_csv(table, f"{layout.detection}_csv")
     writers.write_table(detected_subset(table), layout.detected, with_csv)
     summarize(spark, layout, with_csv)
     return table

@@ -5,11 +5,12 @@ from __future__ import annotations
 import warnings
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeharbor import schemas
+from citeharbor.functions.identifiers import study_key
 
 # Quotes are doubled inside quoted fields and text may hold line breaks.
 CSV_OPTIONS = {
@@ -28,15 +29,27 @@ def read_works(spark: SparkSession, path: str, one_array: bool = False) -> DataF
     return reader.json(path).withColumn("seq", F.monotonically_increasing_id())
 
 
+def _typed(name: str, kind: T.DataType) -> Column:
+    """A CSV field as its column type; whole numbers may be written as ``2001.0``."""
+    if isinstance(kind, T.StringType):
+        return F.col(name)
+    if isinstance(kind, (T.IntegerType, T.LongType)):
+        return study_key(name).try_cast(kind).alias(name)
+    return F.col(name).try_cast(kind).alias(name)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV by column name: columns may come in any order, absent ones are NULL."""
-    header = spark.read.options(**CSV_OPTIONS).csv(path).limit(0).columns
-    by_name = {f.name: f for f in schema.fields}
-    stored = T.StructType([
-        T.StructField(c, by_name[c].dataType if c in by_name else T.StringType())
-        for c in header])
-    frame = spark.read.options(**CSV_OPTIONS, enforceSchema=True).schema(stored).csv(path)
-    return schemas.with_optional(frame, schema).select(*schema.names)
+    """CSV by column name: columns may come in any order, absent ones are NULL.
+
+    A field that does not fit its type is NULL and leaves the rest of its row alone.
+    """
+    reader = spark.read.options(**CSV_OPTIONS)
+    header = reader.csv(path).limit(0).columns
+    text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    frame = reader.schema(text).csv(path)
+    present = frame.select(*[_typed(f.name, f.dataType) for f in schema.fields
+                             if f.name in header])
+    return schemas.with_optional(present, schema).select(*schema.names)
 
 
 def read_articles_csv(spark: SparkSession, path: str) -> DataFrame:

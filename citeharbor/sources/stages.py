@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,17 +22,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def committed(spark: SparkSession, path: str) -> bool:
+    """True when a write to ``path`` ran to its end (it then leaves a marker file)."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    marker = hadoop.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def usable_stage(spark: SparkSession, path: str, required: str) -> DataFrame | None:
-    """The stored table if it exists and ``required`` holds a value in some row."""
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
+    """The stored table if it is complete and some row has a non-empty ``required``."""
+    if not committed(spark, path):
         return None
+    stored = spark.read.parquet(path)
     if required not in stored.columns:
         return None
-    return None if stored.filter(F.col(required).isNotNull()).isEmpty() else stored
+    return None if stored.filter(F.col(required).cast("string") != "").isEmpty() else stored
 
 
 def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame],

@@ -58,6 +58,16 @@ def test_csv_columns_by_name(spark, tmp_path):
         spark, str(tmp_path / "a.csv")).columns == schemas.DETECTION.names
 
 
+def test_csv_numbers_written_as_floats(spark, tmp_path):
+    (tmp_path / "d.csv").write_text(
+        "seq,publication_year,detection_score,is_oa,icpsr_study_number,title\n"
+        "1,2001.0,9.0,True,1024.0,a\n2,,,False,,b\nx,y,3,?,z,c\n")
+    rows = readers.read_detection_csv(spark, str(tmp_path / "d.csv")).orderBy("title").collect()
+    assert [(r["seq"], r["publication_year"], r["detection_score"], r["is_oa"],
+             r["icpsr_study_number"]) for r in rows] == [
+        (1, 2001, 9, True, "1024.0"), (2, None, None, False, None), (None, None, 3, None, "z")]
+
+
 def test_missing_tables_degrade(spark, tmp_path):
     with pytest.warns(UserWarning):
         assert readers.read_datasets(spark, str(tmp_path / "none")).isEmpty()
@@ -146,9 +156,9 @@ def test_whole_run_and_feedback(spark, sf_dir, tmp_path):
     assert spark.read.parquet(layout.clusters).count() == datasets.count()
 
     assert build_map(spark, layout).filter("openalex_work_id is not null").count() > 0
-    # The second run starts from the stored text; without works and pages it has no other source.
+    # The second run starts from the stored text: it is given no works and no pages.
     rows = first.count()
-    second = run_detection(spark, layout, None, None)
+    second = run_detection(spark, layout)
     assert second.count() == rows
     assert not second.filter("ref_has_icpsr").isEmpty()
 
@@ -160,3 +170,29 @@ def test_whole_run_and_feedback(spark, sf_dir, tmp_path):
     assert "has_dataset_link" in articles.columns and "icpsr_link" in views_datasets.columns
     articles.unpersist(), views_datasets.unpersist()
     assert summarize(spark, layout, merge_numbers=True)
+    third = run_detection(spark, layout, with_text=False)
+    assert "fulltext" not in third.columns and third.count() == rows
+
+
+def test_run_starts_from_stored_detection_text(spark, tmp_path):
+    layout = Layout(str(tmp_path / "run"))
+    spark.createDataFrame(
+        [(1, "W1", "t", None, None, "We used ICPSR 8079.", "[]", True, "old")],
+        "seq bigint, id string, title string, doi string, host_venue string, fulltext string, "
+        "referenced_works string, has_icpsr boolean, snippet string",
+    ).write.parquet(layout.detection)
+    with pytest.warns(UserWarning):
+        row = run_detection(spark, layout).first()
+    assert (row["icpsr_study_number"], row["snippet"]) == ("8079", "We used ICPSR 8079.")
+
+
+def test_unfinished_or_textless_stage_is_not_used(spark, tmp_path):
+    path = tmp_path / "stage"
+    frame = spark.createDataFrame([(1, "x"), (2, "")], "seq bigint, fulltext string")
+    frame.write.parquet(str(path))
+    assert stages.usable_stage(spark, str(path), "fulltext").count() == 2
+    assert stages.usable_stage(spark, str(path), "absent") is None
+    frame.filter("fulltext = ''").write.parquet(str(tmp_path / "blank"))
+    assert stages.usable_stage(spark, str(tmp_path / "blank"), "fulltext") is None
+    (path / "_SUCCESS").unlink()
+    assert stages.usable_stage(spark, str(path), "fulltext") is None
