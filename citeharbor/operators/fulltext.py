@@ -16,7 +16,7 @@ def first_copies(pages: DataFrame, page_id: str = "page_id") -> DataFrame:
 
 def page_texts(pages: DataFrame, wanted: DataFrame, page_id: str = "page_id") -> DataFrame:
     """``page_id, text`` of the wanted pages that hold text, parsed once each."""
-    chosen = pages.join(wanted.select(page_id), page_id, "left_semi")
+    chosen = pages.join(wanted.select(page_id).distinct(), page_id, "left_semi")
     return with_page_text(chosen.select(page_id, "html")).filter(F.col("text").isNotNull())
 
 

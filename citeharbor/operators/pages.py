@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -47,37 +48,39 @@ class _Fields(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, list[list[str]]]] = []
+        self.open: list[tuple[str, int, bool]] = []  # tag, its buffers, is a subject list
+        self.open_tags: Counter[str] = Counter()
+        self.buffers: list[list[str]] = []  # of all open elements, outermost first
         self.in_subjects = 0
         self.badges: list[list[str]] = []
         self.listed: list[list[str]] = []
         self.credits: list[list[str]] = []
         self.places: list[list[str] | None] = [None] * len(DESCRIPTION_PLACES)
-        self.lists: list[bool] = []
 
     def handle_starttag(self, tag, attrs):
         values = {k: v or "" for k, v in reversed(attrs)}
         classes = values.get("class", "").split()
-        buffers: list[list[str]] = []
-        if tag == "a" and BADGE_CLASS in classes:
-            self.badges.append([])
-            buffers.append(self.badges[-1])
-        if tag == "a" and self.in_subjects:
-            self.listed.append([])
-            buffers.append(self.listed[-1])
-        if tag in ("a", "span"):
-            self.credits.append([])
-            buffers.append(self.credits[-1])
-        for i, (wanted, attr, value) in enumerate(DESCRIPTION_PLACES):
+        text: list[str] = []
+        wanted = 0
+        for kept, chosen in (
+                (self.badges, tag == "a" and BADGE_CLASS in classes),
+                (self.listed, tag == "a" and self.in_subjects > 0),
+                (self.credits, tag in ("a", "span"))):
+            if chosen:
+                kept.append(text)
+                wanted = 1
+        for i, (name, attr, value) in enumerate(DESCRIPTION_PLACES):
             found = value in classes if attr == "class" else values.get(attr) == value
-            if self.places[i] is None and found and wanted in (None, tag):
-                self.places[i] = []
-                buffers.append(self.places[i])
+            if self.places[i] is None and found and name in (None, tag):
+                self.places[i] = text
+                wanted = 1
         if tag not in VOID_TAGS:
             listing = SUBJECT_LIST_CLASS in classes
             self.in_subjects += listing
-            self.lists.append(listing)
-            self.open.append((tag, buffers))
+            self.open.append((tag, wanted, listing))
+            self.open_tags[tag] += 1
+            if wanted:
+                self.buffers.append(text)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -85,20 +88,20 @@ class _Fields(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if not any(name == tag for name, _ in self.open):
+        if not self.open_tags[tag]:
             return
-        while self.open:
-            name, _ = self.open.pop()
-            self.in_subjects -= self.lists.pop()
-            if name == tag:
-                return
+        name = None
+        while name != tag:
+            name, wanted, listing = self.open.pop()
+            self.open_tags[name] -= 1
+            self.in_subjects -= listing
+            if wanted:
+                self.buffers.pop()
 
     def handle_data(self, data):
         text = data.strip(WHITESPACE)
-        if not text or (self.open and self.open[-1][0] in ("script", "style")):
-            return
-        for _, buffers in self.open:
-            for buffer in buffers:
+        if text and not (self.open and self.open[-1][0] in ("script", "style")):
+            for buffer in self.buffers:
                 buffer.append(text)
 
 

@@ -30,7 +30,8 @@ LICENCE = r"(?:Released under the|Licensed under the) [A-Z][A-Za-z0-9]+ License"
 ADDRESS = r"\d{1,3}(?:\.\d{1,3}){3}"
 PHONE = r"\+1 \(\d{3}\) \d{3}-\d{4}"
 TOKEN = r'token = "([0-9a-f]{40})"'
-MAIL = r"[A-Za-z0-9_.]+@[A-Za-z0-9_.]+\.com"
+# Starts only where a run of address characters starts and never re-reads that run.
+MAIL = r"(?<![A-Za-z0-9_.])[A-Za-z0-9_.]++@[A-Za-z0-9_.]+\.com"
 NATURAL = PatternSet(
     rules=(
         SignalRule("licence", (LICENCE,), 2, every_match=False),

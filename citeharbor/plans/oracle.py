@@ -7,6 +7,8 @@ look-behind.
 
 from __future__ import annotations
 
+import re
+
 from citeharbor.functions.patterns import ARCHIVE, PatternSet
 from citeharbor.plans.catalog import NATURAL, SEARCH_TEXT, SOURCE_TERMS
 from citeharbor.plans.fixtures import ARTICLES_SQL, MAP_SQL, URLS_SQL
@@ -32,7 +34,9 @@ def split(value: str) -> str:
 
 
 def re2(pattern: str, fold: bool = True) -> str:
-    body = pattern.replace(r"\s", f"[{WS}]").replace("'", "''")
+    """A pattern without look-behind and possessive repeats, which only save time here."""
+    plain = re.sub(r"\(\?<![^)]*\)", "", pattern).replace("++", "+")
+    body = plain.replace(r"\s", f"[{WS}]").replace("'", "''")
     return f"'{'(?i)' if fold else ''}{body}'"
 
 

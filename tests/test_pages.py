@@ -1,5 +1,9 @@
+from pyspark.sql import functions as F
+
 from citeharbor.operators.fulltext import attach_fulltext
-from citeharbor.operators.pages import page_metadata
+from citeharbor.operators.pages import page_metadata, with_page_text
+
+from conftest import plan_text
 
 STUDY = """
 <html><head><title>no</title><script>var h = "<h1>no</h1>";</script></head><body>
@@ -66,3 +70,31 @@ def test_fulltext_without_abstract_column(spark):
     articles = spark.createDataFrame([(1, "u"), (2, None)], "seq bigint, record_url string")
     got = {r["seq"]: r["fulltext"] for r in attach_fulltext(articles, pages).collect()}
     assert got == {1: "x", 2: ""}
+
+
+def test_pages_are_parsed_once_and_after_the_choice(spark, tmp_path):
+    spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id bigint, url string, html string",
+                          ).write.parquet(str(tmp_path / "p"))
+    articles = spark.createDataFrame([(1, "u")], "seq bigint, fulltext_url string")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(limit, -1)
+    try:
+        plan = plan_text(attach_fulltext(articles, spark.read.parquet(str(tmp_path / "p"))))
+    finally:
+        spark.conf.unset(limit)
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("<(script|style|noscript)") == 1
+    # The markup is read in one branch only; the other scans see ids and URLs.
+    schemas = [line.split("ReadSchema: ")[1] for line in plan.splitlines() if "ReadSchema" in line]
+    assert sum("html" in s for s in schemas) == 1
+
+
+def test_very_long_markup(spark):
+    frame = spark.range(1).select(F.lit(1).alias("page_id"), F.concat(
+        F.lit("<div "), F.repeat(F.lit("a='1' b "), 200_000), F.lit(">body</div><p>&eacute;"),
+        F.lit("<!--"), F.repeat(F.lit("x "), 1_000_000)).alias("html"))
+    assert with_page_text(frame).first()["text"] == "body\né"
+
+
+def test_many_unclosed_tags(spark):
+    page = '<a class="badge">one</a>' + "<p>word " * 50_000 + "</q>" * 50_000
+    assert metadata(spark, page)[1]["subjects"] == "one"
