@@ -19,13 +19,20 @@ def parse_references(cell: Column | str) -> Column:
         F.from_json(cell, "array<string>"), lambda x: F.coalesce(x, F.lit("None")))
     pieces = F.filter(F.transform(F.split(cell, ";"), strip), lambda x: x != "")
     looks_like_list = F.ltrim(cell).startswith("[")
-    no_json = F.try_parse_json(cell).isNull() & cell.contains(";")
+    no_json = cell.contains(";") & F.try_parse_json(cell).isNull()
     return F.coalesce(
         F.when(looks_like_list & ~no_json, as_list),
         F.when(no_json, pieces),
         F.array().cast("array<string>"))
 
 
+def name_nulls(references: Column | str) -> Column:
+    """A reference list that is an array already: NULL elements become ``"None"``."""
+    return F.coalesce(
+        F.transform(as_column(references), lambda x: F.coalesce(x.cast("string"), F.lit("None"))),
+        F.array().cast("array<string>"))
+
+
 def json_path(document: Column | str, *keys: str, default: Column | str | None = None) -> Column:
     """Value at a path of object keys in a JSON string, else the default."""
     path = "$" + "".join(f"['{key}']" for key in keys)

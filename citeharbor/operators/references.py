@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeharbor.functions.core import non_empty
 from citeharbor.functions.identifiers import study_key
-from citeharbor.functions.nested import parse_references
+from citeharbor.functions.nested import name_nulls, parse_references
 from citeharbor.functions.patterns import ARCHIVE, PatternSet
 from citeharbor.operators.classify import with_category
 from citeharbor.operators.detect import with_detection
@@ -35,9 +36,14 @@ def mapped_works(work_map: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def citation_edges(articles: DataFrame, key: str = "seq") -> DataFrame:
-    """``key, pos, work_id``: one row per reference, in list order."""
+    """``key, pos, work_id``: one row per reference, in list order.
+
+    ``referenced_works`` is an array of ids or a text cell that encodes one.
+    """
+    kind = articles.schema["referenced_works"].dataType
+    parse = name_nulls if isinstance(kind, T.ArrayType) else parse_references
     return articles.select(
-        key, F.posexplode(parse_references("referenced_works")).alias("pos", "work_id"))
+        key, F.posexplode(parse("referenced_works")).alias("pos", "work_id"))
 
 
 def matched_edges(edges: DataFrame, works: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeharbor.functions.core import unicode_regex
 from citeharbor.functions.identifiers import (
@@ -29,6 +30,12 @@ def _whole(value: Column) -> Column:
     return value.cast("int")
 
 
+def _year(articles: DataFrame) -> Column:
+    """The year as a number; a numeric column is used as it is, so tests on it push down."""
+    numeric = isinstance(articles.schema["year"].dataType, T.NumericType)
+    return F.col("year") if numeric else to_number("year")
+
+
 # --- preparation ----------------------------------------------------------------
 
 def prepare_articles(articles: DataFrame) -> DataFrame:
@@ -83,7 +90,7 @@ def overview(articles: DataFrame) -> DataFrame:
     linked = with_optional(articles.filter("has_dataset_link"), VIEW_COLUMNS)
     groups = linked.groupBy("journal", "study_norm", "icpsr_work_category").agg(
         F.count("*").alias("n"),
-        F.min(to_number("year")).alias("first"), F.max(to_number("year")).alias("last"))
+        F.min(_year(linked)).alias("first"), F.max(_year(linked)).alias("last"))
     category = F.col("icpsr_work_category")
     labelled = category == RESEARCH
     research = labelled if known else F.lit(True)
@@ -122,7 +129,7 @@ def text_condition(query: str, available: Sequence[str], columns: Sequence[str]
     return reduce(lambda a, b: a | b, tests)
 
 
-def article_condition(available: Sequence[str], query: str = "", only_hits: bool = False,
+def article_condition(articles: DataFrame, query: str = "", only_hits: bool = False,
                       only_linked: bool = False, year_min: int | None = None,
                       year_max: int | None = None, article_type: str = "all",
                       mode: str = "regex",
@@ -131,6 +138,7 @@ def article_condition(available: Sequence[str], query: str = "", only_hits: bool
 
     Any year bound drops works without a usable year.
     """
+    available = articles.columns
     tests: list[Column] = []
     if only_hits and "has_icpsr" in available:
         tests.append(F.col("has_icpsr"))
@@ -138,18 +146,18 @@ def article_condition(available: Sequence[str], query: str = "", only_hits: bool
         tests.append(F.col("has_dataset_link"))
     if article_type in ARTICLE_TYPES and "icpsr_work_category" in available:
         tests.append(F.col("icpsr_work_category") == ARTICLE_TYPES[article_type])
-    search = text_condition(query, available, columns, mode)
-    if search is not None:
-        tests.append(search)
     if "year" in available:
-        year = to_number("year")
+        year = _year(articles)
         tests += [] if year_min is None else [year >= year_min]
         tests += [] if year_max is None else [year <= year_max]
-    return F.coalesce(reduce(lambda a, b: a & b, tests, F.lit(True)), F.lit(False))
+    search = text_condition(query, available, columns, mode)
+    if search is not None:
+        tests.append(search)
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
 def filter_articles(articles: DataFrame, **filters) -> DataFrame:
-    return articles.filter(article_condition(articles.columns, **filters))
+    return articles.filter(article_condition(articles, **filters))
 
 
 def article_table(articles: DataFrame, order: str = "seq", **filters) -> DataFrame:
@@ -162,7 +170,7 @@ def filter_counts(articles: DataFrame, **filters) -> DataFrame:
 
     A count whose column is absent is left out.
     """
-    chosen = article_condition(articles.columns, **filters)
+    chosen = article_condition(articles, **filters)
     category = F.col("icpsr_work_category")
     flags = {
         "articles": (None, F.lit(True)),
@@ -240,11 +248,11 @@ def journal_ranking(articles: DataFrame, top_n: int | None = 20) -> DataFrame:
     Counted per (journal, dataset) first, so the distinct count of datasets is a
     count of groups and a dominant journal is spread over its datasets.
     """
-    per_dataset = (
-        linked_research(articles).filter(F.col("journal").isNotNull())
-        .groupBy("journal", "study_norm").agg(
-            F.count("*").alias("n"),
-            F.min(to_number("year")).alias("first"), F.max(to_number("year")).alias("last")))
+    works = with_optional(linked_research(articles), VIEW_COLUMNS).filter(
+        F.col("journal").isNotNull())
+    per_dataset = works.groupBy("journal", "study_norm").agg(
+        F.count("*").alias("n"),
+        F.min(_year(works)).alias("first"), F.max(_year(works)).alias("last"))
     ranked = per_dataset.groupBy("journal").agg(
         F.sum("n").alias("n_articles"),
         F.count("study_norm").alias("n_datasets"),
@@ -256,7 +264,7 @@ def journal_ranking(articles: DataFrame, top_n: int | None = 20) -> DataFrame:
 
 
 def _placed_usage(articles: DataFrame) -> DataFrame:
-    return linked_research(articles).filter(
+    return with_optional(linked_research(articles), VIEW_COLUMNS).filter(
         F.col("study_norm").isNotNull() & F.col("journal").isNotNull())
 
 
@@ -295,8 +303,8 @@ def journal_profile(articles: DataFrame, journal: str | None = None) -> DataFram
         usage = usage.filter(F.col("journal") == journal)
     return usage.groupBy("journal").agg(
         F.count("*").alias("n_articles"),
-        _whole(F.min(to_number("year"))).alias("year_min"),
-        _whole(F.max(to_number("year"))).alias("year_max")).orderBy("journal")
+        _whole(F.min(_year(usage))).alias("year_min"),
+        _whole(F.max(_year(usage))).alias("year_max")).orderBy("journal")
 
 
 def journal_rows(articles: DataFrame, journal: str) -> DataFrame:

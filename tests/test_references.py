@@ -37,6 +37,13 @@ def test_hits_against_brute_force(spark):
         assert got[i] == expected
 
 
+def test_reference_arrays(spark):
+    rows = [(1, ["w1", None, "None"]), (2, []), (3, None)]
+    articles = spark.createDataFrame(rows, "seq bigint, referenced_works array<string>")
+    edges = references.citation_edges(articles)
+    assert [tuple(r) for r in edges.collect()] == [(1, 0, "w1"), (1, 1, "None"), (1, 2, "None")]
+
+
 def test_no_map_or_no_references(spark):
     articles = spark.createDataFrame([(1, "x")], "seq bigint, title string")
     empty = spark.createDataFrame([], MAP)

@@ -5,6 +5,8 @@ from citeharbor.operators import stats, views
 from citeharbor.operators.rows import with_row_id
 from citeharbor.operators.summary import dataset_summary
 
+from conftest import plan_text
+
 RESEARCH, DOC = "research_article_using_icpsr", "icpsr_data_doc"
 COLUMNS = ("seq bigint, title string, doi string, publication_year int, host_venue string, "
            "has_icpsr boolean, icpsr_study_number string, detection_score int, "
@@ -89,6 +91,26 @@ def test_filters(articles, filters, expected):
     assert sorted(r["seq"] for r in rows) == expected
 
 
+def test_filters_reach_the_reader(stored, spark, tmp_path):
+    stored.write.parquet(str(tmp_path / "a"))
+    table = views.prepare_articles(spark.read.parquet(str(tmp_path / "a")))
+    plan = plan_text(views.filter_articles(
+        table, only_hits=True, only_linked=True, article_type="research", year_min=2000))
+    for pushed in ("EqualTo(has_icpsr,true)", "IsNotNull(icpsr_study_number)",
+                   "EqualTo(icpsr_work_category,research_article_using_icpsr)",
+                   "GreaterThanOrEqual(publication_year,2000)"):
+        assert pushed in plan
+    narrow = plan_text(views.overview(table)).split("ReadSchema: ")[1]
+    assert "title" not in narrow and "snippet" not in narrow
+
+
+def test_years_written_as_text(articles):
+    text = articles.withColumn("year", F.concat(F.col("year").cast("string"), F.lit(".0")))
+    rows = views.filter_articles(text, year_min=2005, year_max=2010).collect()
+    assert sorted(r["seq"] for r in rows) == [1, 3]
+    assert views.overview(text).first()["year_range"] == "2001–2010"
+
+
 def test_filter_counts_match_filtering(articles):
     filters = {"query": "j1", "only_linked": True, "year_min": 2000, "year_max": 2030}
     row = views.filter_counts(articles, **filters).first()
@@ -149,6 +171,7 @@ def test_tables_without_optional_columns(spark):
     assert views.overview(bare).first()["n_identified"] == 0
     assert views.filter_counts(bare, query="x").first().asDict() == {
         "total_articles": 1, "total_linked": 0, "filtered_articles": 0, "filtered_linked": 0}
+    assert views.journal_ranking(bare).isEmpty() and views.journal_profile(bare).isEmpty()
     assert views.article_detail(views.article_table(bare)).first()["label"] == "[0] t"
     uncategorised = views.prepare_articles(spark.createDataFrame(
         [(1, "5", "J")], "seq bigint, icpsr_study_number string, journal string"))
