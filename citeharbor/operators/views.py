@@ -21,6 +21,7 @@ from citeharbor.schemas import VIEW_COLUMNS, pick_columns, with_optional
 
 SEARCH_COLUMNS = ("title", "doi", "authors", "journal")
 ARTICLE_TYPES = {"research": RESEARCH, "data_doc": DATA_DOCUMENT}
+# Columns of the report tables in display order.
 RANKING_COLUMNS = ("icpsr_study_number", "title", "n_articles_using_dataset", "n_articles",
                    "max_detection_score", "mean_detection_score", "icpsr_link")
 DATASET_ARTICLE_COLUMNS = ("title", "year", "journal", "doi", "detection_score", "signal_type")

@@ -64,18 +64,14 @@ def q_works_normalize(spark, sf_dir):
 
 @query
 def q_url_priority(spark, sf_dir):
-    flat = normalize.flatten_works(fixtures.nested_works(spark, sf_dir))
+    flat = normalize.flatten_works(fixtures.nested_works(spark, sf_dir, with_abstract=False))
     return flat.select("seq", "fulltext_url", "record_url")
 
 
 @query
 def q_inverted_index(spark, sf_dir):
-    documents = fixtures.texts(spark, sf_dir)
-    tokens = documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
-    index = (tokens.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("positions"))
-             .groupBy("doc_id").agg(F.map_from_entries(
-                 F.collect_list(F.struct("word", "positions"))).alias("idx")))
-    return index.select("doc_id", text.decode_inverted_index("idx").alias("decoded"))
+    index = fixtures.word_index(fixtures.texts(spark, sf_dir), "doc_id", "text")
+    return index.select("doc_id", text.decode_inverted_index("word_index").alias("decoded"))
 
 
 @query

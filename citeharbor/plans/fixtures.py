@@ -26,7 +26,7 @@ SELECT doc_id AS seq,
  doc_id % 8 <> 0 AS is_oa,
  CASE WHEN doc_id % 10 = 1 THEN 'ICPSR Data Holdings' WHEN doc_id % 23 = 2 THEN 'OpenICPSR'
       WHEN doc_id % 29 = 3 THEN NULL ELSE concat('Journal of ', source) END AS host_venue,
- CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE substring(text, 1, 200) END AS abstract_text,
+ CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE text END AS abstract_text,
  CASE doc_id % 9 WHEN 0 THEN '[]'
    WHEN 1 THEN concat('["https://openalex.org/W', doc_id + 15, '","https://openalex.org/W', doc_id - doc_id % 16, '","https://openalex.org/W', doc_id - doc_id % 16, '"]')
    WHEN 2 THEN concat('https://openalex.org/W', doc_id - doc_id % 16, '; https://openalex.org/W', doc_id, ' ;')
@@ -56,14 +56,15 @@ SELECT doc_id AS seq,
 FROM documents
 """
 
+# One mapped work per block of 16 documents, a second row for every fourth of them.
 MAP_SQL = r"""
-SELECT doc_id AS seq, concat('https://openalex.org/W', doc_id) AS openalex_work_id,
- CASE WHEN doc_id % 48 = 0 THEN NULL ELSE concat('10.3886/icpsr0', 1000 + doc_id % 37) END AS icpsr_doi,
- CASE WHEN doc_id % 80 = 0 THEN NULL ELSE CAST(1000 + doc_id % 37 AS BIGINT) END AS icpsr_study_number
-FROM documents WHERE doc_id % 16 = 0
+SELECT block AS seq, concat('https://openalex.org/W', block) AS openalex_work_id,
+ CASE WHEN block % 48 = 0 THEN NULL ELSE concat('10.3886/icpsr0', 1000 + block % 37) END AS icpsr_doi,
+ CASE WHEN block % 80 = 0 THEN NULL ELSE CAST(1000 + block % 37 AS BIGINT) END AS icpsr_study_number
+FROM (SELECT doc_id - doc_id % 16 AS block FROM documents GROUP BY doc_id - doc_id % 16) blocks
 UNION ALL
-SELECT 1000000000 + doc_id, concat('https://openalex.org/W', doc_id), concat('10.3886/icpsr9', doc_id % 37), NULL
-FROM documents WHERE doc_id % 64 = 0
+SELECT 1000000000 + block, concat('https://openalex.org/W', block), concat('10.3886/icpsr9', block % 37), NULL
+FROM (SELECT doc_id - doc_id % 64 AS block FROM documents GROUP BY doc_id - doc_id % 64) blocks
 """
 
 URLS_SQL = r"""
@@ -110,20 +111,29 @@ def articles_with_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
                 pages=read_table(spark, sf_dir, "pages")).drop("fulltext")
 
 
-def nested_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+def word_index(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, word_index``: each text as a map from word to its positions."""
+    tokens = texts.select(key, F.posexplode(F.split(text, " ")).alias("pos", "word"))
+    return (tokens.groupBy(key, "word").agg(F.collect_list("pos").alias("positions"))
+            .groupBy(key).agg(F.map_from_entries(
+                F.collect_list(F.struct("word", "positions"))).alias("word_index")))
+
+
+def nested_works(spark: SparkSession, sf_dir: str, with_abstract: bool = True) -> DataFrame:
     """Works in the nested source layout."""
-    base = articles_with_urls(spark, sf_dir)
+    urls = articles_with_urls(spark, sf_dir)
+    if with_abstract:
+        abstracts = spread_articles(spark, sf_dir).filter(F.trim("abstract_text") != "")
+        index = word_index(abstracts, "seq", "abstract_text")
+        base = urls.drop("abstract_text").join(index, "seq", "left")
+    else:
+        base = urls.withColumn("word_index", F.lit(None).cast("map<string,array<int>>"))
     seq = F.col("seq")
-    words = F.filter(F.split("abstract_text", " "), lambda w: w != "")
-    distinct = F.array_distinct(words)
-    index = F.map_from_arrays(distinct, F.transform(distinct, lambda w: F.filter(
-        F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull())))
     return base.select(
         "seq", "id", "title", "doi", "publication_year",
-        F.from_json(F.when(seq % 9 == 6, F.col("referenced_works"))
-                    .when((seq % 9).isin(0, 1, 7, 8), F.col("referenced_works")),
+        F.from_json(F.when((seq % 9).isin(0, 1, 6, 7, 8), F.col("referenced_works")),
                     "array<string>").alias("referenced_works"),
-        F.when(F.trim("abstract_text") != "", index).alias("abstract_inverted_index"),
+        F.col("word_index").alias("abstract_inverted_index"),
         F.struct(
             "is_oa",
             F.when(seq % 3 == 0, None).when(seq % 3 == 1, "").otherwise("gold").alias("oa_status"),
@@ -149,5 +159,5 @@ def detected_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The detection table as a stored stage of this application; views read it."""
     tag = hashlib.md5(sf_dir.rstrip("/").encode()).hexdigest()[:12]
     path = (f"{shared_folder(spark)}/citeharbor/{spark.sparkContext.applicationId}"
-            f"/{tag}/articles_with_detection")
+            f"/{tag}/detection")
     return load_or_build(spark, path, lambda: detected(spark, sf_dir), required="has_icpsr")

@@ -32,7 +32,7 @@ class Layout:
 
     @property
     def works(self) -> str:
-        return self.path("articles_raw")
+        return self.path("raw_works")
 
     @property
     def articles(self) -> str:
@@ -40,23 +40,23 @@ class Layout:
 
     @property
     def texts(self) -> str:
-        return self.path("articles_fulltext")
+        return self.path("texts")
 
     @property
     def detection(self) -> str:
-        return self.path("articles_with_detection")
+        return self.path("detection")
 
     @property
     def detected(self) -> str:
-        return self.path("icpsr_articles_detected")
+        return self.path("detected_articles")
 
     @property
     def datasets(self) -> str:
-        return self.path("icpsr_datasets_detected")
+        return self.path("detected_datasets")
 
     @property
     def work_map(self) -> str:
-        return self.path("icpsr_openalex_map")
+        return self.path("dataset_work_map")
 
     @property
     def clusters(self) -> str:
@@ -64,7 +64,7 @@ class Layout:
 
     @property
     def stats(self) -> str:
-        return self.path("basic_pipeline_stats")
+        return self.path("run_counts")
 
 
 def build_articles(spark: SparkSession, layout: Layout, works: DataFrame,
