@@ -18,7 +18,13 @@ def summary_text(datasets: DataFrame) -> DataFrame:
 
 def cluster_datasets(datasets: DataFrame, k: int = 8, seed: int = 42,
                      features: int = 1 << 14) -> DataFrame:
-    """Summary rows with a ``cluster`` number from k-means on normalised tf-idf."""
+    """Summary rows with a ``cluster`` number from k-means on normalised tf-idf.
+
+    There are never more clusters than rows; a single row is cluster 0.
+    """
+    k = min(k, datasets.limit(k).count())
+    if k < 2:
+        return datasets.withColumn("cluster", F.lit(0))
     stages = Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
         HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features),

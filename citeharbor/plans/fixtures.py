@@ -105,9 +105,11 @@ def work_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, MAP_SQL, documents=read_table(spark, sf_dir, "documents"))
 
 
-def articles_with_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def articles_with_urls(spark: SparkSession, sf_dir: str,
+                       source: DataFrame | None = None) -> DataFrame:
     """Articles with candidate page URLs in place of their text."""
-    return _run(spark, URLS_SQL, articles=articles(spark, sf_dir),
+    source = articles(spark, sf_dir) if source is None else source
+    return _run(spark, URLS_SQL, articles=source,
                 pages=read_table(spark, sf_dir, "pages")).drop("fulltext")
 
 
@@ -121,13 +123,13 @@ def word_index(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 def nested_works(spark: SparkSession, sf_dir: str, with_abstract: bool = True) -> DataFrame:
     """Works in the nested source layout."""
-    urls = articles_with_urls(spark, sf_dir)
     if with_abstract:
-        abstracts = spread_articles(spark, sf_dir).filter(F.trim("abstract_text") != "")
-        index = word_index(abstracts, "seq", "abstract_text")
-        base = urls.drop("abstract_text").join(index, "seq", "left")
+        source = spread_articles(spark, sf_dir)
+        index = word_index(source.filter(F.trim("abstract_text") != ""), "seq", "abstract_text")
+        base = articles_with_urls(spark, sf_dir, source).join(index, "seq", "left")
     else:
-        base = urls.withColumn("word_index", F.lit(None).cast("map<string,array<int>>"))
+        base = articles_with_urls(spark, sf_dir).withColumn(
+            "word_index", F.lit(None).cast("map<string,array<int>>"))
     seq = F.col("seq")
     return base.select(
         "seq", "id", "title", "doi", "publication_year",

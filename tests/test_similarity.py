@@ -62,3 +62,10 @@ def test_clusters_cover_every_dataset_and_repeat(spark):
         rows = similarity.cluster_datasets(frame(spark, texts).coalesce(1), k=2).collect()
         runs.append({r["icpsr_study_number"]: r["cluster"] for r in rows})
     assert runs[0] == runs[1] and set(runs[0]) == set(texts)
+
+
+def test_fewer_datasets_than_clusters(spark):
+    one = similarity.cluster_datasets(frame(spark, {"1": "a"})).collect()
+    assert [(r["icpsr_study_number"], r["cluster"]) for r in one] == [("1", 0)]
+    three = similarity.cluster_datasets(frame(spark, {"1": "a b", "2": "c d", "3": "e f"}))
+    assert {r["cluster"] for r in three.collect()} <= {0, 1, 2}
