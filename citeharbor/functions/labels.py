@@ -31,5 +31,5 @@ def year_range(first: Column | str, last: Column | str) -> Column:
     first, last = as_column(first), as_column(last)
     return F.when(
         first.isNotNull() & last.isNotNull(),
-        F.concat(first.cast("int").cast("string"), F.lit("–"), last.cast("int").cast("string")),
+        F.concat(first.try_cast("int").cast("string"), F.lit("–"), last.try_cast("int").cast("string")),
     ).otherwise("n/a")

@@ -28,7 +28,7 @@ DATASET_ARTICLE_COLUMNS = ("title", "year", "journal", "doi", "detection_score",
 
 
 def _whole(value: Column) -> Column:
-    return value.cast("int")
+    return value.try_cast("int")
 
 
 def _year(articles: DataFrame) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeharbor import schemas
 from citeharbor.functions import identifiers, nested, text
 from citeharbor.functions.detection import negative_context
 from citeharbor.functions.patterns import PatternSet, SignalRule
@@ -92,7 +93,7 @@ def q_clean_doi(spark, sf_dir):
 def q_json_path(spark, sf_dir):
     events = read_table(spark, sf_dir, "events")
     return events.select(
-        "event_id", nested.json_path("props", "k").cast("bigint").alias("k"),
+        "event_id", nested.json_path("props", "k").try_cast("bigint").alias("k"),
         nested.json_path("props", "k", "deep", default="none").alias("deep"))
 
 
@@ -220,6 +221,13 @@ def q_ref_detect_graph(spark, sf_dir):
     return pairs.join(citing, "work", "left_semi")
 
 
+@query
+def q_detection_table(spark, sf_dir):
+    return fixtures.detected(spark, sf_dir).select(
+        "seq", *schemas.TEXT_RESULT.names, *schemas.REFERENCE_RESULT.names,
+        "icpsr_work_category")
+
+
 @query
 def q_classify(spark, sf_dir):
     return fixtures.detected(spark, sf_dir).select(
@@ -358,3 +366,8 @@ def q_journal_datasets(spark, sf_dir):
 @query
 def q_journal_profile(spark, sf_dir):
     return views.journal_profile(_view(spark, sf_dir))
+
+
+@query
+def q_journals(spark, sf_dir):
+    return views.journals(_view(spark, sf_dir))

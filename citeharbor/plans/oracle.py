@@ -125,8 +125,10 @@ REFERENCED = f"{WORK_MAP}, {REFS}, {MATCHED}"
 FULL = (
     f"{DETECTED}, {REFERENCED}, "
     "joined AS (SELECT a.seq, a.id, a.title, a.doi, a.publication_year, a.host_venue, "
-    "det.has_icpsr, det.icpsr_study_number, det.detection_score, det.max_signal_score, "
-    "det.signal_type, det.snippet, hits.seq IS NOT NULL AS ref_has_icpsr "
+    "det.has_icpsr, det.icpsr_doi, det.icpsr_study_number, det.detection_score, "
+    "det.max_signal_score, det.signal_type, det.snippet, hits.seq IS NOT NULL AS ref_has_icpsr, "
+    "coalesce(ids, '') AS ref_icpsr_work_ids, coalesce(dois, '') AS ref_icpsr_dois, "
+    "coalesce(studies, '') AS ref_icpsr_study_numbers "
     "FROM articles a JOIN det ON det.k = a.seq LEFT JOIN hits ON hits.seq = a.seq), "
     f"full_table AS (SELECT *, {CATEGORY} AS icpsr_work_category FROM joined)")
 VIEW = (
@@ -304,6 +306,10 @@ ORACLE: dict[str, str] = {
         "CAST(p_partkey AS VARCHAR) AS study, count(*) AS n_refs FROM lineitem "
         "JOIN part ON p_partkey = l_partkey WHERE p_size <= 10 "
         "AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY ALL",
+    "q_detection_table":
+        f"WITH {FULL} SELECT seq, has_icpsr, icpsr_doi, icpsr_study_number, detection_score, "
+        "max_signal_score, signal_type, snippet, ref_has_icpsr, ref_icpsr_work_ids, "
+        "ref_icpsr_dois, ref_icpsr_study_numbers, icpsr_work_category FROM full_table",
     "q_classify":
         f"WITH {FULL} SELECT seq, has_icpsr, ref_has_icpsr, icpsr_work_category FROM full_table",
     "q_detected_subset":
@@ -414,4 +420,7 @@ ORACLE: dict[str, str] = {
         f"WITH {VIEW} SELECT journal, count(*) AS n_articles, min(year) AS year_min, "
         "max(year) AS year_max FROM linked WHERE journal IS NOT NULL AND study_norm IS NOT NULL "
         "GROUP BY journal",
+    "q_journals":
+        f"WITH {VIEW} SELECT DISTINCT journal FROM linked "
+        "WHERE journal IS NOT NULL AND study_norm IS NOT NULL",
 }
