@@ -51,5 +51,8 @@ def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
 
 def cut(df: DataFrame) -> DataFrame:
     """The frame read from a checkpoint in the shared folder: computed once, reused often."""
-    shared_folder(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -1,0 +1,107 @@
+"""One key for a third of the rows, with joins forced to shuffle and split."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from citeharbor.operators import linkmap, references, views
+from citeharbor.operators.fulltext import attach_fulltext
+from citeharbor.operators.normalize import dedupe_by_doi
+from citeharbor.operators.summary import dataset_summary
+
+SETTINGS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2048",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4096",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.shuffle.partitions": "8",
+}
+ROWS = 6000
+
+
+@pytest.fixture(autouse=True)
+def splitting(spark):
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def hot(n):
+    return n % 3 == 0
+
+
+def test_dedupe(spark):
+    frame = spark.range(ROWS, numPartitions=6).select(
+        F.col("id").alias("seq"),
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, None)
+        .otherwise(F.concat(F.lit("d"), F.col("id") % 500)).alias("doi"))
+    rows = {r["seq"] for r in dedupe_by_doi(frame).collect()}
+    seen, expected = set(), set()
+    for n in range(ROWS):
+        doi = "hot" if hot(n) else None if n % 3 == 1 else f"d{n % 500}"
+        if doi is None or doi not in seen:
+            expected.add(n)
+            seen.add(doi)
+    assert rows == expected
+
+
+def test_fulltext(spark):
+    articles = spark.range(ROWS, numPartitions=6).select(
+        F.col("id").alias("seq"),
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("u"), "id"))
+        .alias("fulltext_url"),
+        F.when(F.col("id") % 2 == 0, "hot").alias("record_url"))
+    pages = spark.range(ROWS, numPartitions=6).select(
+        F.col("id").alias("page_id"),
+        F.when(F.col("id") % 3 == 2, "hot").otherwise(F.concat(F.lit("u"), "id")).alias("url"),
+        F.concat(F.lit("<p>page "), "id", F.lit("</p>")).alias("html"))
+    got = {r["seq"]: r["fulltext"] for r in attach_fulltext(articles, pages).collect()}
+    for n in range(ROWS):
+        own = {0: "page 2", 1: f"page {n}", 2: ""}[n % 3]
+        assert got[n] == (own or ("page 2" if n % 2 == 0 else ""))
+
+
+def test_references_and_pairs(spark):
+    articles = spark.range(ROWS, numPartitions=6).select(
+        F.col("id").alias("seq"),
+        F.when(F.col("id") % 3 == 0, '["hot","x","hot"]')
+        .otherwise(F.concat(F.lit('["w'), F.col("id") % 40, F.lit('"]')))
+        .alias("referenced_works"))
+    work_map = spark.createDataFrame(
+        [(0, "hot", "dh", 1)] + [(i + 1, f"w{i}", f"d{i}", i) for i in range(0, 40, 2)],
+        "seq bigint, openalex_work_id string, icpsr_doi string, icpsr_study_number bigint")
+    got = {r["seq"]: r["ref_icpsr_work_ids"] for r in
+           references.with_references(articles, work_map).collect()}
+    for n in range(ROWS):
+        assert got[n] == ("hot;hot" if hot(n) else f"w{n % 40}" if n % 2 == 0 else "")
+    pairs = references.matched_pairs(
+        references.citation_edges(articles), references.mapped_works(work_map), "seq")
+    counts = {r["seq"]: r["n_refs"] for r in pairs.collect()}
+    assert all(counts.get(n) == (2 if hot(n) else 1 if n % 2 == 0 else None) for n in range(ROWS))
+
+
+def test_summary_views_and_map(spark):
+    works = views.prepare_articles(spark.range(ROWS, numPartitions=6).select(
+        F.col("id").alias("seq"), F.lit(True).alias("has_icpsr"),
+        F.when(F.col("id") % 3 == 0, "7").otherwise((F.col("id") % 900 + 100).cast("string"))
+        .alias("icpsr_study_number"),
+        F.when(F.col("id") % 3 == 0, "10.1/hot").otherwise(F.concat(F.lit("10.1/"), "id"))
+        .alias("doi"),
+        F.concat(F.lit("W"), "id").alias("id"), F.concat(F.lit("T"), "id").alias("title"),
+        F.lit("J").alias("host_venue"), F.lit(2001).alias("publication_year"),
+        (F.col("id") % 7).cast("int").alias("detection_score"), F.lit("s").alias("snippet"),
+        F.lit("research_article_using_icpsr").alias("icpsr_work_category")))
+    datasets = dataset_summary(works)
+    first = datasets.filter("icpsr_study_number = '7'").first()
+    assert (first["n_articles"], first["max_detection_score"], first["title"]) == (2000, 6, "T6")
+    assert datasets.agg(F.sum("n_articles")).first()[0] == ROWS
+    top = views.dataset_ranking(datasets, works, top_n=1).first()
+    assert (top["icpsr_study_number"], top["n_articles_using_dataset"]) == ("7", 2000)
+    assert views.journal_ranking(works).first()["n_articles"] == ROWS
+    mapped = {r["icpsr_study_number"]: r["openalex_work_id"]
+              for r in linkmap.build_work_map(datasets, works).collect()}
+    assert mapped["7"] == "W0" and len(mapped) == datasets.count()
