@@ -1,4 +1,4 @@
-"""Command line: ``python -m citeharbor {run,summary,map,stats} --root FOLDER``."""
+"""Command line: ``python -m citeharbor {run,import,summary,map,stats} --root FOLDER``."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from citeharbor.plans import jobs
-from citeharbor.sources.readers import read_works
+from citeharbor.sources.readers import read_articles_csv, read_works
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -16,16 +16,19 @@ def _parser() -> argparse.ArgumentParser:
     run = steps.add_parser("run", help="works and pages to all stored results")
     run.add_argument("--works", help="JSON of nested works; not needed once text is stored")
     run.add_argument("--one-array", action="store_true", help="each file holds one JSON array")
+    run.add_argument("--articles", help="CSV of flat articles, in place of works")
     run.add_argument("--pages", help="Parquet of page_id, url, html")
     run.add_argument("--without-text", action="store_true",
                      help="leave the text out of the detection table")
+    taken = steps.add_parser("import", help="take over a detection table kept as CSV")
+    taken.add_argument("--detection", required=True, help="CSV of the detection table")
     summary = steps.add_parser("summary", help="dataset summary from the stored detection table")
     summary.add_argument("--merge-numbers", action="store_true",
                          help="group by the numeric dataset number")
     work_map = steps.add_parser("map", help="dataset-to-work map from the stored summary")
     work_map.add_argument("--doi", default="doi", help="summary column that holds the DOI")
     steps.add_parser("stats", help="counts along the run")
-    for step in (run, summary, work_map, steps.choices["stats"]):
+    for step in (run, taken, summary, work_map, steps.choices["stats"]):
         step.add_argument("--root", required=True, help="folder of the stored tables")
     for step in (run, summary):
         step.add_argument("--csv", action="store_true", help="write CSV copies as well")
@@ -39,8 +42,11 @@ def main(arguments: list[str] | None = None) -> None:
     if options.step == "run":
         works = read_works(spark, options.works, options.one_array) if options.works else None
         pages = spark.read.parquet(options.pages) if options.pages else None
+        articles = read_articles_csv(spark, options.articles) if options.articles else None
         jobs.run_detection(spark, layout, works, pages, with_csv=options.csv,
-                           with_text=not options.without_text)
+                           with_text=not options.without_text, articles=articles)
+    elif options.step == "import":
+        jobs.import_detection(spark, layout, options.detection)
     elif options.step == "summary":
         if not jobs.summarize(spark, layout, options.csv, options.merge_numbers):
             print("no dataset was found; nothing is written")

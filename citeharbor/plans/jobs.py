@@ -67,10 +67,16 @@ class Layout:
         return self.path("run_counts")
 
 
-def build_articles(spark: SparkSession, layout: Layout, works: DataFrame,
-                   null_key: str = "keep", with_csv: bool = False) -> DataFrame:
-    """Raw works to the stored article table; a stored one is reused."""
+def build_articles(spark: SparkSession, layout: Layout, works: DataFrame | None = None,
+                   null_key: str = "keep", with_csv: bool = False,
+                   articles: DataFrame | None = None) -> DataFrame:
+    """Raw works, or ready-made ``articles``, to the stored article table.
+
+    A stored one is reused.
+    """
     def build() -> DataFrame:
+        if articles is not None:
+            return articles
         writers.write_json(works, layout.works)
         return dedupe_by_doi(flatten_works(works), null_key=null_key)
 
@@ -80,8 +86,9 @@ def build_articles(spark: SparkSession, layout: Layout, works: DataFrame,
     return stored
 
 
-def article_texts(spark: SparkSession, layout: Layout, works: DataFrame | None,
-                  pages: DataFrame | None, with_csv: bool = False) -> DataFrame:
+def article_texts(spark: SparkSession, layout: Layout, works: DataFrame | None = None,
+                  pages: DataFrame | None = None, with_csv: bool = False,
+                  articles: DataFrame | None = None) -> DataFrame:
     """Articles with their text, as a stored stage.
 
     Built from a stored detection table when that holds text, else from works
@@ -92,22 +99,23 @@ def article_texts(spark: SparkSession, layout: Layout, works: DataFrame | None,
         if earlier is not None:
             return earlier.drop(*schemas.TEXT_RESULT.names, *schemas.REFERENCE_RESULT.names,
                                 "icpsr_work_category")
-        return attach_fulltext(
-            build_articles(spark, layout, works, with_csv=with_csv), pages)
+        stored = build_articles(spark, layout, works, with_csv=with_csv, articles=articles)
+        return attach_fulltext(stored, pages)
 
     return load_or_build(spark, layout.texts, build, required="fulltext")
 
 
 def run_detection(spark: SparkSession, layout: Layout, works: DataFrame | None = None,
                   pages: DataFrame | None = None, patterns: PatternSet = ARCHIVE,
-                  with_csv: bool = False, with_text: bool = True) -> DataFrame:
-    """Works and pages to all stored results; returns the detection table.
+                  with_csv: bool = False, with_text: bool = True,
+                  articles: DataFrame | None = None) -> DataFrame:
+    """Works (or ready-made ``articles``) and pages to all stored results; returns the detection table.
 
     Stored text replaces works and pages; detection itself always runs again.
     ``with_text=False`` leaves the text in its own stage: then no text enters a
     shuffle or is stored twice. Later results are derived from the stored table.
     """
-    texts = article_texts(spark, layout, works, pages, with_csv)
+    texts = article_texts(spark, layout, works, pages, with_csv, articles)
     work_map = readers.read_work_map(spark, layout.work_map)
     found = with_evidence(texts, work_map, patterns=patterns, keep_text=with_text)
     writers.write_table(found, layout.detection, with_csv)
@@ -117,6 +125,14 @@ def run_detection(spark: SparkSession, layout: Layout, works: DataFrame | None =
     return table
 
 
+def import_detection(spark: SparkSession, layout: Layout, csv: str) -> DataFrame:
+    """Take over a detection table kept as CSV; every other step can follow."""
+    writers.write_table(readers.read_detection_csv(spark, csv), layout.detection)
+    table = spark.read.parquet(layout.detection)
+    writers.write_table(detected_subset(table), layout.detected)
+    return table
+
+
 def summarize(spark: SparkSession, layout: Layout, with_csv: bool = False,
               merge_numbers: bool = False) -> bool:
     """Dataset summary and optional clusters from the stored detection table.

@@ -42,6 +42,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV by column name: columns may come in any order, absent ones are NULL.
 
     A field that does not fit its type is NULL and leaves the rest of its row alone.
+    Without a ``seq`` column the position in the files is the arrival number.
     """
     reader = spark.read.options(**CSV_OPTIONS)
     header = reader.csv(path).limit(0).columns
@@ -49,6 +50,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     frame = reader.schema(text).csv(path)
     present = frame.select(*[_typed(f.name, f.dataType) for f in schema.fields
                              if f.name in header])
+    if "seq" in schema.names and "seq" not in header:
+        present = present.withColumn("seq", F.monotonically_increasing_id())
     return schemas.with_optional(present, schema).select(*schema.names)
 
 

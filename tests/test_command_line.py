@@ -47,3 +47,38 @@ def test_summary_without_datasets(spark, tmp_path, capsys):
     main(["summary", "--root", str(tmp_path / "run")])
     assert "nothing is written" in capsys.readouterr().out
     assert not (tmp_path / "run" / "detected_datasets").exists()
+
+
+def test_run_from_flat_articles(spark, tmp_path):
+    (tmp_path / "articles.csv").write_text(
+        "id,title,doi,publication_year,abstract_text,fulltext_url,record_url,referenced_works\n"
+        'W1,t,,2001.0,"ICPSR 8079,\nused",,,[]\nW2,u,,,,http://p,,[]\n')
+    spark.createDataFrame([(1, "http://p", "<p>ICPSR 9000</p>")],
+                          "page_id bigint, url string, html string",
+                          ).write.parquet(str(tmp_path / "pages"))
+    root = str(tmp_path / "run")
+    with pytest.warns(UserWarning):
+        main(["run", "--root", root, "--articles", str(tmp_path / "articles.csv"),
+              "--pages", str(tmp_path / "pages")])
+    rows = spark.read.parquet(Layout(root).detection).orderBy("seq").collect()
+    assert [(r["id"], r["icpsr_study_number"], r["publication_year"]) for r in rows] == [
+        ("W1", "8079", 2001), ("W2", "9000", None)]
+
+
+def test_taking_over_a_stored_detection_table(spark, tmp_path, capsys):
+    (tmp_path / "old.csv").write_text(
+        "id,title,doi,fulltext,has_icpsr,icpsr_study_number,detection_score,snippet,"
+        "referenced_works,icpsr_work_category\n"
+        "W1,a,10.1/a,We used ICPSR 8079.,True,8079.0,9.0,s,[],research_article_using_icpsr\n"
+        "W2,b,10.1/b,Nothing,False,,,,[],not_icpsr_related\n")
+    root = str(tmp_path / "run")
+    main(["import", "--root", root, "--detection", str(tmp_path / "old.csv")])
+    main(["summary", "--root", root])
+    row = spark.read.parquet(Layout(root).datasets).first()
+    assert (row["icpsr_study_number"], row["study_norm"], row["max_detection_score"]) == (
+        "8079.0", 8079, 9)
+    with pytest.warns(UserWarning):  # detection runs again on the imported text
+        main(["run", "--root", root])
+    rows = {r["id"]: r["detection_score"] for r in
+            spark.read.parquet(Layout(root).detection).collect()}
+    assert rows == {"W1": 3, "W2": None}
