@@ -81,10 +81,11 @@ class Chunk:
         return mix(raw + (self.ends - self.starts).astype(np.uint64))
 
 
-def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
+def spans(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple]:
     """Cut an Arrow string column into runs of whole texts of about ``size`` bytes.
 
-    A null text has no words. A text longer than ``size`` is a chunk of its own.
+    Yields first row, number of rows, bytes, and the offset of each text and of the end. A null
+    text is empty. A text longer than ``size`` is a run of its own.
     """
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     texts = texts.fill_null("")
@@ -99,5 +100,11 @@ def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
         stop = int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1
         stop = min(max(stop, row + 1), len(texts))
         low, high = offsets[row], offsets[stop]
-        yield Chunk(row, stop - row, data[low:high], (offsets[row:stop + 1] - low))
+        yield row, stop - row, data[low:high], offsets[row:stop + 1] - low
         row = stop
+
+
+def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
+    """The words of each run of :func:`spans`."""
+    for run in spans(texts, size):
+        yield Chunk(*run)
