@@ -167,7 +167,7 @@ def votes(span: Column) -> Column:
         "card": _vote(luhn(number), ~luhn(number)),
         "phone": _vote(F.length(number).between(10, 13), F.length(number) < 10),
         "secret": _vote(F.length(F.regexp_extract(value, r"([0-9a-fA-F]+)$", 1)) >= 14, F.lit(False))})
-    return F.array(_vote(span["base"], ~span["base"]), words, context, shape)
+    return F.array(_vote(span["base"]), words, context, shape)
 
 
 def look(span: Column) -> Column:
@@ -183,29 +183,30 @@ def look(span: Column) -> Column:
 def reliabilities(patterns: list[tuple[tuple[int, ...], int]], prior: float, rounds: int = ROUNDS):
     """Expectation maximisation over vote patterns and their counts.
 
-    Each labeler votes for, against or not at all, independently given the truth. Starts from labelers
-    that are right four times in five; returns the share of true spans and, by truth and labeler,
-    the probabilities of the three votes.
+    Labelers that vote are right or wrong independently given the truth; an abstention tells nothing.
+    Starts from labelers that are right four times in five. Returns the share of true spans and, by
+    truth and labeler, the probabilities of a vote for and against.
     """
     width = len(patterns[0][0]) if patterns else 0
-    good = {1: [{1: 0.6, 0: 0.25, -1: 0.15}] * width, 0: [{1: 0.15, 0: 0.25, -1: 0.6}] * width}
+    good = {1: [{1: 0.8, -1: 0.2}] * width, 0: [{1: 0.2, -1: 0.8}] * width}
     share = prior
     for _ in range(rounds):
-        mass = {1: 1e-3, 0: 1e-3}
-        told = {y: [dict.fromkeys((1, 0, -1), 1.0) for _ in range(width)] for y in (1, 0)}
+        mass = {1: 1.0, 0: 1.0}
+        told = {1: [{1: 4.0, -1: 1.0} for _ in range(width)], 0: [{1: 1.0, -1: 4.0} for _ in range(width)]}
         for pattern, n in patterns:
             p = posterior(pattern, share, good)
             for y, w in ((1, p * n), (0, (1 - p) * n)):
                 mass[y] += w
                 for k, vote in enumerate(pattern):
-                    told[y][k][vote] += w
+                    if vote:
+                        told[y][k][vote] += w
         share = min(max(mass[1] / (mass[1] + mass[0]), 0.02), 0.98)
         good = {y: [{v: c / sum(t.values()) for v, c in t.items()} for t in told[y]] for y in (1, 0)}
     return share, good
 
 
 def posterior(pattern, share, good) -> float:
-    logs = {y: math.log(s) + sum(math.log(good[y][k][v]) for k, v in enumerate(pattern))
+    logs = {y: math.log(s) + sum(math.log(good[y][k][v]) for k, v in enumerate(pattern) if v)
             for y, s in ((1, share), (0, 1 - share))}
     return 1 / (1 + math.exp(min(logs[0] - logs[1], 700)))
 
