@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding with a given BPE model, by suffix-array matching.
 
-For each batch of texts the distinct segments (a run of spaces and the word after it) are joined
-into one text and a suffix array is built over it. Every piece of the vocabulary is looked up by
+Each batch of texts is cut wherever no piece can reach over (so before most words and marks), the
+distinct segments are joined into one text and a suffix array is built over it. Every piece of the vocabulary is looked up by
 binary search, which gives the range of its occurrences; these are the edges of a lattice. Sorted by
 position, the edges are relaxed from left to right. An edge may follow the piece that ends where it
 begins only if BPE would leave these two pieces side by side; then each place has one piece that
@@ -10,18 +10,16 @@ reaches it, and the path to the end is the BPE encoding itself, the library's id
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
-INDEX_CHARS = 400_000  # characters of distinct segments that one suffix array covers
-PACK, CODE_BITS = 3, 21  # code points packed into one key
+INDEX_CHARS = 500_000  # characters of distinct segments that one suffix array covers
 CACHE_BITS = 20
 NEVER = np.iinfo(np.int64).max
 
@@ -31,7 +29,7 @@ class Vocabulary:
     """Pieces as numbers: keys for the search, merge ranks, canonical halves, pairs that merge."""
 
     ids: np.ndarray  # id of each piece that a text can hold, and -1 for a character without one
-    keys: np.ndarray  # packed code points, padded with zeros
+    codes: np.ndarray  # character numbers of each piece, padded with zeros
     lengths: np.ndarray
     rank: np.ndarray  # when BPE builds the piece; -1 for single characters
     left: np.ndarray
@@ -41,7 +39,8 @@ class Vocabulary:
     alone: np.ndarray  # BPE builds this piece from its own characters
     byte_ids: np.ndarray
     texts: list[bytes]  # by id; b"" for control pieces
-    unknown_id: int
+    letters: np.ndarray  # number of each code point, 0 if no piece has it
+    joins: np.ndarray  # whether some piece has these two characters side by side
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -70,8 +69,6 @@ class Vocabulary:
 
     @classmethod
     def build(cls, normal, byte_ids, texts) -> Vocabulary:
-        if any(SPACE in p.lstrip(SPACE) for _, p, _ in normal):
-            raise ValueError("a piece reaches over the start of a word")
         names = [p for _, p, _ in normal]
         number = {p: k for k, p in enumerate(names)}
         order = sorted(range(len(names)), key=lambda k: -normal[k][2])
@@ -95,14 +92,22 @@ class Vocabulary:
         keyed = np.array([a * (len(names) + 1) + b for a, b in pairs], dtype=np.int64)
         by_key = np.argsort(keyed)
         lengths = np.array([len(n) for n in names])
-        width = -(-int(lengths.max(initial=1)) // PACK)
-        codes = np.zeros((len(names), width * PACK), dtype=np.uint64)
+        width = -(-int(lengths.max(initial=1)) // 8) * 8
+        # Characters of longer pieces come first, so that the table of neighbours is small.
+        inner = sorted({c for n in names if len(n) > 1 for c in n})
+        single = sorted({n for n in names if len(n) == 1} - set(inner))
+        letters = np.zeros(0x110000, dtype=np.uint16)
+        letters[[ord(c) for c in inner + single]] = np.arange(1, len(inner) + len(single) + 1)
+        joins = np.zeros((len(inner) + 1, len(inner) + 1), dtype=bool)
+        codes = np.zeros((len(names), width), dtype=np.uint64)
         for k, name in enumerate(names):
-            codes[k, :len(name)] = [ord(c) for c in name]
+            own = letters[[ord(c) for c in name]]
+            codes[k, :len(name)] = own
+            joins[own[:-1], own[1:]] = True
         return cls(
-            np.array([i for i, _, _ in normal] + [-1]), _packed(codes), lengths, rank, left, right,
+            np.array([i for i, _, _ in normal] + [-1]), codes, lengths, rank, left, right,
             keyed[by_key], np.array(list(pairs.values()), dtype=np.int64)[by_key], alone,
-            byte_ids, texts, int(byte_ids.min()))
+            byte_ids, texts, letters, joins)
 
     @staticmethod
     def _merge(symbols, pairs, order):
@@ -143,32 +148,37 @@ class Vocabulary:
         return good
 
 
-def _packed(codes: np.ndarray) -> np.ndarray:
-    """Rows of code points as rows of keys, ``PACK`` code points in each."""
-    keys = np.zeros((len(codes), codes.shape[1] // PACK), dtype=np.uint64)
-    for k in range(PACK):
-        keys = (keys << np.uint64(CODE_BITS)) | codes[:, k::PACK]
+def _packed(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Rows of character numbers as rows of keys, as many of ``bits`` bits in each as fit."""
+    pack = 64 // bits
+    keys = np.zeros((len(codes), codes.shape[1] // pack), dtype=np.uint64)
+    for k in range(pack):
+        keys = (keys << np.uint64(bits)) | codes[:, k::pack]
     return keys
 
 
-def suffix_array(text: np.ndarray, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Order of all suffixes by their first ``PACK * width`` code points, and the sorted keys."""
-    padded = np.zeros(len(text) + PACK * width, dtype=np.uint64)
+def suffix_array(text: np.ndarray, longest: int, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Order of all suffixes by their first ``longest`` characters at least, and the sorted keys."""
+    pack = 64 // bits
+    width = -(-longest // pack)
+    padded = np.zeros(len(text) + pack * width, dtype=np.uint64)
     padded[:len(text)] = text
-    key = np.zeros(len(text) + PACK * (width - 1), dtype=np.uint64)
-    for k in range(PACK):
-        key = (key << np.uint64(CODE_BITS)) | padded[k:k + len(key)]
-    keys = [key[PACK * w:PACK * w + len(text)] for w in range(width)]
-    order = np.lexsort(keys[::-1])
+    key = np.zeros(len(text) + pack * (width - 1), dtype=np.uint64)
+    for k in range(pack):
+        key = (key << np.uint64(bits)) | padded[k:k + len(key)]
+    keys = [key[pack * w:pack * w + len(text)] for w in range(width)]
+    order = np.lexsort(keys[::-1]) if width > 1 else np.argsort(keys[0])
     return order, [k[order] for k in keys]
 
 
-def occurrences(keys: list[np.ndarray], pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Range in the suffix array of each piece, by binary search of all pieces at once."""
+def occurrences(keys: list[np.ndarray], pieces: np.ndarray, lengths: np.ndarray, bits: int):
+    """First place and end in the suffix array of each piece, by binary search of all at once."""
+    pack = 64 // bits
     last = pieces.copy()
     for w in range(pieces.shape[1]):
-        free = np.clip(PACK * (w + 1) - lengths, 0, PACK).astype(np.uint64)
-        last[:, w] |= (np.uint64(1) << (free * np.uint64(CODE_BITS))) - np.uint64(1)
+        free = np.clip(pack * (w + 1) - lengths, 0, pack)
+        ones = np.array([(1 << (int(f) * bits)) - 1 for f in range(pack + 1)], dtype=np.uint64)
+        last[:, w] |= ones[free]
 
     def first_above(bound, or_equal):
         low, high = np.zeros(len(bound), dtype=np.int64), np.full(len(bound), len(keys[0]))
@@ -234,13 +244,24 @@ class Encoder:
         lengths = np.array([len(n) for n in names])
         ends = np.cumsum(lengths + 1) - 1
         starts = ends - lengths
-        order, keys = suffix_array(text, v.keys.shape[1])
-        low, high = occurrences(keys, v.keys, v.lengths)
+        letters = v.letters[text]
+        here = np.unique(letters)
+        # Few different characters, as in most batches, need eight bits each; the pieces that have
+        # others cannot occur.
+        bits = 8 if len(here) < 256 else 16
+        number = np.zeros(int(v.codes.max(initial=0)) + 1, dtype=np.uint64)
+        number[here[here > 0]] = np.arange(1, (here > 0).sum() + 1) if bits == 8 else here[here > 0]
+        known = np.flatnonzero(((v.codes == 0) | (number[v.codes] > 0)).all(axis=1) & v.alone[:-1])
+        longest = int(v.lengths[known].max(initial=1))
+        order, keys = suffix_array(number[letters], longest, bits)
+        width = len(keys) * (64 // bits)
+        coded = np.zeros((len(known), width), dtype=np.uint64)
+        shown = min(width, v.codes.shape[1])
+        coded[:, :shown] = number[v.codes[known][:, :shown]]
+        low, high = occurrences(keys, _packed(coded, bits), v.lengths[known], bits)
         counts = high - low
-        piece = np.repeat(np.arange(len(low)), counts)
+        piece = np.repeat(known, counts)
         place = order[np.repeat(low - np.append(0, np.cumsum(counts)[:-1]), counts) + np.arange(len(piece))]
-        usable = v.alone[piece]
-        piece, place = piece[usable], place[usable]
         # A character without a piece is an edge of its own, later spelled in bytes.
         single = np.zeros(len(text), dtype=bool)
         single[place[v.lengths[piece] == 1]] = True
@@ -297,24 +318,41 @@ class Encoder:
         offsets = np.searchsorted(owners[row], np.arange(len(ends) + 1)).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
 
+    def cuts(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Byte offsets at which the segments of UTF-8 bytes begin; texts begin at ``starts``."""
+        lead = np.flatnonzero((raw & 0xC0) != 0x80)
+        code = self.v.letters[np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode(
+            "utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        code[code >= len(self.v.joins)] = 0
+        new = np.ones(len(lead), dtype=bool)
+        new[1:] = ~self.v.joins[code[:-1], code[1:]]
+        new[np.searchsorted(lead, starts)] = True
+        return lead[new]
+
     def texts(self, texts: pa.Array) -> pa.ListArray:
         """Ids of each text; a null or empty text has none."""
-        pieces, counts = [], []
-        for text in texts.to_pylist():
-            found = SEGMENT.findall(SPACE + text.replace(" ", SPACE)) if text else []
-            counts.append(len(found))
-            pieces += found
-        coded = pa.array(pieces, pa.string()).dictionary_encode()
+        spaced = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), " ", SPACE)
+        full = pc.if_else(pc.equal(spaced, ""), "", pc.binary_join_element_wise(
+            pa.scalar("", pa.large_string()), spaced, pa.scalar(SPACE, pa.large_string())))
+        bounds = np.frombuffer(full.buffers()[1], dtype=np.int64)[full.offset:full.offset + len(full) + 1]
+        if not len(full) or bounds[-1] == bounds[0]:
+            return pa.array([[]] * len(full), pa.list_(pa.int32()))
+        raw = np.frombuffer(full.buffers()[2], dtype=np.uint8)[bounds[0]:bounds[-1]]
+        bounds = bounds - bounds[0]
+        begin = self.cuts(raw, bounds[:-1][np.diff(bounds) > 0])
+        offsets = np.append(begin, len(raw)).astype(np.int64)
+        pieces = pa.LargeStringArray.from_buffers(
+            len(begin), pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes()))
+        coded = pieces.dictionary_encode()
         known = self.segments(coded.dictionary.to_pylist())
         lists = known.take(coded.indices)
-        offsets = lists.offsets.to_numpy()[np.append(0, np.cumsum(counts)).astype(np.int64)] if len(lists) else \
-            np.zeros(len(counts) + 1, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), lists.flatten())
+        ends = lists.offsets.to_numpy()[np.searchsorted(begin, bounds)]
+        return pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), lists.flatten())
 
 
 def decoded(vocabulary: Vocabulary, ids) -> str:
     """Text of a list of ids: pieces joined, the leading space dropped, broken UTF-8 replaced."""
-    text = b"".join([vocabulary.texts[i] for i in ids]).decode("utf-8", "replace")
+    text = b"".join(map(vocabulary.texts.__getitem__, ids)).decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
 
 
@@ -355,6 +393,6 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
     @F.arrow_udf("string")
     def text(lists: pa.Array) -> pa.Array:
-        return pa.array([decoded(shared.value, x or ()) for x in lists.to_pylist()], pa.string())
+        return pa.array([decoded(shared.value, x.values.tolist() if x.is_valid else ()) for x in lists], pa.string())
 
     return encoded.withColumn("decoded", text(F.col("ids")))
