@@ -18,8 +18,12 @@ def _parser() -> argparse.ArgumentParser:
     run.add_argument("--one-array", action="store_true", help="each file holds one JSON array")
     run.add_argument("--articles", help="CSV of flat articles, in place of works")
     run.add_argument("--pages", help="Parquet of page_id, url, html")
-    run.add_argument("--without-text", action="store_true",
-                     help="leave the text out of the detection table")
+    run.add_argument("--with-text", action="store_true", help="keep the text in the detection table")
+    run.add_argument("--reuse", action="store_true", help="use stored articles and text, whatever is given")
+    run.add_argument("--collapse-missing-doi", action="store_true", help="keep one work without a DOI")
+    run.add_argument("--include-ref-hits", action="store_true", help="works with a citation hit only are detected too")
+    run.add_argument("--strict-prefix", action="store_true", help="test the stored DOI for being the archive's own")
+    run.add_argument("--docs-first", action="store_true", help="label documents of the archive before evidence")
     taken = steps.add_parser("import", help="take over a detection table kept as CSV")
     taken.add_argument("--detection", required=True, help="CSV of the detection table")
     summary = steps.add_parser("summary", help="dataset summary from the stored detection table")
@@ -44,7 +48,10 @@ def main(arguments: list[str] | None = None) -> None:
         pages = spark.read.parquet(options.pages) if options.pages else None
         articles = read_articles_csv(spark, options.articles) if options.articles else None
         jobs.run_detection(spark, layout, works, pages, with_csv=options.csv,
-                           with_text=not options.without_text, articles=articles)
+                           with_text=options.with_text, articles=articles, reuse=options.reuse,
+                           null_key="collapse" if options.collapse_missing_doi else "keep",
+                           include_ref_hits=options.include_ref_hits,
+                           strict_prefix=options.strict_prefix, docs_first=options.docs_first)
     elif options.step == "import":
         jobs.import_detection(spark, layout, options.detection)
     elif options.step == "summary":

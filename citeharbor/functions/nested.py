@@ -11,21 +11,31 @@ from citeharbor.functions.core import as_column, strip
 def parse_references(cell: Column | str) -> Column:
     """Reference list of a cell as ``array<string>``, never NULL.
 
-    A JSON list is taken as it is (a null element becomes ``"None"``). Text that
-    is not JSON is split at ``;`` when it has one. Everything else is empty.
+    A JSON list is taken as it is; null, true and false become ``None``, ``True`` and ``False``.
+    JSON is strict: double quotes, nothing after the value. Text that is not JSON is split at ``;``
+    when it has one. Everything else is empty.
     """
     cell = as_column(cell)
-    as_list = F.transform(
-        F.from_json(cell, "array<string>"), lambda x: F.coalesce(x, F.lit("None")))
+    value = F.when(~cell.rlike(_NOT_JSON), F.try_parse_json(cell))
+    as_list = F.transform(value.try_cast("array<variant>"), _spelled)
     pieces = F.filter(F.transform(F.split(cell, ";"), strip), lambda x: x != "")
-    looks_like_list = F.ltrim(cell).startswith("[")
-    no_json = cell.contains(";") & F.try_parse_json(cell).isNull()
     return F.coalesce(
-        F.when(looks_like_list & ~no_json, as_list),
-        F.when(no_json, pieces),
+        F.when(value.isNotNull() & F.ltrim(cell).startswith("["), as_list),
+        F.when(value.isNull() & cell.contains(";"), pieces),
         F.array().cast("array<string>"))
 
 
+#: What the tolerant parser lets pass: text after the list, and single quotes around an element.
+_NOT_JSON = r"^\s*\[(?:[^\"]|\"(?:[^\"\\]|\\.)*+\")*?\]\s*[^\s\],}]|^\s*\[\s*'|,\s*'"
+
+
+def _spelled(element: Column) -> Column:
+    kind = F.schema_of_variant(element)
+    text = element.cast("string")
+    return (F.when(element.isNull() | F.is_variant_null(element), "None")
+            .when(kind == "BOOLEAN", F.initcap(text)).otherwise(text))
+
+
 def name_nulls(references: Column | str) -> Column:
     """A reference list that is an array already: NULL elements become ``"None"``."""
     return F.coalesce(

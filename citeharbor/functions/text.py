@@ -95,7 +95,8 @@ _REFERENCE = re.compile("&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);?")
 def _reference_char(match: re.Match) -> str:
     name = match[1] + ";"
     known = name[0] == "#" or name in entities.html5
-    return html_module.unescape("&" + name) if known else match[0]
+    # A number of thousands of digits is no character; it is left as it is.
+    return html_module.unescape("&" + name) if known and len(name) <= 100 else match[0]
 
 
 @F.pandas_udf(T.StringType())

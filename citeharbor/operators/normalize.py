@@ -18,13 +18,11 @@ FIRST_YEAR, LAST_YEAR = 2000, 2024
 
 def source_filter(works: DataFrame, terms: Sequence[str] = SEARCH_TERMS,
                   first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR,
-                  text_columns: Sequence[str] = ("title", "abstract_text"),
-                  page_size: int | None = None, pages: int | None = None) -> DataFrame:
+                  text_columns: Sequence[str] = ("title", "abstract_text")) -> DataFrame:
     """Open-access works of the given years that mention one of the terms.
 
     Every predicate is a plain column test, so the flag and year tests reach
-    the Parquet reader. ``page_size`` and ``pages`` together limit a request, as
-    a source that answers in pages would; by default all works are kept.
+    the Parquet reader. All such works are kept.
     """
     kept = works.filter(
         F.col("is_oa") & F.col("publication_year").between(first_year, last_year))
@@ -35,7 +33,7 @@ def source_filter(works: DataFrame, terms: Sequence[str] = SEARCH_TERMS,
             for term in terms:
                 hit = hit | text.contains(term.lower())
         kept = kept.filter(hit)
-    return kept if page_size is None or pages is None else kept.limit(page_size * pages)
+    return kept
 
 
 def fulltext_url(pdf: Column, landing: Column, oa_status: Column, oa_url: Column) -> Column:
@@ -65,9 +63,24 @@ def flatten_works(works: DataFrame, keep: Sequence[str] = ("seq",)) -> DataFrame
                   {"ignoreNullFields": "false"}).alias("referenced_works"))
 
 
-def union_results(results: Sequence[DataFrame], tag: str = "query_ord") -> DataFrame:
-    """Bag union of the results of several requests; ``tag`` keeps the request order."""
-    tagged = [df.withColumn(tag, F.lit(i)) for i, df in enumerate(results)]
+def union_results(results: Sequence[DataFrame], tag: str = "query_ord",
+                  key: str = "seq") -> DataFrame:
+    """Bag union of the results of several requests; ``tag`` keeps the request order.
+
+    ``key`` is numbered anew so that it stays unique: each request follows on the largest number of
+    the one before, which keeps the order by request and arrival. ``source_<key>`` has the old
+    number. One pass over that column finds the bounds.
+    """
+    tagged, begin = [], None
+    for i, df in enumerate(results):
+        df = df.withColumn(tag, F.lit(i))
+        if key in df.columns:
+            low, high = df.agg(F.min(key), F.max(key)).first()
+            begin = (low or 0) if begin is None else begin
+            shift = begin - (low or 0)
+            df = df.withColumn(f"source_{key}", F.col(key)).withColumn(key, F.col(key) + F.lit(shift))
+            begin += 0 if high is None else high - low + 1
+        tagged.append(df)
     return reduce(lambda a, b: a.unionByName(b), tagged)
 
 

@@ -40,7 +40,9 @@ CREATOR_WORD = "investigator"
 VOID_TAGS = frozenset((
     "area base br col embed hr img input keygen link menuitem meta param source track wbr "
     "basefont bgsound command frame image isindex nextid spacer").split())
-NEEDS_PARSER = r"(?i)badge|subject-list|description|abstract|investigator"
+# Pages that can hold such a field: the name in a class or id, the word, or encoded characters.
+NEEDS_PARSER = (r"(?i)(?:class|id)\s*=[^>]*(?:badge|subject-list|description|abstract|&)"
+                r"|investigator|&#")
 
 
 class _Fields(HTMLParser):
@@ -109,8 +111,11 @@ def _nested_fields(html: str | None):
     if html is None:
         return None, None, None
     page = _Fields()
-    page.feed(html)
-    page.close()
+    try:
+        page.feed(html)
+        page.close()
+    except Exception:  # noqa: BLE001 - markup that the parser refuses: the page has no such fields
+        return None, None, None
     subjects = {"".join(parts) for parts in page.badges + page.listed}
     creators = {" ".join(parts) for parts in page.credits}
     description = next((" ".join(parts) for parts in page.places if parts is not None), None)

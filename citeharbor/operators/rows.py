@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citeharbor.sources.stages import cut
 
 BUCKET_BITS = 16
+NULL_BUCKET = -(1 << 47) - 1  # before the bucket of the smallest number
 
 
 def _running_total(counts: DataFrame, bucket: str, levels: int) -> DataFrame:
@@ -31,13 +32,14 @@ def _running_total(counts: DataFrame, bucket: str, levels: int) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, order: str = "seq", name: str = "row_id") -> DataFrame:
-    """Add the 0-based position of each row in ``order``, a unique non-NULL integer.
+    """Add the 0-based position of each row in ``order``, a unique integer; NULLs come first.
 
     ``order`` is cut into ranges of ``2**BUCKET_BITS`` values. A range holds at
     most that many rows, so ranges are numbered independently and shifted by the
     row count of all earlier ranges. Reads ``df`` twice: pass a stored table.
     """
-    ranged = df.withColumn("_bucket", F.shiftright(F.col(order).cast("bigint"), BUCKET_BITS))
+    ranged = df.withColumn("_bucket", F.coalesce(
+        F.shiftright(F.col(order).cast("bigint"), BUCKET_BITS), F.lit(NULL_BUCKET)))
     counts = cut(ranged.groupBy("_bucket").agg(F.count("*").alias("n")))
     offsets = _running_total(counts, "_bucket", levels=2)
     local = F.row_number().over(Window.partitionBy("_bucket").orderBy(order)) - 1

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeharbor.operators.components import components
 from citeharbor.sources.stages import cut
 
 
@@ -16,24 +14,17 @@ def summary_text(datasets: DataFrame) -> DataFrame:
     return datasets.withColumn("text", F.concat_ws(" ", "title", "snippet"))
 
 
-def cluster_datasets(datasets: DataFrame, k: int = 8, seed: int = 42,
-                     features: int = 1 << 14) -> DataFrame:
-    """Summary rows with a ``cluster`` number from k-means on normalised tf-idf.
+def cluster_datasets(datasets: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Summary rows with ``cluster``: datasets linked by similar texts, directly or through others.
 
-    There are never more clusters than rows; a single row is cluster 0.
+    A cluster is named after its smallest dataset number. Every link is an exact cosine similarity
+    of ``threshold`` or more, so the result does not depend on partitioning or order.
     """
-    k = min(k, datasets.limit(k).count())
-    if k < 2:
-        return datasets.withColumn("cluster", F.lit(0))
-    stages = Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
-        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features),
-        IDF(inputCol="_counts", outputCol="_weights"),
-        Normalizer(inputCol="_weights", outputCol="_unit"),
-        KMeans(featuresCol="_unit", predictionCol="cluster", k=k, seed=seed),
-    ])
-    texts = summary_text(datasets)
-    return stages.fit(texts).transform(texts).select(*datasets.columns, "cluster")
+    links = similar_groups(datasets, threshold).select(F.col("study_a").alias("a"), F.col("study_b").alias("b"))
+    roots = components(links).select(F.col("node").alias("group_study"), "root")
+    named = text_leaders(datasets).select("text", "group_study").join(roots, "group_study", "left").select(
+        "text", F.coalesce("root", "group_study").alias("cluster"))
+    return summary_text(datasets).join(named, "text").select(*datasets.columns, "cluster")
 
 
 def text_leaders(datasets: DataFrame) -> DataFrame:

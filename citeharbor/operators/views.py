@@ -17,7 +17,7 @@ from citeharbor.functions.identifiers import (
     DATA_DOCUMENT, RESEARCH, STUDY_PAGE, doi_link, study_key, study_link, to_number)
 from citeharbor.functions.labels import dataset_label, row_label, year_range
 from citeharbor.operators.rows import with_row_id
-from citeharbor.schemas import VIEW_COLUMNS, pick_columns, with_optional
+from citeharbor.schemas import DATASETS, VIEW_COLUMNS, pick_columns, with_optional
 
 SEARCH_COLUMNS = ("title", "doi", "authors", "journal")
 ARTICLE_TYPES = {"research": RESEARCH, "data_doc": DATA_DOCUMENT}
@@ -207,13 +207,28 @@ def dataset_usage(articles: DataFrame) -> DataFrame:
 
 
 def used_datasets(datasets: DataFrame, articles: DataFrame) -> DataFrame:
-    """Datasets used by at least one linked research work, with that count."""
-    return prepare_datasets(datasets).join(dataset_usage(articles), "study_norm")
+    """Datasets used by at least one linked research work, with that count; one row each."""
+    return merged_datasets(datasets).join(dataset_usage(articles), "study_norm")
+
+
+def merged_datasets(datasets: DataFrame) -> DataFrame:
+    """One row per dataset, whatever spellings of its number the summary has.
+
+    Works add up; number, title and link are those of the smallest spelling.
+    """
+    rows = with_optional(prepare_datasets(datasets), DATASETS).filter(F.col("study_norm").isNotNull())
+    return rows.groupBy("study_norm").agg(
+        F.min_by(F.struct("icpsr_study_number", "title", "doi", "snippet", "icpsr_link"),
+                 "icpsr_study_number").alias("m"),
+        F.sum("n_articles").alias("n_articles"), F.max("max_detection_score").alias("max_detection_score"),
+        (F.sum(F.col("mean_detection_score") * F.col("n_articles")) / F.sum(F.when(
+            F.col("mean_detection_score").isNotNull(), F.col("n_articles")))).alias("mean_detection_score"),
+    ).select("m.*", "study_norm", "n_articles", "max_detection_score", "mean_detection_score")
 
 
 def dataset_totals(datasets: DataFrame, articles: DataFrame) -> DataFrame:
     return used_datasets(datasets, articles).agg(
-        F.count_distinct("study_norm").alias("n_distinct_datasets"),
+        F.count("*").alias("n_distinct_datasets"),
         F.count_if(F.col("n_articles_using_dataset") > 0).alias("n_reused_datasets"))
 
 

@@ -142,7 +142,7 @@ def q_html_text(spark, sf_dir):
 
 @query
 def q_page_metadata(spark, sf_dir):
-    return pages.page_metadata(spread(read_table(spark, sf_dir, "pages"), "page_id"))
+    return pages.page_metadata(fixtures.study_pages(spark, sf_dir))
 
 
 # --- acquisition --------------------------------------------------------------------
@@ -155,14 +155,14 @@ def _two_requests(spark, sf_dir):
 @query
 def q_dedup_doi(spark, sf_dir):
     kept = normalize.dedupe_by_doi(_two_requests(spark, sf_dir), ("query_ord", "seq"))
-    return kept.select("query_ord", "seq", "id", "doi")
+    return kept.select("query_ord", F.col("source_seq").alias("seq"), "id", "doi")
 
 
 @query
 def q_dedup_doi_collapse(spark, sf_dir):
     kept = normalize.dedupe_by_doi(
         _two_requests(spark, sf_dir), ("query_ord", "seq"), null_key="collapse")
-    return kept.select("query_ord", "seq", "id", "doi")
+    return kept.select("query_ord", F.col("source_seq").alias("seq"), "id", "doi")
 
 
 @query
@@ -182,6 +182,27 @@ def q_csv_roundtrip(spark, sf_dir):
     return read_csv(spark, path, table.schema)
 
 
+@query
+def q_detection_csv(spark, sf_dir):
+    """A detection table kept as CSV files with two column orders, one with a column more."""
+    table = fixtures.detected(spark, sf_dir).select(
+        "seq", "id", "title", "doi", "publication_year", "has_icpsr", "icpsr_study_number", "detection_score")
+    path = f"{shared_folder(spark)}/citeharbor/csv-{uuid.uuid4().hex}"
+    write_csv(table.filter("seq % 2 = 0").withColumn("work_type", F.concat(F.lit("type "), F.col("seq") % 5)),
+              f"{path}/part=0")
+    write_csv(table.filter("seq % 2 = 1").select(*reversed(table.columns)), f"{path}/part=1")
+    back = read_csv(spark, f"{path}/part=*", schemas.DETECTION, keep_extra=True)
+    return back.select(*table.columns, "work_type")
+
+
+@query
+def q_union_references(spark, sf_dir):
+    """Two requests with the same arrival numbers, united, then matched with the map."""
+    union = _two_requests(spark, sf_dir).select("query_ord", "source_seq", "seq", "referenced_works")
+    found = references.with_references(union, fixtures.work_map(spark, sf_dir))
+    return found.select("query_ord", "source_seq", "ref_has_icpsr", "ref_icpsr_work_ids")
+
+
 # --- detection ------------------------------------------------------------------------
 
 @query
@@ -294,7 +315,7 @@ def q_dataset_text_groups(spark, sf_dir):
 @query
 def q_cluster_datasets(spark, sf_dir):
     datasets = summary.dataset_summary(fixtures.detected_stage(spark, sf_dir))
-    return similarity.cluster_datasets(datasets)
+    return similarity.cluster_datasets(datasets).select("icpsr_study_number", "cluster")
 
 
 # --- report views ---------------------------------------------------------------------
@@ -363,6 +384,32 @@ def q_journal_datasets(spark, sf_dir):
     return views.journal_datasets(_view(spark, sf_dir), _summary(spark, sf_dir))
 
 
+@query
+def q_article_lookup(spark, sf_dir):
+    """The card of the article with the highest score."""
+    numbered = _search(spark, sf_dir)
+    best = numbered.orderBy(F.desc("detection_score"), "seq").first()
+    return views.article_detail(numbered, best["row_id"] if best else -1)
+
+
+@query
+def q_dataset_lookup(spark, sf_dir):
+    """The summary row of the most used dataset."""
+    datasets = _summary(spark, sf_dir)
+    best = views.dataset_ranking(datasets, _view(spark, sf_dir), 1).select("icpsr_study_number")
+    number = identifiers.study_key("icpsr_study_number")
+    return views.prepare_datasets(datasets).join(
+        best.select(number.alias("study_norm")), "study_norm", "left_semi").orderBy("icpsr_study_number").limit(1)
+
+
+@query
+def q_journal_rows(spark, sf_dir):
+    """Works of the first journal by name."""
+    view = _view(spark, sf_dir)
+    first = views.journals(view).agg(F.min("journal").alias("journal"))
+    return views.dataset_articles(view.join(first, "journal", "left_semi"))
+
+
 @query
 def q_journal_profile(spark, sf_dir):
     return views.journal_profile(_view(spark, sf_dir))

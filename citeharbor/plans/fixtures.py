@@ -16,7 +16,7 @@ WORK_URL = "https://openalex.org/W"
 ARTICLES_SQL = r"""
 SELECT doc_id AS seq,
  concat('https://openalex.org/W', doc_id) AS id,
- concat('Title ', doc_id, ' ', substring(text, 1, 40)) AS title,
+ concat('Title ', doc_id, ' ', CASE WHEN doc_id % 3 = 0 THEN text ELSE split_part(text, '.', 1) END) AS title,
  CASE WHEN doc_id % 11 = 0 THEN NULL
       WHEN doc_id % 13 = 1 THEN concat('https://doi.org/10.5555/dup', doc_id % 40)
       WHEN doc_id % 17 = 2 THEN concat('https://doi.org/10.3886/icpsr', lpad(CAST(1000 + doc_id % 37 AS STRING), 5, '0'))
@@ -75,15 +75,29 @@ FROM articles w LEFT JOIN pages p ON p.page_id = w.seq
 """
 
 
+# Landing pages with every field: title, badges, a subject list, descriptions, creators and a DOI.
+STUDY_PAGES_SQL = r"""
+SELECT page_id, concat('<html><head><title>x</title></head><body><h1>Study <b>', page_id, '</b> &amp; more</h1>',
+ CASE WHEN page_id % 3 = 0 THEN concat('<a class="x badge">Topic ', page_id % 7, '</a><a class="badge">Topic <i>b</i></a>') ELSE '' END,
+ CASE WHEN page_id % 4 = 1 THEN concat('<ul class="subject-list"><li><a href="/s">Item ', page_id % 5, '</a></li></ul>') ELSE '' END,
+ CASE page_id % 5 WHEN 0 THEN concat('<div class="abstract"><p>About ', page_id, '</p><p>end</p></div>')
+   WHEN 1 THEN concat('<div class="abstract">late</div><section id="description">First ', page_id, '</section>')
+   WHEN 2 THEN concat('<p class="description">Text &lt;', page_id, '&gt;</p>') ELSE '' END,
+ CASE WHEN page_id % 6 = 2 THEN concat('<span>Principal Investigator: Dr ', page_id, '</span>') ELSE '' END,
+ CASE WHEN page_id % 12 = 2 THEN '<a href="/i">Co-Investigator B</a>' ELSE '' END,
+ CASE WHEN page_id % 8 = 4 THEN concat('<p>See https://doi.org/10.3886/ICPSR0', 1000 + page_id, '.v1 now</p>') ELSE '' END,
+ '<p>', url, '</p></body></html>') AS html
+FROM pages
+"""
+
+
 def _run(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
     """Run SQL whose table names stand for the given frames."""
-    for name, frame in tables.items():
-        tag = hashlib.md5(str(id(frame)).encode()).hexdigest()[:12]
-        view = f"{name}_{tag}"
-        frame.createOrReplaceTempView(view)
+    sql = sql.replace("{", "{{").replace("}", "}}")
+    for name in tables:
         for word in ("FROM", "JOIN"):
-            sql = sql.replace(f"{word} {name}", f"{word} {view}")
-    return spark.sql(sql)
+            sql = sql.replace(f"{word} {name}", f"{word} {{{name}}}")
+    return spark.sql(sql, **tables)
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +105,11 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, ARTICLES_SQL, documents=read_table(spark, sf_dir, "documents"))
 
 
+def study_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landing pages that hold every field, one per page."""
+    return _run(spark, STUDY_PAGES_SQL, pages=read_table(spark, sf_dir, "pages"))
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, spread over the cores for per-row text work."""
     return spread(read_table(spark, sf_dir, "documents"), "doc_id")

@@ -69,18 +69,21 @@ class Layout:
 
 def build_articles(spark: SparkSession, layout: Layout, works: DataFrame | None = None,
                    null_key: str = "keep", with_csv: bool = False,
-                   articles: DataFrame | None = None) -> DataFrame:
+                   articles: DataFrame | None = None, reuse: bool = False) -> DataFrame:
     """Raw works, or ready-made ``articles``, to the stored article table.
 
-    A stored one is reused.
+    What is given replaces a stored table, unless ``reuse`` asks for that one; it is also used when
+    nothing is given.
     """
+    given = works is not None or articles is not None
+
     def build() -> DataFrame:
         if articles is not None:
             return articles
         writers.write_json(works, layout.works)
         return dedupe_by_doi(flatten_works(works), null_key=null_key)
 
-    stored = load_or_build(spark, layout.articles, build, required="id")
+    stored = load_or_build(spark, layout.articles, build, required="id", rebuild=given and not reuse)
     if with_csv:
         writers.write_csv(stored, f"{layout.articles}_csv")
     return stored
@@ -88,39 +91,45 @@ def build_articles(spark: SparkSession, layout: Layout, works: DataFrame | None
 
 def article_texts(spark: SparkSession, layout: Layout, works: DataFrame | None = None,
                   pages: DataFrame | None = None, with_csv: bool = False,
-                  articles: DataFrame | None = None) -> DataFrame:
+                  articles: DataFrame | None = None, null_key: str = "keep",
+                  reuse: bool = False) -> DataFrame:
     """Articles with their text, as a stored stage.
 
-    Built from a stored detection table when that holds text, else from works
-    and pages; a stored stage replaces both.
+    Works, articles or pages that are given are processed and replace the stored text, unless
+    ``reuse`` asks for that. Without any, the stored text is used, or that of a stored detection
+    table.
     """
+    rebuild = not reuse and not (works is None and articles is None and pages is None)
+
     def build() -> DataFrame:
-        earlier = usable_stage(spark, layout.detection, "fulltext")
+        earlier = None if rebuild else usable_stage(spark, layout.detection, "fulltext")
         if earlier is not None:
             return earlier.drop(*schemas.TEXT_RESULT.names, *schemas.REFERENCE_RESULT.names,
                                 "icpsr_work_category")
-        stored = build_articles(spark, layout, works, with_csv=with_csv, articles=articles)
+        stored = build_articles(spark, layout, works, null_key, with_csv, articles, reuse)
         return attach_fulltext(stored, pages)
 
-    return load_or_build(spark, layout.texts, build, required="fulltext")
+    return load_or_build(spark, layout.texts, build, required="fulltext", rebuild=rebuild)
 
 
 def run_detection(spark: SparkSession, layout: Layout, works: DataFrame | None = None,
                   pages: DataFrame | None = None, patterns: PatternSet = ARCHIVE,
-                  with_csv: bool = False, with_text: bool = True,
-                  articles: DataFrame | None = None) -> DataFrame:
+                  with_csv: bool = False, with_text: bool = False,
+                  articles: DataFrame | None = None, reuse: bool = False, null_key: str = "keep",
+                  include_ref_hits: bool = False, **category_options) -> DataFrame:
     """Works (or ready-made ``articles``) and pages to all stored results; returns the detection table.
 
-    Stored text replaces works and pages; detection itself always runs again.
-    ``with_text=False`` leaves the text in its own stage: then no text enters a
-    shuffle or is stored twice. Later results are derived from the stored table.
+    Stored text is used when no input is given, or with ``reuse``; detection itself always runs
+    again. The text stays in its own stage and enters no shuffle, unless ``with_text`` asks for it in
+    the detection table. Later results are derived from the stored table.
+    ``null_key``, ``include_ref_hits``, ``strict_prefix`` and ``docs_first`` decide the open points.
     """
-    texts = article_texts(spark, layout, works, pages, with_csv, articles)
+    texts = article_texts(spark, layout, works, pages, with_csv, articles, null_key, reuse)
     work_map = readers.read_work_map(spark, layout.work_map)
-    found = with_evidence(texts, work_map, patterns=patterns, keep_text=with_text)
+    found = with_evidence(texts, work_map, patterns=patterns, keep_text=with_text, **category_options)
     writers.write_table(found, layout.detection, with_csv)
     table = spark.read.parquet(layout.detection)
-    writers.write_table(detected_subset(table), layout.detected, with_csv)
+    writers.write_table(detected_subset(table, include_ref_hits), layout.detected, with_csv)
     summarize(spark, layout, with_csv)
     return table
 
@@ -160,8 +169,7 @@ def write_stats(spark: SparkSession, layout: Layout) -> DataFrame:
     """Counts along the run, returned and written as text."""
     stats = funnel_stats(spark.read.parquet(layout.detection),
                          spark.read.parquet(layout.articles))
-    writers.write_report(stats, layout.stats)
-    return stats
+    return writers.write_report(stats, layout.stats)
 
 
 def load_views(spark: SparkSession, layout: Layout) -> tuple[DataFrame, DataFrame]:
@@ -169,7 +177,8 @@ def load_views(spark: SparkSession, layout: Layout) -> tuple[DataFrame, DataFram
 
     Without a summary the dataset table is empty.
     """
-    articles = prepare_articles(spark.read.parquet(layout.detected)).persist()
+    stored = spark.read.parquet(layout.detected)
+    articles = prepare_articles(stored.drop("fulltext", "abstract_text", "referenced_works")).persist()
     datasets = prepare_datasets(schemas.with_optional(
         readers.read_datasets(spark, layout.datasets), schemas.DATASETS)).persist()
     return articles, datasets

@@ -11,7 +11,7 @@ import re
 
 from citeharbor.functions.patterns import ARCHIVE, PatternSet
 from citeharbor.plans.catalog import NATURAL, SEARCH_TEXT, SOURCE_TERMS
-from citeharbor.plans.fixtures import ARTICLES_SQL, MAP_SQL, URLS_SQL
+from citeharbor.plans.fixtures import ARTICLES_SQL, MAP_SQL, STUDY_PAGES_SQL, URLS_SQL
 
 WS = r"\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 CATEGORY = ("CASE WHEN NOT (coalesce(has_icpsr, false) OR coalesce(ref_has_icpsr, false)) "
@@ -196,7 +196,12 @@ TWO_REQUESTS = (
 RANKED = (
     f"{VIEW}, {SUMMARY}, usage AS (SELECT study_norm, count(*) AS n_use FROM linked "
     "WHERE study_norm IS NOT NULL GROUP BY 1), "
-    "reused AS (SELECT d.*, n_use FROM datasets d JOIN usage u ON u.study_norm = d.study_norm)")
+    "merged AS (SELECT study_norm, min(icpsr_study_number) AS icpsr_study_number, "
+    "arg_min(title, icpsr_study_number) AS title, CAST(sum(n_articles) AS BIGINT) AS n_articles, "
+    "max(max_detection_score) AS max_detection_score, "
+    "sum(mean_detection_score * n_articles) / sum(n_articles) AS mean_detection_score "
+    "FROM datasets WHERE study_norm IS NOT NULL GROUP BY 1), "
+    "reused AS (SELECT d.*, n_use FROM merged d JOIN usage u ON u.study_norm = d.study_norm)")
 ROW_TABLE = (
     f"{VIEW}, chosen AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS row_id, * FROM vw "
     "WHERE icpsr_work_category = 'research_article_using_icpsr' "
@@ -263,18 +268,49 @@ ORACLE: dict[str, str] = {
         + " OR ".join(f"regexp_matches(s, {re2(p)})" for p in ARCHIVE.negatives),
     "q_html_text": f"WITH {PAGE_TEXT} SELECT page_id, page_text FROM page_text",
     "q_page_metadata":
+        f"WITH study_pages AS ({STUDY_PAGES_SQL}) "
         f"SELECT CAST(page_id AS VARCHAR) AS icpsr_id, concat('{STUDY}', page_id) AS icpsr_url, "
-        "array_to_string(list_filter(list_transform(string_split_regex("
-        + decoded(r"regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 'is')")
-        + rf", '</?[a-zA-Z][^>]*>'), lambda x: {strip('x')}), lambda x: x <> ''), '') AS title, "
-        r"CAST(CASE WHEN regexp_matches(html, '<(a|span)\b[^>]*>[^<]*investigator', 'i') "
-        "THEN 'x' END AS VARCHAR) AS creators, "
-        r"CAST(CASE WHEN regexp_matches(html, '\b(badge|subject-list)\b') THEN 'x' END AS VARCHAR) "
-        "AS subjects, "
-        r"CAST(CASE WHEN regexp_matches(html, '(id|class)=.[^>]*\b(description|abstract)\b') "
-        "THEN 'x' END AS VARCHAR) AS description, "
+        "concat('Study', page_id, '& more') AS title, "
+        "CASE WHEN page_id % 12 = 2 THEN 'Co-Investigator B; ' ELSE '' END || CASE WHEN page_id % 6 = 2 "
+        "THEN concat('Principal Investigator: Dr ', page_id) END AS creators, "
+        "nullif(concat_ws('; ', CASE WHEN page_id % 4 = 1 THEN concat('Item ', page_id % 5) END, "
+        "CASE WHEN page_id % 3 = 0 THEN concat('Topic ', page_id % 7, '; Topicb') END), '') AS subjects, "
+        "CASE page_id % 5 WHEN 0 THEN concat('About ', page_id, ' end') WHEN 1 THEN concat('First ', page_id) "
+        "WHEN 2 THEN concat('Text <', page_id, '>') END AS description, "
         r"nullif(regexp_extract(html, '10\.\d{4,9}/[-._;()/:A-Z0-9]+', 0, 'i'), '') AS doi "
-        "FROM pages",
+        "FROM study_pages",
+    "q_detection_csv":
+        f"WITH {FULL} SELECT seq, id, nullif(title, '') AS title, nullif(doi, '') AS doi, publication_year, has_icpsr, "
+        "icpsr_study_number, detection_score, "
+        "CASE WHEN seq % 2 = 0 THEN concat('type ', seq % 5) END AS work_type FROM full_table",
+    "q_union_references":
+        f"WITH {ARTICLES}, {REFERENCED} SELECT query_ord, a.seq AS source_seq, h.seq IS NOT NULL AS ref_has_icpsr, "
+        "coalesce(ids, '') AS ref_icpsr_work_ids FROM (SELECT 0 AS query_ord, * FROM articles WHERE NOT is_oa "
+        "UNION ALL SELECT 1, * FROM articles) a LEFT JOIN hits h ON h.seq = a.seq",
+    "q_article_lookup":
+        f"WITH {ROW_TABLE}, best AS (SELECT * FROM chosen ORDER BY detection_score DESC, seq LIMIT 1) "
+        f"SELECT row_id, concat('[', row_id, '] ', {SHORT.format(t='title', n=90)}) AS label, "
+        "coalesce(title, '') AS title, "
+        "CASE WHEN doi IS NULL OR trim(doi) = '' THEN '' WHEN starts_with(trim(doi), 'http') "
+        "THEN trim(doi) ELSE concat('https://doi.org/', trim(doi)) END AS doi_url, journal, "
+        "icpsr_study_number, detection_score, signal_type, snippet FROM best",
+    "q_dataset_lookup":
+        f"WITH {RANKED}, best AS (SELECT study_norm FROM reused ORDER BY n_use DESC, study_norm LIMIT 1) "
+        "SELECT datasets.*, "
+        f"concat('{STUDY}', study_norm) AS icpsr_link FROM datasets WHERE study_norm IN (FROM best) "
+        "ORDER BY icpsr_study_number LIMIT 1",
+    "q_journal_rows":
+        f"WITH {VIEW} SELECT study_norm, seq, title, year, journal, doi, detection_score, signal_type "
+        "FROM linked WHERE study_norm IS NOT NULL AND journal = (SELECT min(journal) FROM linked "
+        "WHERE study_norm IS NOT NULL)",
+    "q_cluster_datasets":
+        f"WITH RECURSIVE {TERMS}, pairs AS (SELECT a.group_study AS x, b.group_study AS y FROM unit a "
+        "JOIN unit b ON a.term = b.term AND a.group_study <> b.group_study GROUP BY ALL "
+        "HAVING round(sum(a.w * b.w), 6) >= 0.5), reach AS (SELECT group_study AS node, group_study AS seen "
+        "FROM leaders UNION SELECT r.node, p.y FROM reach r JOIN pairs p ON p.x = r.seen), "
+        "roots AS (SELECT node, min(seen) AS cluster FROM reach GROUP BY node) "
+        "SELECT icpsr_study_number, cluster FROM named JOIN leaders ON leaders.text = named.text "
+        "JOIN roots ON roots.node = leaders.group_study",
     "q_dedup_doi":
         f"WITH {TWO_REQUESTS} SELECT query_ord, seq, id, doi FROM both_requests "
         "QUALIFY doi IS NULL OR row_number() OVER (PARTITION BY doi ORDER BY query_ord, seq) = 1",

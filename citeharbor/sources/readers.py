@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,29 +39,56 @@ def _typed(name: str, kind: T.DataType) -> Column:
     return F.col(name).try_cast(kind).alias(name)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV by column name: columns may come in any order, absent ones are NULL.
+def _by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files of a CSV folder in groups with the same header line.
+
+    One pass over the first block of each file, counted in Spark; only distinct headers with their
+    file names come back, as many as Spark lists itself to read the folder.
+    """
+    files = spark.read.text(path).inputFiles()
+    if len(files) < 2:
+        return [files or [path]]
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"),
+        F.col("_metadata.file_block_start").alias("block")).filter("block = 0")
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return [r["files"] for r in groups.orderBy("header").collect()]
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, keep_extra: bool = False,
+             multi_line: bool = True) -> DataFrame:
+    """CSV by column name: columns may come in any order, in each file its own; absent ones are NULL.
 
     A field that does not fit its type is NULL and leaves the rest of its row alone.
-    Without a ``seq`` column the position in the files is the arrival number.
+    Without a ``seq`` column the position in the files is the arrival number. ``keep_extra`` adds the columns outside the schema as text. Fields with line
+    breaks need one task for each file; ``multi_line=False`` lets Spark split large files instead.
     """
-    reader = spark.read.options(**CSV_OPTIONS)
-    header = reader.csv(path).limit(0).columns
-    text = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    frame = reader.schema(text).csv(path)
-    present = frame.select(*[_typed(f.name, f.dataType) for f in schema.fields
-                             if f.name in header])
-    if "seq" in schema.names and "seq" not in header:
+    options = {**CSV_OPTIONS, "multiLine": multi_line}
+    parts, extra, numbered = [], {}, False
+    for files in _by_header(spark, path):
+        header = spark.read.options(**options).csv(files[0]).limit(0).columns
+        text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        known = [f for f in schema.fields if f.name in header]
+        more = [c for c in header if c not in schema.names] if keep_extra else []
+        extra.update(dict.fromkeys(more))
+        numbered |= "seq" in header
+        frame = spark.read.options(**options).schema(text).csv(files)
+        parts.append(frame.select(*[_typed(f.name, f.dataType) for f in known], *more))
+    present = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if "seq" in schema.names and not numbered:
         present = present.withColumn("seq", F.monotonically_increasing_id())
-    return schemas.with_optional(present, schema).select(*schema.names)
+    return schemas.with_optional(present, schema).select(*schema.names, *extra)
 
 
 def read_articles_csv(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, schemas.ARTICLES)
+    """Flat articles; columns such as authors or work type are kept."""
+    return read_csv(spark, path, schemas.ARTICLES, keep_extra=True)
 
 
 def read_detection_csv(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, schemas.DETECTION)
+    """A stored detection table; further columns are kept for search and counts."""
+    return read_csv(spark, path, schemas.DETECTION, keep_extra=True)
 
 
 def read_optional(spark: SparkSession, path: str, schema: T.StructType,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -12,11 +13,17 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none."""
+    """The cluster's shared folder.
+
+    Without one, a session on a single machine gets a temporary folder; on a cluster that would lose
+    rows, so it is an error there.
+    """
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all nodes share")
         folder = tempfile.mkdtemp(prefix="citeharbor-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -40,9 +47,9 @@ def usable_stage(spark: SparkSession, path: str, required: str) -> DataFrame | N
 
 
 def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame],
-                  required: str = "fulltext") -> DataFrame:
-    """Read a stored stage, or build, write and read it."""
-    stored = usable_stage(spark, path, required)
+                  required: str = "fulltext", rebuild: bool = False) -> DataFrame:
+    """Read a stored stage, or build, write and read it; ``rebuild`` replaces a stored one."""
+    stored = None if rebuild else usable_stage(spark, path, required)
     if stored is not None:
         return stored
     build().write.mode("overwrite").parquet(path)

@@ -41,10 +41,12 @@ def write_if_any(df: DataFrame, path: str, with_csv: bool = False) -> bool:
     return True
 
 
-def write_report(stats: DataFrame, path: str) -> None:
-    """Metrics as ``stage.metric: value`` lines of text."""
+def write_report(stats: DataFrame, path: str) -> DataFrame:
+    """Metrics as ``stage.metric: value`` lines of text; returns the counts, computed once."""
+    stats = cut(stats)
     line = F.concat("stage", F.lit("."), "metric", F.lit(": "), F.col("value").cast("string"))
     stats.select(line.alias("value")).write.mode("overwrite").text(path)
+    return stats
 
 
 def write_optional(build, path: str) -> bool:

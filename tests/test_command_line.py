@@ -20,7 +20,7 @@ def test_steps(spark, tmp_path, capsys):
     root = str(tmp_path / "run")
     with pytest.warns(UserWarning):
         main(["run", "--root", root, "--works", str(tmp_path / "works.json"), "--one-array",
-              "--pages", str(tmp_path / "pages"), "--csv"])
+              "--pages", str(tmp_path / "pages"), "--csv", "--with-text"])
     layout = Layout(root)
     assert {r["id"]: (r["has_icpsr"], r["fulltext"]) for r in
             spark.read.parquet(layout.detection).collect()} == {
@@ -28,7 +28,7 @@ def test_steps(spark, tmp_path, capsys):
     main(["summary", "--root", root, "--merge-numbers"])
     assert spark.read.parquet(layout.datasets).first()["icpsr_study_number"] == "8079"
     main(["map", "--root", root])
-    main(["run", "--root", root, "--without-text"])
+    main(["run", "--root", root])
     rows = {r["id"]: r["ref_icpsr_study_numbers"] for r in
             spark.read.parquet(layout.detection).collect()}
     assert rows == {"W1": "", "W2": "8079"}

@@ -35,8 +35,7 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
 
 
 def test_queries_without_sql(spark, sf_dir):
-    assert set(QUERIES) - set(ORACLE) == {"q_cluster_datasets"}
-    assert not QUERIES["q_cluster_datasets"](spark, sf_dir).isEmpty()
+    assert {q for q in set(QUERIES) - set(ORACLE) if q.startswith("q_")} == set()
 
 
 def test_entry(spark):

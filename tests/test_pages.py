@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from citeharbor.operators.fulltext import attach_fulltext
+from citeharbor.operators.fulltext import attach_fulltext, page_texts
 from citeharbor.operators.pages import page_metadata, with_page_text
 
 from conftest import plan_text
@@ -79,7 +79,9 @@ def test_pages_are_parsed_once_and_after_the_choice(spark, tmp_path):
     limit = "spark.sql.autoBroadcastJoinThreshold"
     spark.conf.set(limit, -1)
     try:
-        plan = plan_text(attach_fulltext(articles, spark.read.parquet(str(tmp_path / "p"))))
+        # What attach_fulltext stores before it joins the text.
+        plan = plan_text(page_texts(spark.read.parquet(str(tmp_path / "p")), articles.select(
+            F.col("seq").alias("page_id"))))
     finally:
         spark.conf.unset(limit)
     assert plan.count("ArrowEvalPython") == 1 and plan.count("<(script|style|noscript)") == 1

@@ -54,18 +54,21 @@ def test_copies_form_one_group(spark):
     assert rows == {("1", "1", 2), ("3", "1", 2), ("2", "2", 1)}
 
 
-def test_clusters_cover_every_dataset_and_repeat(spark):
+def test_clusters_do_not_depend_on_partitioning(spark):
     texts = {str(i): ("alpha beta " if i % 2 else "gamma delta ") + "x" * (i % 3)
              for i in range(20)}
     runs = []
-    for _ in range(2):
-        rows = similarity.cluster_datasets(frame(spark, texts).coalesce(1), k=2).collect()
+    for parts in (1, 7):
+        rows = similarity.cluster_datasets(frame(spark, texts).repartition(parts)).collect()
         runs.append({r["icpsr_study_number"]: r["cluster"] for r in rows})
     assert runs[0] == runs[1] and set(runs[0]) == set(texts)
+    assert all(runs[0][a] != runs[0][b] for a in texts for b in texts if int(a) % 2 != int(b) % 2)
 
 
-def test_fewer_datasets_than_clusters(spark):
+def test_clusters_follow_chains_of_links(spark):
     one = similarity.cluster_datasets(frame(spark, {"1": "a"})).collect()
-    assert [(r["icpsr_study_number"], r["cluster"]) for r in one] == [("1", 0)]
-    three = similarity.cluster_datasets(frame(spark, {"1": "a b", "2": "c d", "3": "e f"}))
-    assert {r["cluster"] for r in three.collect()} <= {0, 1, 2}
+    assert [(r["icpsr_study_number"], r["cluster"]) for r in one] == [("1", "1")]
+    chain = similarity.cluster_datasets(frame(spark, {
+        "1": "a b c d", "2": "c d e f", "3": "e f g h", "4": "p q"}), threshold=0.3)
+    assert {r["icpsr_study_number"]: r["cluster"] for r in chain.collect()} == {
+        "1": "1", "2": "1", "3": "1", "4": "4"}

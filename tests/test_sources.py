@@ -55,7 +55,7 @@ def test_csv_columns_by_name(spark, tmp_path):
     row = readers.read_articles_csv(spark, str(tmp_path / "a.csv")).first()
     assert (row["id"], row["title"], row["is_oa"], row["doi"]) == ("W1", "T", True, None)
     assert readers.read_detection_csv(
-        spark, str(tmp_path / "a.csv")).columns == schemas.DETECTION.names
+        spark, str(tmp_path / "a.csv")).columns == [*schemas.DETECTION.names, "extra"]
 
 
 def test_csv_numbers_written_as_floats(spark, tmp_path):
@@ -141,7 +141,7 @@ def test_whole_run_and_feedback(spark, sf_dir, tmp_path):
         .alias("html"))
 
     with pytest.warns(UserWarning):  # no map yet
-        first = run_detection(spark, layout, works, pages, with_csv=True)
+        first = run_detection(spark, layout, works, pages, with_csv=True, with_text=True)
     assert set(schemas.DETECTION.names) == set(first.columns)
     assert first.filter("ref_has_icpsr").isEmpty() and not first.filter("has_icpsr").isEmpty()
     subset = spark.read.parquet(layout.detected)
