@@ -16,7 +16,7 @@ def parse_references(cell: Column | str) -> Column:
     when it has one. Everything else is empty.
     """
     cell = as_column(cell)
-    value = F.when(~cell.rlike(_NOT_JSON), F.try_parse_json(cell))
+    value = F.when(_strict(cell), F.try_parse_json(cell))
     as_list = F.transform(value.try_cast("array<variant>"), _spelled)
     pieces = F.filter(F.transform(F.split(cell, ";"), strip), lambda x: x != "")
     return F.coalesce(
@@ -25,8 +25,18 @@ def parse_references(cell: Column | str) -> Column:
         F.array().cast("array<string>"))
 
 
-#: What the tolerant parser lets pass: text after the list, and single quotes around an element.
-_NOT_JSON = r"^\s*\[(?:[^\"]|\"(?:[^\"\\]|\\.)*+\")*?\]\s*[^\s\],}]|^\s*\[\s*'|,\s*'"
+# Strings of a JSON text, and what may be left once they are taken out: one value without values
+# inside, or a list or object with nothing but separators after a bracket. The parser itself is
+# more tolerant.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_PLAIN = r"""^\s*(?:\[[^\[\]{}']*\]|\{[^\[\]{}']*\}|""|[-+.0-9eE]+|true|false|null)\s*$"""
+_NESTED = r"^\s*[\[{][^\[{]*[\[{]"
+_NOT_NESTED = r"'|[\]}]\s*[^\s\]},]|[^\]}\s]\s*$"
+
+
+def _strict(cell: Column) -> Column:
+    bare = F.regexp_replace(cell, _STRING, '""')
+    return bare.rlike(_PLAIN) | (bare.rlike(_NESTED) & ~bare.rlike(_NOT_NESTED))
 
 
 def _spelled(element: Column) -> Column:

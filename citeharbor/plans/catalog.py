@@ -114,7 +114,7 @@ def q_study_key(spark, sf_dir):
 
 @query
 def q_parse_refs(spark, sf_dir):
-    parsed = fixtures.articles(spark, sf_dir).select(
+    parsed = fixtures.reference_cells(spark, sf_dir).select(
         "seq", nested.parse_references("referenced_works").alias("refs"))
     return parsed.select("seq", F.size("refs").cast("bigint").alias("n_refs"),
                          F.array_join("refs", "|").alias("refs"))

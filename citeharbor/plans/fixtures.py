@@ -75,6 +75,13 @@ FROM articles w LEFT JOIN pages p ON p.page_id = w.seq
 """
 
 
+# Reference cells as they are, with text after them, as a part of a list, and with single quotes.
+REFERENCE_CELLS_SQL = r"""
+SELECT seq, CASE seq % 4 WHEN 0 THEN referenced_works WHEN 1 THEN referenced_works || ' x'
+ WHEN 2 THEN referenced_works || ' ; c' ELSE replace(referenced_works, '"', chr(39)) END AS referenced_works
+FROM articles
+"""
+
 # Landing pages with every field: title, badges, a subject list, descriptions, creators and a DOI.
 STUDY_PAGES_SQL = r"""
 SELECT page_id, concat('<html><head><title>x</title></head><body><h1>Study <b>', page_id, '</b> &amp; more</h1>',
@@ -105,6 +112,11 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, ARTICLES_SQL, documents=read_table(spark, sf_dir, "documents"))
 
 
+def reference_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference cells, three in four of them no longer JSON."""
+    return _run(spark, REFERENCE_CELLS_SQL, articles=articles(spark, sf_dir))
+
+
 def study_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landing pages that hold every field, one per page."""
     return _run(spark, STUDY_PAGES_SQL, pages=read_table(spark, sf_dir, "pages"))

@@ -11,7 +11,7 @@ import re
 
 from citeharbor.functions.patterns import ARCHIVE, PatternSet
 from citeharbor.plans.catalog import NATURAL, SEARCH_TEXT, SOURCE_TERMS
-from citeharbor.plans.fixtures import ARTICLES_SQL, MAP_SQL, STUDY_PAGES_SQL, URLS_SQL
+from citeharbor.plans.fixtures import ARTICLES_SQL, MAP_SQL, REFERENCE_CELLS_SQL, STUDY_PAGES_SQL, URLS_SQL
 
 WS = r"\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 CATEGORY = ("CASE WHEN NOT (coalesce(has_icpsr, false) OR coalesce(ref_has_icpsr, false)) "
@@ -257,7 +257,8 @@ ORACLE: dict[str, str] = {
         "AS study_norm, CASE WHEN o_orderkey % 6 IN (3, 4) THEN '' "
         f"ELSE concat('{STUDY}', o_orderkey) END AS icpsr_link FROM orders",
     "q_parse_refs":
-        f"WITH {ARTICLES}, {REFS} SELECT seq, len(refs) AS n_refs, "
+        f"WITH {ARTICLES}, cells AS ({REFERENCE_CELLS_SQL}), {REFS.replace('FROM articles', 'FROM cells')} "
+        "SELECT seq, len(refs) AS n_refs, "
         "coalesce(array_to_string(refs, '|'), '') AS refs FROM refs",
     "q_sentences":
         f"WITH {sentence_cte('documents', 'doc_id', 'text')} "
