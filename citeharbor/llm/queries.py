@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from citeharbor.llm import (
     ann, linededup, mixing, pii, quality, rans, sentencepieces, simhash, substrings, toxicity)
+from citeharbor.llm.oracle import ORACLE as ORACLE
 from citeharbor.llm.tables import table
 
 QUERIES = {}
-ORACLE: dict[str, str] = {}
 
 END_ID = 1
 #: Shares of tokens by domain; a domain is a pair of labels.
