@@ -251,30 +251,30 @@ def q_detection_table(spark, sf_dir):
 
 @query
 def q_classify(spark, sf_dir):
-    return fixtures.detected(spark, sf_dir).select(
+    return fixtures.detected_stage(spark, sf_dir).select(
         "seq", "has_icpsr", "ref_has_icpsr", "icpsr_work_category")
 
 
 @query
 def q_detected_subset(spark, sf_dir):
-    return classify.detected_subset(fixtures.detected(spark, sf_dir)).select(
+    return classify.detected_subset(fixtures.detected_stage(spark, sf_dir)).select(
         "seq", "id", "title", "icpsr_study_number", "detection_score", "icpsr_work_category")
 
 
 @query
 def q_category_counts(spark, sf_dir):
-    return classify.category_counts(fixtures.detected(spark, sf_dir))
+    return classify.category_counts(fixtures.detected_stage(spark, sf_dir))
 
 
 @query
 def q_run_summary(spark, sf_dir):
-    return stats.run_summary(fixtures.detected(spark, sf_dir))
+    return stats.run_summary(fixtures.detected_stage(spark, sf_dir))
 
 
 @query
 def q_funnel_stats(spark, sf_dir):
     return stats.funnel_stats(
-        fixtures.detected(spark, sf_dir), collected=read_table(spark, sf_dir, "documents"))
+        fixtures.detected_stage(spark, sf_dir), collected=read_table(spark, sf_dir, "documents"))
 
 
 # --- datasets ---------------------------------------------------------------------------
