@@ -34,7 +34,7 @@ LANES = 16
 STEPS = 512
 BLOCK_IDS = 65_536  # a block is closed when it holds so many; documents are not divided
 GROUP_BLOCKS = 64  # blocks coded side by side
-PART_IDS = 1 << 25  # ids of a range partition, about
+PART_IDS = 1 << 23  # ids of a range partition, about
 LOWEST = np.uint64(1 << 31)
 HALF = np.uint64(32)
 BLOCK = ("part int, first long, doc_ids array<long>, lengths array<long>, n long, words binary, "
@@ -59,13 +59,16 @@ class Tokens:
 
     WHOLE = r"<\||\pM"
     BORDER = r"(\pL)([!-/:-@\[-`{-~])"
-    KEPT = 300_000  # words remembered between batches
+    KEPT = 500_000  # words remembered between batches
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -75,6 +78,22 @@ class Tokens:
             out += [np.array(e.ids, dtype="<u4").tobytes() for e in found]
         return out
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words. Words of letters go many to a text: each ends with its own mark."""
+        letters = [w for w in words if w.isalpha()]
+        known = {}
+        groups = [letters[at:at + 100] for at in range(0, len(letters), 100)]
+        for at in range(0, len(groups), 100):
+            part = groups[at:at + 100]
+            for group, raw in zip(part, self._encode([" ".join(g) for g in part])):
+                ends = 4 * (np.flatnonzero(self.ends_word[np.frombuffer(raw, "<u4")]) + 1)
+                if len(ends) == len(group):  # else a letter stands for several characters
+                    ends = ends.tolist()
+                    known.update(zip(group, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        rest = [w for w in words if w not in known]
+        known.update(zip(rest, self._encode(rest)))
+        return known
+
     def batch(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
@@ -88,9 +107,8 @@ class Tokens:
         words = split.flatten().dictionary_encode()
         names = words.dictionary.to_pylist()
         if len(self.known) > self.KEPT:
-            self.known = {}
-        new = [w for w in names if w not in self.known]
-        self.known.update(zip(new, self._encode(new)))
+            self.known = {w: self.known[w] for w in names if w in self.known}
+        self.known.update(self._words([w for w in names if w not in self.known]))
         found = [self.known[w] for w in names]
         sizes = np.array([len(b) // 4 for b in found], dtype=np.int64)
         starts = np.append(0, np.cumsum(sizes))
