@@ -6,8 +6,9 @@ by grouping. The others are joined: the words of a line are ordered by rarity, a
 words of their prefixes, which similar lines must share. Length, positional and bitmap bounds drop
 pairs that cannot be similar; what is left is verified on the words.
 
-Every line needs one witness, so each keeps its earliest few candidates of a list. Lines that have
-more and found no witness are joined once more with all their candidates: none is lost.
+Every line needs one witness, so each keeps its earliest few candidates of a list. The lists of lines
+that have more and found no witness are compared once more as a whole, with the words of their lines
+at hand, and give each line once: no line is lost and no pairs are written out.
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeharbor.llm import words as W
-from citeharbor.llm.runs import bounds, whole_groups
+from citeharbor.llm.runs import whole_groups
 from citeharbor.sources.stages import cut
 
 THRESHOLD = (4, 5)  # 0.8
 RARITY_BITS = 18
 WITNESSES = 4  # candidates of a line that one list gives in the first round
 LIST_ROWS = 4096  # longer lists are compared block against block
+SHORT_LIST = 64  # lists up to this length are compared many at a time
+LONG_LINE = 96  # words from which a line has a bitmap of 256 parities instead of 64
+FILTER_BITS = 24  # of the bitmaps of documents and words that are still wanted, 2 MB each
 
 
 @dataclass
@@ -53,7 +57,7 @@ class Lines:
         number = breaks[chunk.starts] - breaks[offsets[row]]
         new = np.append(True, (row[1:] != row[:-1]) | (number[1:] != number[:-1]))
         line = np.cumsum(new) - 1
-        order = np.lexsort((hashes, line))
+        order = _sorted(line, hashes)
         line, words = line[order], hashes[order]
         fresh = np.append(True, (line[1:] != line[:-1]) | (words[1:] != words[:-1]))
         line, words = line[fresh], words[fresh]
@@ -64,6 +68,22 @@ class Lines:
         return cls(row[at] + first, number[at], key, size, words, starts)
 
 
+def _sorted(line: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Order by line, then hash; one sort of line number and leading hash bits where they fit."""
+    bits = max(int(line[-1]).bit_length(), 1)
+    if bits > 24:
+        return np.lexsort((hashes, line))
+    return np.argsort((line.astype(np.uint64) << np.uint64(64 - bits)) | (hashes >> np.uint64(bits)))
+
+
+def _by_rarity(line: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Order by line, then rank, then as given (by hash)."""
+    key = (line.astype(np.uint64) << np.uint64(40)) | (rank.astype(np.uint64) << np.uint64(32))
+    if int(line[-1]) >= 1 << 24 or len(line) >= 1 << 32:
+        return np.lexsort((rank, line))
+    return (np.sort(key | np.arange(len(line), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def _bucket(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
 
@@ -93,17 +113,32 @@ def prefix_length(size: np.ndarray) -> np.ndarray:
     return size - -(-size * up // down) + 1
 
 
-def bitmaps(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64 parities of each set: two sets differ in at least as many words as their parities."""
-    return np.bitwise_xor.reduceat(np.uint64(1) << (W.mix(words) >> np.uint64(58)), starts)
-
+def bitmaps(words: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Parities of each set: two sets differ in at least as many words as in parities.
 
-PREFIX = "word long, part int, key long, bits long, size int, place int, doc_id long, line int"
+    Four columns of 64 parities; short lines have them folded into the first.
+    """
+    spread = W.mix(words)
+    bit = np.uint64(1) << (spread >> np.uint64(58))
+    column = (spread >> np.uint64(56)) & np.uint64(3)
+    out = np.stack([np.bitwise_xor.reduceat(np.where(column == k, bit, np.uint64(0)), starts) for k in range(4)])
+    short = size < LONG_LINE
+    out[0, short] = np.bitwise_xor.reduce(out[:, short], axis=0)
+    out[1:, short] = 0
+    return out.view(np.int64)
+
+
+#: ids: word (32 bits) and key (32 bits); sizes: words of the line and place in its order.
+PREFIX = "part int, ids long, doc_id long, line int, sizes long, b0 long, b1 long, b2 long, b3 long"
+PREFIX_NAMES = [c.split()[0] for c in PREFIX.split(", ")]
 LIST = ["word", "part"]
 
 
 def _prefixes(rarity, wanted=None):
-    """A row for each word of each line's prefix; long lists are dealt out as pairs of blocks."""
+    """A row for each word of each line's prefix; long lists are dealt out as pairs of blocks.
+
+    With a bitmap of words only those it has, and then each row holds the words of its line.
+    """
     def run(batches):
         order_of = rarity.value  # log-scaled counts, one byte for each bucket
         for batch in batches:
@@ -114,86 +149,171 @@ def _prefixes(rarity, wanted=None):
                     continue
                 line = np.repeat(np.arange(len(found.key)), found.size)
                 rank = order_of[_bucket(found.words)]
-                order = np.lexsort((found.words, rank, line))
-                words, rank = found.words[order], rank[order]
-                place = np.arange(len(words)) - found.starts[line]
-                # Sets of fewer than four words are similar to equal sets only.
-                keep = (place < prefix_length(found.size)[line]) & (found.size[line] >= 4)
-                bits = bitmaps(found.words, found.starts).view(np.int64)
+                order = _by_rarity(line, rank)
+                place = np.arange(len(order)) - found.starts[line]
                 # Of equal lines of this run the earliest stands for all.
                 doc = ids.slice(span[0], span[1]).to_numpy(zero_copy_only=False)[found.row - span[0]]
                 early = np.lexsort((found.number, doc, found.key))
-                lead = early[np.append(True, found.key[early][1:] != found.key[early][:-1])]
                 leads = np.zeros(len(found.key), dtype=bool)
-                leads[lead] = True
-                keep &= leads[line]
-                line, words, place, rank = line[keep], words[keep], place[keep], rank[keep]
+                leads[early[np.append(True, found.key[early][1:] != found.key[early][:-1])]] = True
+                # Sets of fewer than four words are similar to equal sets only.
+                keep = (place < prefix_length(found.size)[line]) & (leads & (found.size >= 4))[line]
                 if wanted is not None:
-                    listed = np.isin(words.view(np.int64), wanted.value)
-                    line, words, place, rank = line[listed], words[listed], place[listed], rank[listed]
-                blocks = np.maximum(1, (2.0 ** (rank / 8.0 + 0.125) / LIST_ROWS).astype(np.int64) + 1)
-                blocks[2.0 ** (rank / 8.0 + 0.125) < LIST_ROWS] = 1
+                    slot = (found.words[order] >> np.uint64(32)).astype(np.int64) & ((1 << FILTER_BITS) - 1)
+                    keep &= (wanted.value[slot >> 3] >> (slot & 7)) & 1 > 0
+                order, line, place = order[keep], line[keep], place[keep]
+                words, rank = found.words[order], rank[order]
+                expected = 2.0 ** (rank / 8.0 + 0.125)
+                blocks = np.where(expected < LIST_ROWS, 1, expected // LIST_ROWS + 1).astype(np.int64)
                 own = (found.key[line].view(np.uint64) % blocks.astype(np.uint64)).astype(np.int64)
                 again = np.repeat(np.arange(len(line)), blocks)
                 other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
                 low, high = np.minimum(own[again], other), np.maximum(own[again], other)
                 line, n = line[again], blocks[again]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                    words[again].view(np.int64), (low * n + high).astype(np.int32), found.key[line], bits[line],
-                    found.size[line].astype(np.int32), place[again].astype(np.int32), doc[line],
-                    found.number[line].astype(np.int32))], [c.split()[0] for c in PREFIX.split(", ")])
+                key = found.key.view(np.uint64) & np.uint64(0xFFFFFFFF)
+                packed = (words[again] >> np.uint64(32) << np.uint64(32)) | key[line]
+                bits = bitmaps(found.words, found.starts, found.size)
+                columns = [pa.array(x) for x in (
+                    (low * n + high).astype(np.int32), packed.view(np.int64), doc[line],
+                    found.number[line].astype(np.int32), found.size[line] << 32 | place[again],
+                    *bits[:, line])]
+                if wanted is None:
+                    yield pa.RecordBatch.from_arrays(columns, PREFIX_NAMES)
+                    continue
+                ends = np.append(found.starts, len(found.words)).astype(np.int32)
+                sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.words.view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, sets.take(pa.array(line))], [*PREFIX_NAMES, "words"])
     return run
 
 
-FOUND = ("doc_id long, line int, key long, doc_id2 long, line2 int, key2 long, more boolean, word long")
+FOUND = "doc_id long, line int, key int, doc_id2 long, line2 int, key2 int, more boolean, word int"
+FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
+
+
+class _List:
+    """Rows of sorted posting lists, in each list by document and line, equal sets once."""
+
+    def __init__(self, table: pa.Table):
+        ids = table["ids"].to_numpy().view(np.uint64)
+        part, doc, line = (table[c].to_numpy() for c in ("part", "doc_id", "line"))
+        word, key = ids >> np.uint64(32), (ids & np.uint64(0xFFFFFFFF))
+        group = np.cumsum(np.append(0, (word[1:] != word[:-1]) | (part[1:] != part[:-1])))
+        order = np.lexsort((line, doc, key, group))
+        first = np.append(True, (group[order][1:] != group[order][:-1]) | (key[order][1:] != key[order][:-1]))
+        order = order[first]
+        order = order[np.lexsort((line[order], doc[order], group[order]))]
+        self.order = order
+        self.group, self.word, self.key = group[order], word[order], key[order]
+        self.doc, self.line = doc[order], line[order]
+        sizes = table["sizes"].to_numpy()[order]
+        self.size, self.place = sizes >> 32, sizes & 0xFFFFFFFF
+        self.bits = np.stack([table[f"b{k}"].to_numpy()[order].view(np.uint64) for k in range(4)])
+        self.folded = np.bitwise_xor.reduce(self.bits, axis=0)
+        self.starts = np.flatnonzero(np.append(True, self.group[1:] != self.group[:-1]))
+        self.lengths = np.diff(np.append(self.starts, len(order)))
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of rows no bound rules out; the cheap bounds first."""
+        up, down = THRESHOLD
+        both = self.size[a] + self.size[b]
+        need = -(-both * up // (up + down))  # common words that similarity asks for
+        may = np.flatnonzero(np.bitwise_count(self.folded[a] ^ self.folded[b]) <= both - 2 * need)
+        a, b, both, need = a[may], b[may], both[may], need[may]
+        ok = np.minimum(self.size[a] - self.place[a], self.size[b] - self.place[b]) >= need
+        ok &= np.minimum(self.size[a], self.size[b]) * down >= np.maximum(self.size[a], self.size[b]) * up
+        ok &= (self.doc[b] < self.doc[a]) | (self.line[b] < self.line[a])
+        long = np.flatnonzero(ok & (self.size[a] >= LONG_LINE) & (self.size[b] >= LONG_LINE))
+        apart = np.bitwise_count(self.bits[:, a[long]] ^ self.bits[:, b[long]]).sum(axis=0)
+        ok[long] = apart <= (both - 2 * need)[long]
+        return may[ok]
+
+    def pairs(self, steps: int = 500_000):
+        """(row, earlier row of the same list) that may be similar, in order of row."""
+        position = np.arange(len(self.group)) - np.repeat(self.starts, self.lengths)
+        short = np.repeat(self.lengths <= SHORT_LIST, self.lengths)
+        rows = np.flatnonzero(short & (position > 0))
+        ends = np.cumsum(position[rows])
+        at = 0
+        while at < len(rows):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + steps, side="right")))
+            mine = rows[at:stop]
+            a = np.repeat(mine, position[mine])
+            b = np.arange(len(a)) - np.repeat(np.cumsum(position[mine]) - position[mine], position[mine]) + np.repeat(
+                mine - position[mine], position[mine])
+            found = self.near(a, b)
+            yield a[found], b[found]
+            at = stop
+        for start, n in zip(self.starts[self.lengths > SHORT_LIST], self.lengths[self.lengths > SHORT_LIST]):
+            up, down = THRESHOLD
+            for low in range(0, n, 256):
+                mine = np.arange(start + low, start + min(low + 256, n))
+                upto = np.arange(start, mine[-1])
+                both = self.size[mine][:, None] + self.size[upto][None, :]
+                far = both - 2 * -(-both * up // (up + down))
+                may = np.bitwise_count(self.folded[mine][:, None] ^ self.folded[upto][None, :]) <= far
+                i, j = np.nonzero(may & (upto[None, :] < mine[:, None]))
+                found = self.near(mine[i], upto[j])
+                yield mine[i[found]], upto[j[found]]
 
 
 def _candidates(witnesses: int):
     """Earlier lines of the same list that may be similar: the earliest few of each line."""
-    up, down = THRESHOLD
-
     def run(batches):
         for table in whole_groups(batches, LIST):
-            cuts = bounds(table, LIST)
-            columns = {c: table[c].to_numpy() for c in table.column_names}
-            out = []
-            for low, high in zip(cuts[:-1], cuts[1:]):
-                if high - low > 1:
-                    out += _list({c: v[low:high] for c, v in columns.items()})
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in zip(*out)], [c.split()[0] for c in FOUND.split(", ")])
-
-    def _list(rows):
-        order = np.lexsort((rows["line"], rows["doc_id"]))
-        first = np.unique(rows["key"][order], return_index=True)[1]  # earliest line of each set
-        order = order[np.sort(first)]
-        n = len(order)
-        if n < 2:
-            return
-        key, bits, size, place, doc, line = (rows[c][order] for c in ("key", "bits", "size", "place", "doc_id", "line"))
-        size, bits = size.astype(np.int64), bits.view(np.uint64)
-        for at in range(0, n, 256):
-            mine = np.arange(at, min(at + 256, n))
-            upto = mine[-1]  # candidates stand before
-            if not upto:
-                continue
-            a, b = mine[:, None], np.arange(upto)[None, :]
-            both = size[a] + size[b]
-            need = -(-both * up // (up + down))  # common words that similarity asks for
-            can = np.minimum(size[a] - place[a], size[b] - place[b])
-            ok = (b < a) & (can >= need) & (np.bitwise_count(bits[a] ^ bits[b]) <= both - 2 * need)
-            ok &= (np.minimum(size[a], size[b]) * down >= np.maximum(size[a], size[b]) * up)
-            ok &= (doc[b] < doc[a]) | (line[b] < line[a])
-            nth = np.cumsum(ok, axis=1)
-            more = nth[:, -1] > witnesses
-            i, j = np.nonzero(ok & (nth <= witnesses))
-            if len(i):
-                y = mine[i]
-                yield (doc[y], line[y], key[y], doc[j], line[j], key[j], more[i], np.full(len(i), rows["word"][0]))
+            rows = _List(table)
+            for a, b in rows.pairs():
+                if not len(a):
+                    continue
+                first = np.append(True, a[1:] != a[:-1])
+                group = np.cumsum(first) - 1
+                nth = np.arange(len(a)) - np.flatnonzero(first)[group]
+                more = (np.bincount(group) > witnesses)[group]
+                keep = nth < witnesses
+                a, b, more = a[keep], b[keep], more[keep]
+                half = lambda x: x.astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
+                    rows.doc[a], rows.line[a], half(rows.key[a]), rows.doc[b], rows.line[b], half(rows.key[b]),
+                    more, half(rows.word[a]))], FOUND_NAMES)
     return run
 
 
+def _witnessed(batches):
+    """Lines that have an earlier similar line in one of their lists, by their words; once each."""
+    up, down = THRESHOLD
+    for table in whole_groups(batches, LIST):
+        rows = _List(table)
+        sets = table["words"].combine_chunks().take(pa.array(rows.order))
+        for start, n in zip(rows.starts[rows.lengths > 1], rows.lengths[rows.lengths > 1]):
+            size = rows.size[start:start + n]
+            words, number = np.unique(sets.slice(start, n).flatten().to_numpy(), return_inverse=True)
+            row = np.repeat(np.arange(n), size)
+            found = np.zeros(n, dtype=bool)
+            for low in range(0, n, 256):
+                mine = np.arange(low, min(low + 256, n))
+                common = np.zeros((len(mine), mine[-1] + 1), dtype=np.float32)
+                for part in range(0, len(words), 4096):
+                    here = (number >= part) & (number < part + 4096) & (row <= mine[-1])
+                    held = np.zeros((mine[-1] + 1, min(4096, len(words) - part)), dtype=np.float32)
+                    held[row[here], number[here] - part] = 1
+                    common += held[mine] @ held.T
+                alike = common * (up + down) >= up * (size[mine][:, None] + size[None, :mine[-1] + 1])
+                b = np.arange(mine[-1] + 1)[None, :]
+                doc, line = rows.doc[start:start + n], rows.line[start:start + n]
+                alike &= (b < mine[:, None]) & ((doc[b] < doc[mine][:, None]) | (line[b] < line[mine][:, None]))
+                found[mine] = alike.any(axis=1)
+            at = start + np.flatnonzero(found)
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows.doc[at]), pa.array(rows.line[at]),
+                     pa.array(rows.key[at].astype(np.uint32).view(np.int32))], SIDE)
+
+
+def _half(key: np.ndarray) -> np.ndarray:
+    """The low half of the keys, which tells lines with one number apart."""
+    return (key & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+
+
 def _sets(batches):
     """Distinct words of the listed lines of each text."""
     for batch in batches:
@@ -209,7 +329,7 @@ def _sets(batches):
                 continue
             ends = np.append(found.starts[1:], len(found.words))
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(found.row[at])), pa.array(found.number[at].astype(np.int32)), pa.array(found.key[at]),
+                [ids.take(pa.array(found.row[at])), pa.array(found.number[at].astype(np.int32)), pa.array(_half(found.key[at])),
                  pa.array([found.words[found.starts[k]:ends[k]].view(np.int64) for k in at], pa.list_(pa.int64()))],
                 ["doc_id", "line", "key", "words"])
 
@@ -229,14 +349,43 @@ def _compressed(text: str):
 SIDE = ["doc_id", "line", "key"]
 
 
+def _bitmap(slots: DataFrame):
+    """Broadcast bitmap of the slots (column ``slot``, from 0) that occur: of fixed size, whatever occurs.
+
+    It only spares rows that a later join would drop; where very many are wanted, it lets all pass.
+    """
+    place = F.col("slot") + 1
+    parts = slots.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    table = np.zeros((1 << FILTER_BITS) >> 3, dtype=np.uint8)
+    for r in parts:
+        at = (r["bucket"] - 1) * len(r["bits"])
+        table[at:at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return slots.sparkSession.sparkContext.broadcast(table)
+
+
+def _documents_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts whose doc_id may be in ``wanted``; most others are spared the shuffle."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("slot")
+    shared = _bitmap(wanted.select(slot))
+
+    @F.arrow_udf("boolean")
+    def listed(slots: pa.Array) -> pa.Array:
+        at = slots.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at >> 3] >> (at & 7)) & 1 > 0)
+
+    return texts.filter(listed(slot))
+
+
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose lines are similar; each text that holds one of their lines is read once more."""
     second = {f"{c}2": c for c in SIDE}
     ends = pairs.select(*SIDE).unionByName(pairs.select(*[F.col(k).alias(v) for k, v in second.items()]))
     wanted = cut(ends.groupBy("doc_id").agg(F.collect_set("line").alias("wanted")))
-    packed = texts.select("doc_id", _compressed("text").alias("t")).select("doc_id", "t.packed", "t.size")
-    sets = cut(packed.join(wanted, "doc_id").mapInArrow(
-        _sets, "doc_id long, line int, key long, words array<long>").dropDuplicates(SIDE))
+    packed = _documents_of(texts.filter("doc_id IS NOT NULL"), wanted).select(
+        "doc_id", _compressed("text").alias("t")).select("doc_id", "t.packed", "t.size")
+    sets = cut(packed.join(wanted, "doc_id").mapInArrow(_sets, "doc_id long, line int, key int, words array<long>"))
+    sets = sets.dropDuplicates(SIDE)
     both = pairs.join(sets.withColumnRenamed("words", "w1"), SIDE).join(
         sets.withColumnRenamed("words", "w2").withColumnsRenamed({v: k for k, v in second.items()}), list(second))
     common = F.size(F.array_intersect("w1", "w2"))
@@ -244,6 +393,12 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.filter(common * (up + down) >= up * (F.size("w1") + F.size("w2")))
 
 
+def _low(key):
+    """:func:`_half` as a column."""
+    low = F.pmod(key, F.lit(1 << 32))
+    return F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low).cast("int")
+
+
 class LineDedup:
     """Lines to remove. ``lines`` has one row for each text, ``removed`` one for each line to go."""
 
@@ -259,7 +414,8 @@ class LineDedup:
             "doc_id", F.col("x.lines").alias("line"), F.col("x.keys").alias("key"))
         first = cut(each.groupBy("key").agg(
             F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-        copies = each.join(first, "key").filter(F.struct("doc_id", "line") > F.col("first")).select(*SIDE)
+        copies = each.join(first, "key").filter(F.struct("doc_id", "line") > F.col("first")).select(
+            "doc_id", "line", _low(F.col("key")).alias("key"))
 
         counts = scanned.filter("counts IS NOT NULL").select(F.posexplode("counts").alias("bucket", "n")).groupBy(
             "bucket").agg(F.sum("n").alias("n")).toArrow()  # 2^RARITY_BITS rows
@@ -269,23 +425,29 @@ class LineDedup:
         self.rarity = spark.sparkContext.broadcast(rarity)
         self.removed = copies.unionByName(self._similar()).distinct()
 
-    def _pairs(self, witnesses: int, wanted=None) -> DataFrame:
-        rows = self.texts.filter("doc_id IS NOT NULL").mapInArrow(_prefixes(self.rarity, wanted), PREFIX)
-        return cut(rows.repartition(*LIST).sortWithinPartitions(*LIST).mapInArrow(_candidates(witnesses), FOUND))
+    def _pairs(self, witnesses: int) -> DataFrame:
+        rows = self.texts.filter("doc_id IS NOT NULL").mapInArrow(_prefixes(self.rarity), PREFIX)
+        rows = rows.withColumn("word", F.shiftright("ids", 32).cast("int"))
+        return rows.repartition(*LIST).sortWithinPartitions(*LIST).mapInArrow(_candidates(witnesses), FOUND)
+
+    def _whole_lists(self, lists: DataFrame) -> DataFrame:
+        """Lines with a witness in the lists of the given words; at most one row for each line of a list."""
+        wanted = _bitmap(lists.select(F.pmod("word", F.lit(1 << FILTER_BITS)).cast("long").alias("slot")))
+        rows = self.texts.filter("doc_id IS NOT NULL").mapInArrow(
+            _prefixes(self.rarity, wanted), f"{PREFIX}, words array<long>")
+        rows = rows.withColumn("word", F.shiftright("ids", 32).cast("int")).join(lists, "word")
+        return rows.repartition(*LIST).sortWithinPartitions(*LIST).mapInArrow(
+            _witnessed, "doc_id long, line int, key int")
 
     def _similar(self) -> DataFrame:
-        found = self._pairs(WITNESSES)
+        found = cut(self._pairs(WITNESSES))
         ends = [*SIDE, *[f"{c}2" for c in SIDE]]
         similar = cut(_verified(self.texts, found.select(*ends).distinct()).select(*SIDE).distinct())
         # Lines that have further candidates and no witness so far.
         open_ = cut(found.filter("more").select(*SIDE, "word").join(similar, SIDE, "left_anti"))
         if open_.isEmpty():
             return similar
-        lists = open_.select("word").distinct()
-        rest = self.texts.filter("doc_id IS NOT NULL").mapInArrow(_prefixes(self.rarity), PREFIX).join(lists, "word")
-        pairs = rest.repartition(*LIST).sortWithinPartitions(*LIST).mapInArrow(_candidates(1 << 30), FOUND)
-        pairs = cut(pairs.join(open_.select(*SIDE).distinct(), SIDE).select(*ends).distinct())
-        return similar.unionByName(_verified(self.texts, pairs).select(*SIDE))
+        return similar.unionByName(self._whole_lists(cut(open_.select("word").distinct())))
 
     def by_document(self) -> DataFrame:
         gone = self.removed.groupBy("doc_id").agg(F.collect_set(F.struct("line", "key")).alias("gone"))
@@ -302,7 +464,7 @@ def judged(docs: DataFrame) -> DataFrame:
     """
     work = LineDedup(docs)
     joined = work.lines.join(work.by_document(), "doc_id", "left")
-    every = F.arrays_zip(F.col("lines").alias("line"), F.col("keys").alias("key"))
+    every = F.arrays_zip(F.col("lines").alias("line"), F.transform("keys", _low).alias("key"))
     gone = F.coalesce(F.transform(F.array_intersect(every, F.col("gone")), lambda x: x["line"]),
                       F.array().cast("array<int>"))
     return joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"),
@@ -317,7 +479,7 @@ def _kept(batches):
                 raw = text.encode("utf-8", "surrogatepass")
                 found = Lines.of(0, 1, np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
                 pairs = {(g["line"], g["key"]) for g in gone}
-                drop = {n for n, k in zip(found.number.tolist(), found.key.tolist()) if (n, k) in pairs}
+                drop = {n for n, k in zip(found.number.tolist(), _half(found.key).tolist()) if (n, k) in pairs}
                 text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
             texts.append(text)
         yield pa.RecordBatch.from_arrays(
