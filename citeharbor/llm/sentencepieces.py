@@ -260,19 +260,21 @@ class Encoder:
         coded[:, :shown] = number[v.codes[known][:, :shown]]
         low, high = occurrences(keys, _packed(coded, bits), v.lengths[known], bits)
         counts = high - low
-        piece = np.repeat(known, counts)
-        place = order[np.repeat(low - np.append(0, np.cumsum(counts)[:-1]), counts) + np.arange(len(piece))]
+        # Small numbers in 32 bits: there are several edges for each character.
+        piece = np.repeat(known.astype(np.int32), counts)
+        shift = (low - np.append(0, np.cumsum(counts)[:-1])).astype(np.int32)
+        place = order.astype(np.int32)[np.repeat(shift, counts) + np.arange(len(piece), dtype=np.int32)]
         # A character without a piece is an edge of its own, later spelled in bytes.
         single = np.zeros(len(text), dtype=bool)
         single[place[v.lengths[piece] == 1]] = True
-        segment = np.repeat(np.arange(len(names)), lengths + 1)
+        segment = np.repeat(np.arange(len(names), dtype=np.int32), lengths + 1)
         inner = np.ones(len(text), dtype=bool)
         inner[ends] = False
-        bare = np.flatnonzero(~single & inner)
+        bare = np.flatnonzero(~single & inner).astype(np.int32)
         place = np.concatenate([place, bare])
-        piece = np.concatenate([piece, np.full(len(bare), len(v.rank) - 1)])
-        span = np.append(v.lengths, 1)[piece]
-        offset = place - starts[segment[place]]
+        piece = np.concatenate([piece, np.full(len(bare), len(v.rank) - 1, dtype=np.int32)])
+        span = np.append(v.lengths, 1).astype(np.int32)[piece]
+        offset = place - starts.astype(np.int32)[segment[place]]
         by_place = np.argsort(offset, kind="stable")
         place, piece, span = place[by_place], piece[by_place], span[by_place]
         steps = np.searchsorted(offset[by_place], np.arange(lengths.max(initial=0) + 1))
@@ -320,12 +322,14 @@ class Encoder:
 
     def cuts(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Byte offsets at which the segments of UTF-8 bytes begin; texts begin at ``starts``."""
-        lead = np.flatnonzero((raw & 0xC0) != 0x80)
+        lead = np.flatnonzero((raw & 0xC0) != 0x80).astype(np.int32 if len(raw) < 1 << 31 else np.int64)
         code = self.v.letters[np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode(
             "utf-32-le", "surrogatepass"), dtype=np.uint32)]
         code[code >= len(self.v.joins)] = 0
         new = np.ones(len(lead), dtype=bool)
-        new[1:] = ~self.v.joins[code[:-1], code[1:]]
+        for at in range(1, len(code), 1 << 19):  # in steps, since indexing widens its operands
+            before, here = code[at - 1:at - 1 + (1 << 19)], code[at:at + (1 << 19)]
+            new[at:at + len(here)] = ~self.v.joins[before[:len(here)], here]
         new[np.searchsorted(lead, starts)] = True
         return lead[new]
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -28,11 +28,11 @@ def powers(base: int, n: int) -> np.ndarray:
     """``base`` to the powers 0 to n - 1 modulo 2^64; kept, so that batches share them."""
     known = _POWERS.get(base)
     if known is None or len(known) < n:
-        size = max(n, CHUNK_BYTES * 2 + 2)
+        size = max(n, CHUNK_BYTES + 2)
         grown = np.full(size, base, dtype=np.uint64)
         grown[0] = 1
         known = np.cumprod(grown, dtype=np.uint64)
-        if size <= CHUNK_BYTES * 2 + 2:
+        if size == CHUNK_BYTES + 2:
             _POWERS[base] = known
     return known[:n]
 
