@@ -26,20 +26,23 @@ LIST_ROWS = 1024  # longer posting lists are compared block against block
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Majority bits of the XXH64 values of all word shingles; 0 for a text without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 values of all word shingles, in order; none for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = [0, *(ends[:-shingle] + 1).tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], SEED)
-                           for a, b in zip(starts, ends[shingle - 1:].tolist())], dtype=np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends[:-shingle] + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED)
+                     for a, b in zip(starts, ends[shingle - 1:].tolist())], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in more than half of the hashes, as a signed number; 0 for none."""
     ones = np.zeros(64, dtype=np.int64)
     for low in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[low:low + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -47,6 +50,11 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """Majority bits of the XXH64 values of all word shingles; 0 for a text without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def _fingerprints(shingle: int):
     def run(batches):
         for batch in batches:
