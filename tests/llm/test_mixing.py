@@ -83,3 +83,31 @@ def test_edge_cases(docs, spark):
 def test_whole_query_runs_no_python(spark, sf_dir):
     plan = QUERIES["op5_mixing"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_three_domains_that_overlap_meet_their_targets(spark):
+    """Weakly separated posteriors with a rare domain: plain gradient steps need thousands."""
+    rng = np.random.default_rng(4)
+    share = np.array([0.60, 0.38, 0.02])
+    kind = rng.choice(3, 2000, p=share)
+    seen = np.array([[0.0, 0.0], [0.8, 0.0], [0.4, 0.8]])[kind] + rng.normal(size=(2000, 2))
+    far = ((seen[:, None, :] - np.array([[0.0, 0.0], [0.8, 0.0], [0.4, 0.8]])) ** 2).sum(axis=2)
+    p = share * np.exp(-far / 2)
+    p /= p.sum(axis=1, keepdims=True)
+    n = rng.integers(50, 500, 2000).astype(float)
+    soft = spark.createDataFrame([(x.tolist(), t) for x, t in zip(p, n.tolist())], "posterior array<double>, tokens double")
+    target = n.sum() * np.array([0.80, 0.15, 0.05])
+    rows = soft.withColumn("rate", mixing.fit_rates(soft, target.tolist())).collect()
+    rate = np.array([r.rate for r in rows])
+    got = np.array([r.rate * r.tokens * np.array(r.posterior) for r in rows]).sum(axis=0)
+    assert rate.min() >= 0 and np.abs(got - target).max() < 0.001 * n.sum()
+    base, plain = n @ p, np.ones(len(n))
+    for _ in range(30):
+        plain = np.maximum(plain - p @ (((plain * n) @ p - target) / base), 0)
+    assert np.abs((plain * n) @ p - target).max() > 0.01 * n.sum()
+
+
+def test_a_fit_that_does_not_settle_is_an_error(spark):
+    soft = spark.createDataFrame([([0.9, 0.1], 100.0), ([0.2, 0.8], 50.0)], "posterior array<double>, tokens double")
+    with pytest.raises(RuntimeError, match="settle"):
+        mixing.fit_rates(soft, [10.0, 140.0], steps=0)
