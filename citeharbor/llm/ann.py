@@ -39,6 +39,7 @@ class Tree:
     children: list[range]
     leaf: np.ndarray  # leaf number of a node, -1 for inner nodes
     longest: float
+    held: np.ndarray | None = None  # stored vectors of each leaf
 
     @property
     def leaves(self) -> int:
@@ -64,15 +65,19 @@ class Tree:
                 waiting.append((kids[k], members[nearest == k]))
         return self.leaf[node]
 
-    def best_first(self, query: np.ndarray, visits: int) -> list[int]:
-        """The first ``visits`` leaves of a best-bin-first walk for one query."""
+    def best_first(self, query: np.ndarray, visits: int, least: int = 0) -> list[int]:
+        """The first leaves of a best-bin-first walk for one query.
+
+        At least ``visits`` of them, and as many as hold ``least`` stored vectors; all, if need be.
+        """
         point = np.append(query, 0.0)[None, :]
-        queue, found = [(0.0, 0)], []
-        while queue and len(found) < visits:
+        queue, found, met = [(0.0, 0)], [], 0
+        while queue and (len(found) < visits or met < least):
             _, at = heapq.heappop(queue)
             kids = self.children[at]
             if not len(kids):
                 found.append(int(self.leaf[at]))
+                met += least and int(self.held[found[-1]])
                 continue
             far = _distances(point, self.centres[kids.start:kids.stop])[0]
             for k, d in zip(kids, far):
@@ -205,15 +210,19 @@ def _best(found: DataFrame, k: int) -> DataFrame:
         "query_id", "rank", "vec_id", "score")
 
 
-def _visits(tree, visits: int):
-    """A row for each query and leaf it visits, a bounded number of rows at a time."""
+def _visits(tree, k: int, visits: int):
+    """A row for each query and leaf it visits, a bounded number of rows at a time.
+
+    Leaves visited hold ``k`` vectors besides the query's own (third column: how many those are).
+    """
     step = max(1, VISIT_ROWS // max(visits, 1))
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                paths = [tree.value.best_first(v, visits) for v in _matrix(part.column(1))]
+                paths = [tree.value.best_first(v, visits, k + own)
+                         for v, own in zip(_matrix(part.column(1)), part.column(2).to_pylist())]
                 n = pa.array(np.repeat(np.arange(len(paths)), [len(p) for p in paths]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(n), part.column(1).take(n),
@@ -246,15 +255,21 @@ class Index:
         if grown:
             filed = cut(vectors.select("id", "vector").mapInArrow(
                 _filed(self.tree), "id long, vector array<double>, leaf int"))
-            sizes = filed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
-            self.sizes = cut(sizes)  # one row per leaf
+            counts = cut(filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")))  # one row per leaf
+            self.sizes = counts.select("leaf", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+            grown.held = np.zeros(self.leaves, dtype=np.int64)
+            for r in counts.collect():
+                grown.held[r["leaf"]] = r["n"]
+            self.tree = spark.sparkContext.broadcast(grown)
+            self.repeats = filed.groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("__own"))
             self.filed = filed.join(F.broadcast(self.sizes), "leaf").select(
                 "leaf", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "vector")
 
     def search(self, queries: DataFrame, k: int, visits: int) -> DataFrame:
         """``query_id, rank, vec_id, score``: the ``k`` best vectors in the leaves visited."""
-        asked = queries.select("id", "vector").mapInArrow(
-            _visits(self.tree, visits), "id long, vector array<double>, leaf int")
+        own = queries.join(self.repeats, queries["id"] == self.repeats["__id"], "left")
+        asked = own.select("id", "vector", F.coalesce("__own", F.lit(0)).alias("own")).mapInArrow(
+            _visits(self.tree, k, visits), "id long, vector array<double>, leaf int")
         asked = asked.join(F.broadcast(self.sizes), "leaf").select(
             "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "vector",
             F.lit(True).alias("query"))

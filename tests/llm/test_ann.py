@@ -81,3 +81,28 @@ def test_too_few_vectors(spark, rows):
     table = frame(spark, rows)
     got = ann.nearest_neighbours(table, table)
     assert got.columns == ["query_id", "rank", "vec_id", "score"] and got.collect() == []
+
+
+def test_isolated_vectors_get_full_lists_beside_large_groups(spark):
+    """Probes in large groups reach their recall in few leaves; sparse regions need more of them."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(4, 12))
+    alone = 3 * rng.normal(size=(60, 12))
+    points = np.concatenate([np.repeat(centres, 1000, axis=0), alone]).astype(np.float32)
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    table = frame(spark, rows)
+    queries = table.filter("vec_id % 20 = 0 or vec_id >= 4000")
+    got = ann.nearest_neighbours(table, queries, k=20, branch=4, leaf=2).collect()
+    n = {}
+    for r in got:
+        n[r.query_id] = n.get(r.query_id, 0) + 1
+    assert set(n.values()) == {20} and len(n) == queries.count()
+
+
+def test_walk_goes_on_until_the_leaves_hold_enough():
+    rng = np.random.default_rng(1)
+    tree = ann.grow(rng.normal(size=(200, 4)), 6.0, branch=4, leaf=2)
+    tree.held = np.ones(tree.leaves, dtype=np.int64)
+    assert len(tree.best_first(np.ones(4), 8, 21)) == 21
+    assert len(tree.best_first(np.ones(4), 8, 5)) == 8
+    assert len(tree.best_first(np.ones(4), 8, 10 ** 6)) == tree.leaves
