@@ -199,8 +199,10 @@ class _List:
         part, doc, line = (table[c].to_numpy() for c in ("part", "doc_id", "line"))
         word, key = ids >> np.uint64(32), (ids & np.uint64(0xFFFFFFFF))
         group = np.cumsum(np.append(0, (word[1:] != word[:-1]) | (part[1:] != part[:-1])))
-        order = np.lexsort((line, doc, key, group))
-        first = np.append(True, (group[order][1:] != group[order][:-1]) | (key[order][1:] != key[order][:-1]))
+        # Half a key does not tell sets apart: their sizes and bitmaps must be equal as well.
+        same = [table[c].to_numpy() for c in ("sizes", "b0", "b1", "b2", "b3")] + [key, group]
+        order = np.lexsort((line, doc, *same))
+        first = np.append(True, np.any([x[order][1:] != x[order][:-1] for x in same], axis=0))
         order = order[first]
         order = order[np.lexsort((line[order], doc[order], group[order]))]
         self.order = order

@@ -3,6 +3,7 @@
 import random
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 
 from citeharbor.llm import linededup
@@ -87,3 +88,13 @@ def test_remove_lines(docs):
     assert kept.columns == docs(rows).columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(
         [(1, "one two\n\nthree"), (2, "four\n"), (None, "three"), (3, None)], key=repr)
+
+
+def test_different_sets_with_equal_half_keys_both_stay_in_a_list():
+    """Two sets whose keys agree in the low 32 bits, and a copy of the second."""
+    table = pa.table({
+        "ids": pa.array([7 << 32 | 99] * 3, pa.int64()), "part": pa.array([0] * 3, pa.int32()),
+        "doc_id": pa.array([1, 2, 3], pa.int64()), "line": pa.array([0, 0, 0], pa.int32()),
+        "sizes": pa.array([10 << 32] * 3, pa.int64()), "b0": pa.array([1, 2, 2], pa.int64()),
+        **{f"b{k}": pa.array([0] * 3, pa.int64()) for k in (1, 2, 3)}})
+    assert linededup._List(table).doc.tolist() == [1, 2]
