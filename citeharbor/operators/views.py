@@ -227,6 +227,10 @@ def merged_datasets(datasets: DataFrame) -> DataFrame:
 
 
 def dataset_totals(datasets: DataFrame, articles: DataFrame) -> DataFrame:
+    """Datasets of the usage table, and those among them that some work uses.
+
+    The table holds used datasets only, one row each, so both numbers are equal.
+    """
     return used_datasets(datasets, articles).agg(
         F.count("*").alias("n_distinct_datasets"),
         F.count_if(F.col("n_articles_using_dataset") > 0).alias("n_reused_datasets"))

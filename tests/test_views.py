@@ -133,11 +133,11 @@ def test_article_table_and_detail(articles):
 def test_dataset_views(datasets, articles):
     ranking = views.dataset_ranking(datasets, articles, top_n=5).collect()
     assert [(r["icpsr_study_number"], r["n_articles_using_dataset"], r["n_articles"])
-            for r in ranking] == [("08079", 3, 1), ("8079", 3, 2), ("12", 1, 2)]
-    assert ranking[1]["label"] == "8079 · Beta (n=3)"
-    assert ranking[2]["icpsr_link"].endswith("/studies/12")
+            for r in ranking] == [("08079", 3, 3), ("12", 1, 2)]
+    assert ranking[0]["label"] == "08079 · Alpha (n=3)"
+    assert ranking[1]["icpsr_link"].endswith("/studies/12")
     assert len(views.dataset_ranking(datasets, articles, top_n=1).collect()) == 1
-    assert tuple(views.dataset_totals(datasets, articles).first()) == (2, 3)
+    assert tuple(views.dataset_totals(datasets, articles).first()) == (2, 2)
     assert sorted(r["seq"] for r in views.dataset_articles(articles, 8079).collect()) == [0, 1, 2]
     assert views.dataset_detail(datasets, 8079).first()["icpsr_study_number"] == "08079"
 
