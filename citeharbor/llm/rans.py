@@ -17,7 +17,9 @@ decoding can begin at any of them, and all of them are decoded side by side.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import unicodedata
 import uuid
 import zlib
 
@@ -49,15 +51,27 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: What a tokenizer must be made of for its words to be encoded one by one (fixed values).
+WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+@functools.cache
+def marked_when_normalized() -> str:
+    """Characters that hold a combining mark once they are normalised and lower-cased."""
+    return "".join(c for c in map(chr, range(0x80, 0x110000)) if any(
+        unicodedata.category(x)[0] == "M" for x in unicodedata.normalize("NFC", c).lower()))
+
+
 class Tokens:
     """The tokenizer's ids of whole texts, each distinct word encoded once.
 
     White space ends every word of this kind of tokenizer, a letter before an ASCII punctuation
-    mark does too, and capitals do not count. Texts with combining marks or ``<|``, where this need
-    not hold, are encoded whole.
+    mark does too, and capitals do not count. Texts with ``<|`` or with characters that have
+    combining marks after normalisation, where this need not hold, are encoded whole. So are all
+    texts if the tokenizer is not of this kind.
     """
 
-    WHOLE = r"<\||\pM"
     BORDER = r"(\pL)([!-/:-@\[-`{-~])"
     KEPT = 500_000  # words remembered between batches
 
@@ -70,6 +84,17 @@ class Tokens:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.by_words = self._by_words()
+        self.whole = r"<\||[\pM" + "".join(f"\\x{{{ord(c):x}}}" for c in marked_when_normalized()
+                                         if unicodedata.category(c)[0] != "M") + "]"
+
+    def _by_words(self) -> bool:
+        made = json.loads(self.tokenizer.to_str())
+        steps = [(made["normalizer"] or {}).get("normalizers") or [], (made["pre_tokenizer"] or {}).get("pretokenizers") or []]
+        return (made["model"].get("end_of_word_suffix") == "</w>"
+                and [x["type"] for x in steps[0]] == WORD_NORMALIZERS
+                and [x["type"] for x in steps[1]] == ["Split", "ByteLevel"]
+                and steps[1][0]["pattern"].get("Regex") == WORD_PATTERN)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -96,8 +121,10 @@ class Tokens:
 
     def batch(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
+        if not self.by_words:
+            return self._encode(texts.to_pylist())
         out: list[bytes] = [b""] * len(texts)
-        whole = pc.match_substring_regex(texts, self.WHOLE).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
         rest = np.flatnonzero(~whole)
         for at, ids in zip(np.flatnonzero(whole), self._encode(texts.take(pa.array(np.flatnonzero(whole))).to_pylist())):
             out[at] = ids
@@ -345,7 +372,7 @@ def write(encoded: DataFrame, folder: str) -> None:
     places, coder = context.broadcast(ids.astype(np.uint32)), context.broadcast(Coder(scaled))
     parts = max(context.defaultParallelism, int(seen.sum()) // PART_IDS + 1)
     ordered = (
-        rows.select("doc_id", "n", "ids").repartitionByRange(parts, "doc_id")
+        rows.select("doc_id", "n", "ids").repartitionByRange(parts, "doc_id", F.xxhash64("ids"))
         .sortWithinPartitions("doc_id", F.xxhash64("ids"))
         .select(F.spark_partition_id().alias("part"), "doc_id", "n", "ids"))
     ordered.mapInArrow(_write(places, coder), BLOCK).write.option("compression", "none").parquet(f"{folder}/blocks")

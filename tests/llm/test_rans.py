@@ -1,6 +1,7 @@
 """Token files: exact round trips, the tokenizer's ids, damaged files, ordering."""
 
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -35,6 +36,26 @@ def test_words_give_the_ids_of_whole_texts(library):
         assert got == [ids_of(library, t) for t in texts]
 
 
+def test_every_character_beside_punctuation(library):
+    """Characters that normalisation takes apart included."""
+    chars = [chr(c) for c in range(0x21, 0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    tokens = rans.Tokens(rans.default_tokenizer())
+    for form in ("a{}.'s", ".{}b"):
+        texts = [form.format(c) for c in chars]
+        got = [x for at in range(0, len(texts), 20_000) for x in tokens.batch(pa.array(texts[at:at + 20_000]))]
+        want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [t for t, g, w in zip(texts, got, want) if g != w] == []
+
+
+def test_another_tokenizer_is_used_as_it_is():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Don't  STOP, it's\n1,234!!", " a", "", "x. Y"]
+    got = [np.frombuffer(b, "<u4").tolist() for b in rans.Tokens(path).batch(pa.array(texts))]
+    assert got == [ids_of(Tokenizer.from_file(path), t) for t in texts]
+
+
 @pytest.mark.parametrize("counts", [[1], [5, 0, 3], [10**9, 1, 1, 0, 7], list(range(1, 3000))])
 def test_frequencies_add_up(counts):
     scaled = rans.frequencies(np.array(counts))
