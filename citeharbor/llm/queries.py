@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeharbor.llm import (
-    ann, linededup, mixing, pii, quality, rans, sentencepieces, simhash, substrings, toxicity)
+    ann, linededup, mixing, packing, pii, quality, rans, sentencepieces, simhash, substrings, toxicity)
 from citeharbor.llm.oracle import ORACLE as ORACLE
 from citeharbor.llm.tables import table
 
@@ -88,3 +88,9 @@ def op9_substring_dedup(spark, sf_dir):
 def op10_nearest(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest_neighbours(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+@query
+def op11_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
