@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeharbor.llm import (
-    ann, linededup, mixing, packing, pii, quality, rans, sentencepieces, simhash, substrings, toxicity)
+    ann, linededup, mixing, packing, periods, pii, quality, rans, sentencepieces, simhash, substrings, toxicity)
 from citeharbor.llm.oracle import ORACLE as ORACLE
 from citeharbor.llm.tables import table
 
@@ -94,3 +94,9 @@ def op10_nearest(spark, sf_dir):
 def op11_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    docs = periods.with_planted_runs(table(spark, sf_dir, "documents"))
+    return periods.digest(periods.periodic_runs(docs))

@@ -69,6 +69,12 @@ class Chunk:
         self.starts = np.flatnonzero(here & (~before | edge))
         self.ends = np.flatnonzero(before & (~here | edge))
         self.bounds = np.searchsorted(self.starts, offsets)
+        self.offsets = offsets
+
+    def texts(self) -> list[bytes]:
+        """The bytes of each row."""
+        raw = self.data.tobytes()
+        return [raw[a:b] for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist())]
 
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
