@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeharbor.llm import (
-    ann, linededup, mixing, packing, periods, pii, quality, rans, sentencepieces, simhash, substrings, toxicity)
+    ann, linededup, mixing, packing, periods, pii, prefixtrie, quality, rans, sentencepieces, simhash, substrings,
+    toxicity)
 from citeharbor.llm.oracle import ORACLE as ORACLE
 from citeharbor.llm.tables import table
+from citeharbor.sources.stages import cut
 
 QUERIES = {}
 
@@ -100,3 +102,9 @@ def op11_packing(spark, sf_dir):
 def op12_periodic_runs(spark, sf_dir):
     docs = periods.with_planted_runs(table(spark, sf_dir, "documents"))
     return periods.digest(periods.periodic_runs(docs))
+
+
+@query
+def op13_prefix_trie(spark, sf_dir):
+    convs = cut(prefixtrie.sequences(table(spark, sf_dir, "conversations")))
+    return prefixtrie.prefix_trie(prefixtrie.rebuilt(convs))
