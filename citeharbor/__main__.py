@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from citeharbor.plans import jobs
-from citeharbor.sources.readers import read_articles_csv, read_works
+from citeharbor.sources.readers import read_articles_csv
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -44,7 +44,7 @@ def main(arguments: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName(f"citeharbor-{options.step}").getOrCreate()
     layout = jobs.Layout(options.root)
     if options.step == "run":
-        works = read_works(spark, options.works, options.one_array) if options.works else None
+        works = jobs.take_works(spark, layout, options.works, options.one_array) if options.works else None
         pages = spark.read.parquet(options.pages) if options.pages else None
         articles = read_articles_csv(spark, options.articles) if options.articles else None
         jobs.run_detection(spark, layout, works, pages, with_csv=options.csv,

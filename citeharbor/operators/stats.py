@@ -16,11 +16,13 @@ def label_column(df: DataFrame) -> str | None:
     return present[-1] if present else None
 
 
-def funnel_stats(articles: DataFrame, collected: DataFrame | None = None) -> DataFrame:
+def funnel_stats(articles: DataFrame, collected: DataFrame | None = None,
+                 rejected: DataFrame | None = None) -> DataFrame:
     """``stage, metric, value`` rows from one aggregation over the detection table.
 
     ``collected`` is the table before detection; without it the detection table
-    stands for it. Metrics whose columns are absent are left out.
+    stands for it. ``rejected`` holds the records that could not be read. Metrics whose columns or
+    tables are absent are left out.
     """
     label = label_column(articles)
     hit = F.col("has_icpsr")
@@ -56,8 +58,12 @@ def funnel_stats(articles: DataFrame, collected: DataFrame | None = None) -> Dat
             for i, (stage, metric, _) in enumerate(chosen)])))
 
     if collected is None:
-        return rows(articles, metrics)
-    return rows(collected, metrics[:1]).unionByName(rows(articles, metrics[1:]))
+        counts = rows(articles, metrics)
+    else:
+        counts = rows(collected, metrics[:1]).unionByName(rows(articles, metrics[1:]))
+    if rejected is not None:
+        counts = counts.unionByName(rows(rejected, [("collected", "rejected_records", F.count("*"))]))
+    return counts
 
 
 def run_summary(articles: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ from citeharbor.operators import (
     classify, detect, fulltext, linkmap, normalize, pages, references, similarity, stats,
     summary, views)
 from citeharbor.plans import fixtures
-from citeharbor.sources.readers import read_csv, read_table, spread
+from citeharbor.sources.readers import (
+    read_articles_csv, read_csv, read_table, read_work_map, read_works, rejected_works, spread)
 from citeharbor.sources.stages import shared_folder
 from citeharbor.sources.writers import write_csv
 
@@ -182,6 +183,65 @@ def q_csv_roundtrip(spark, sf_dir):
     return read_csv(spark, path, table.schema)
 
 
+def _file_folder(spark):
+    return f"{shared_folder(spark)}/citeharbor/files-{uuid.uuid4().hex}"
+
+
+def _works_file(spark, sf_dir):
+    """Works as JSON Lines in files of unequal size, in the order of ``seq``; some lines are broken."""
+    line = F.to_json(F.struct("*"))
+    works = fixtures.nested_works(spark, sf_dir, with_abstract=False)
+    lines = works.select("seq", F.when(F.col("seq") % 10 == 3, line.substr(F.lit(1), F.length(line) - 1)).when(
+        F.col("seq") % 50 == 7, "null").otherwise(line).alias("value"))
+    path = _file_folder(spark)
+    for name, part, files in (("a", "seq < 50", 1), ("b", "seq >= 50", 4)):
+        ordered = lines.filter(part).repartitionByRange(files, "seq").sortWithinPartitions("seq")
+        ordered.select("value").write.text(f"{path}/{name}")
+    return f"{path}/*"
+
+
+@query
+def q_works_json(spark, sf_dir):
+    """Works read from files: numbered as they stand there, without the broken records."""
+    flat = normalize.flatten_works(read_works(spark, _works_file(spark, sf_dir)))
+    return flat.select("seq", "id", "doi", "publication_year", "is_oa", "host_venue")
+
+
+@query
+def q_works_rejected(spark, sf_dir):
+    rejected = rejected_works(spark, _works_file(spark, sf_dir))
+    return rejected.select("seq", (F.col("record") == "null").alias("is_null"))
+
+
+@query
+def q_works_first(spark, sf_dir):
+    """The first work of each DOI in the order of the files."""
+    flat = normalize.flatten_works(read_works(spark, _works_file(spark, sf_dir)))
+    return normalize.dedupe_by_doi(flat).select("seq", "id", "doi")
+
+
+@query
+def q_csv_arrival(spark, sf_dir):
+    """Articles without numbers of their own, in several CSV files with line breaks in fields."""
+    table = fixtures.articles(spark, sf_dir).select("seq", "id", "title", "publication_year")
+    path = _file_folder(spark)
+    for name, part, files in (("a", "seq < 50", 1), ("b", "seq >= 50", 3)):
+        ordered = table.filter(part).repartitionByRange(files, "seq").sortWithinPartitions("seq")
+        write_csv(ordered.drop("seq"), f"{path}/{name}")
+    back = read_articles_csv(spark, f"{path}/*")
+    return back.select("seq", "id", "title", "publication_year")
+
+
+@query
+def q_map_file(spark, sf_dir):
+    """References against a map kept as CSV, in whose order the last row of a work counts."""
+    path = _file_folder(spark)
+    table = fixtures.work_map(spark, sf_dir).repartitionByRange(4, "seq").sortWithinPartitions("seq")
+    write_csv(table.drop("seq"), path)
+    found = references.with_references(fixtures.articles(spark, sf_dir), read_work_map(spark, path, "csv"))
+    return found.select("seq", "ref_has_icpsr", "ref_icpsr_work_ids", "ref_icpsr_dois", "ref_icpsr_study_numbers")
+
+
 @query
 def q_detection_csv(spark, sf_dir):
     """A detection table kept as CSV files with two column orders, one with a column more."""

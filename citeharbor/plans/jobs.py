@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeharbor import schemas
 from citeharbor.functions.patterns import ARCHIVE, PatternSet
@@ -18,7 +20,7 @@ from citeharbor.operators.stats import funnel_stats
 from citeharbor.operators.summary import dataset_summary
 from citeharbor.operators.views import prepare_articles, prepare_datasets
 from citeharbor.sources import readers, writers
-from citeharbor.sources.stages import load_or_build, usable_stage
+from citeharbor.sources.stages import committed, load_or_build, usable_stage
 
 
 @dataclass(frozen=True)
@@ -34,6 +36,10 @@ class Layout:
     def works(self) -> str:
         return self.path("raw_works")
 
+    @property
+    def rejected(self) -> str:
+        return self.path("rejected_works")
+
     @property
     def articles(self) -> str:
         return self.path("articles")
@@ -67,6 +73,34 @@ class Layout:
         return self.path("run_counts")
 
 
+def take_works(spark: SparkSession, layout: Layout, path: str, one_array: bool = False) -> DataFrame:
+    """Works from JSON files, in arrival order; records that cannot be read go to a table of their own.
+
+    Both are counted on the way, and a run whose counts do not add up to the records read is an error.
+    """
+    seen, kept, out = Observation(), Observation(), Observation()
+    records = readers.read_work_records(spark, path, one_array).observe(seen, F.count(F.lit(1)).alias("n"))
+    rejected = records.filter("work IS NULL").drop("work").observe(out, F.count(F.lit(1)).alias("n"))
+    writers.write_table(rejected, layout.rejected)
+    works = readers.read_works(spark, path, one_array).observe(kept, F.count(F.lit(1)).alias("n"))
+    writers.write_json(works, layout.works)
+    if seen.get["n"] != kept.get["n"] + out.get["n"]:
+        raise RuntimeError(f"{seen.get['n']} records gave {kept.get['n']} works and {out.get['n']} rejected ones")
+    return stored_works(spark, layout)
+
+
+def stored_in(table: DataFrame, path: str) -> bool:
+    """True when a table is read from the files of a folder and can not replace them."""
+    name = path.rstrip("/").rsplit("/", 2)[-2:]
+    return any(f.rsplit("/", 3)[1:3] == name for f in table.inputFiles()[:1])
+
+
+def stored_works(spark: SparkSession, layout: Layout) -> DataFrame:
+    """The raw works of an earlier :func:`take_works`, with their arrival numbers."""
+    kind = T.StructType([*schemas.WORKS.fields, T.StructField("seq", schemas.LONG)])
+    return spark.read.schema(kind).json(layout.works)
+
+
 def build_articles(spark: SparkSession, layout: Layout, works: DataFrame | None = None,
                    null_key: str = "keep", with_csv: bool = False,
                    articles: DataFrame | None = None, reuse: bool = False) -> DataFrame:
@@ -80,7 +114,8 @@ def build_articles(spark: SparkSession, layout: Layout, works: DataFrame | None
     def build() -> DataFrame:
         if articles is not None:
             return articles
-        writers.write_json(works, layout.works)
+        if not stored_in(works, layout.works):
+            writers.write_json(works, layout.works)
         return dedupe_by_doi(flatten_works(works), null_key=null_key)
 
     stored = load_or_build(spark, layout.articles, build, required="id", rebuild=given and not reuse)
@@ -167,8 +202,9 @@ def build_map(spark: SparkSession, layout: Layout, doi: str = "doi") -> DataFram
 
 def write_stats(spark: SparkSession, layout: Layout) -> DataFrame:
     """Counts along the run, returned and written as text."""
+    rejected = spark.read.parquet(layout.rejected) if committed(spark, layout.rejected) else None
     stats = funnel_stats(spark.read.parquet(layout.detection),
-                         spark.read.parquet(layout.articles))
+                         spark.read.parquet(layout.articles), rejected)
     return writers.write_report(stats, layout.stats)
 
 

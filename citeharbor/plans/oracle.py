@@ -284,6 +284,25 @@ ORACLE: dict[str, str] = {
         f"WITH {FULL} SELECT seq, id, nullif(title, '') AS title, nullif(doi, '') AS doi, publication_year, has_icpsr, "
         "icpsr_study_number, detection_score, "
         "CASE WHEN seq % 2 = 0 THEN concat('type ', seq % 5) END AS work_type FROM full_table",
+    "q_works_json":
+        f"WITH {NESTED}, filed AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS place, * FROM nested) "
+        "SELECT place AS seq, id, doi, publication_year, is_oa, venue AS host_venue FROM filed "
+        "WHERE seq % 10 <> 3 AND seq % 50 <> 7",
+    "q_works_rejected":
+        f"WITH {ARTICLES}, filed AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS place, seq FROM articles) "
+        "SELECT place AS seq, seq % 10 <> 3 AS is_null FROM filed WHERE seq % 10 = 3 OR seq % 50 = 7",
+    "q_works_first":
+        f"WITH {ARTICLES}, filed AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS place, * FROM articles) "
+        "SELECT place AS seq, id, doi FROM filed WHERE seq % 10 <> 3 AND seq % 50 <> 7 QUALIFY doi IS NULL "
+        "OR row_number() OVER (PARTITION BY doi ORDER BY seq) = 1",
+    "q_csv_arrival":
+        f"WITH {ARTICLES} SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, id, nullif(title, '') AS title, "
+        "publication_year FROM articles",
+    "q_map_file":
+        f"WITH {ARTICLES}, {REFERENCED} SELECT a.seq, h.seq IS NOT NULL AS ref_has_icpsr, "
+        "coalesce(ids, '') AS ref_icpsr_work_ids, coalesce(dois, '') AS ref_icpsr_dois, "
+        "coalesce(studies, '') AS ref_icpsr_study_numbers "
+        "FROM articles a LEFT JOIN hits h ON h.seq = a.seq",
     "q_union_references":
         f"WITH {ARTICLES}, {REFERENCED} SELECT query_ord, a.seq AS source_seq, h.seq IS NOT NULL AS ref_has_icpsr, "
         "coalesce(ids, '') AS ref_icpsr_work_ids FROM (SELECT 0 AS query_ord, * FROM articles WHERE NOT is_oa "

@@ -38,6 +38,23 @@ def test_steps(spark, tmp_path, capsys):
     assert "collected.total_articles: 2" in printed and "related.research: 1" in printed
 
 
+def test_rejected_records_are_stored_and_counted(spark, tmp_path, capsys):
+    lines = [json.dumps({"id": f"W{i}", "doi": f"d{i}"}) for i in range(40)]
+    lines[3], lines[30] = lines[3][:-1], "[]"
+    (tmp_path / "works.json").write_text("\n".join(lines))
+    root = str(tmp_path / "run")
+    with pytest.warns(UserWarning):
+        main(["run", "--root", root, "--works", str(tmp_path / "works.json")])
+    layout = Layout(root)
+    assert sorted(r["seq"] for r in spark.read.parquet(layout.rejected).collect()) == [3, 30]
+    rows = {r["seq"]: r["id"] for r in spark.read.parquet(layout.articles).collect()}
+    assert rows == {i: f"W{i}" for i in range(40) if i not in (3, 30)}
+    capsys.readouterr()
+    main(["stats", "--root", root])
+    printed = capsys.readouterr().out.splitlines()
+    assert "collected.total_articles: 38" in printed and "collected.rejected_records: 2" in printed
+
+
 def test_summary_without_datasets(spark, tmp_path, capsys):
     layout = Layout(str(tmp_path / "run"))
     spark.createDataFrame(
