@@ -18,7 +18,8 @@ from citeharbor.operators import (
 from citeharbor.plans import fixtures
 from citeharbor.sources.readers import (
     read_articles_csv, read_csv, read_table, read_work_map, read_works, rejected_works, spread)
-from citeharbor.sources.stages import shared_folder
+from citeharbor.sources.refresh import refresh
+from citeharbor.sources.stages import remove, shared_folder
 from citeharbor.sources.writers import write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -309,6 +310,29 @@ def q_detection_table(spark, sf_dir):
         "icpsr_work_category")
 
 
+@query
+def q_detection_refresh(spark, sf_dir):
+    """Detection over a folder of files that change: some replaced, one removed, one added, the rest kept."""
+    folder, stage = _file_folder(spark), _file_folder(spark)
+    documents = read_table(spark, sf_dir, "documents")
+
+    def write(name, rows):
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+    def build(rows):
+        found = detect.with_detection(fixtures.articles_of(rows))
+        return found.select("_source", "seq", "has_icpsr", "icpsr_study_number", "detection_score")
+
+    for part in range(4):
+        old = documents.filter(F.col("doc_id") % 5 == part)
+        write(f"part{part}", old.withColumn("text", F.lit("We used ICPSR 1.")) if part == 1 else old)
+    refresh(spark, stage, folder, build).count()
+    write("part1", documents.filter("doc_id % 5 = 1"))
+    remove(spark, f"{folder}/part2")
+    write("part4", documents.filter("doc_id % 5 = 4"))
+    return refresh(spark, stage, folder, build)
+
+
 @query
 def q_classify(spark, sf_dir):
     return fixtures.detected_stage(spark, sf_dir).select(

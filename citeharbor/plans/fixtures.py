@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeharbor.functions.patterns import ARCHIVE
 from citeharbor.operators.references import with_evidence
 from citeharbor.sources.readers import read_table, spread
 from citeharbor.sources.stages import load_or_build, shared_folder
@@ -189,8 +190,21 @@ def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detected_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The detection table as a stored stage of this application; views read it."""
+    """The detection table as a stored stage of this application; views read it.
+
+    It is built again when files of the documents or the rules have changed.
+    """
     tag = hashlib.md5(sf_dir.rstrip("/").encode()).hexdigest()[:12]
     path = (f"{shared_folder(spark)}/citeharbor/{spark.sparkContext.applicationId}"
             f"/{tag}/detection")
-    return load_or_build(spark, path, lambda: detected(spark, sf_dir), required="has_icpsr")
+    rules = hashlib.md5(repr((ARCHIVE, ARTICLES_SQL, MAP_SQL)).encode()).hexdigest()
+    return load_or_build(spark, path, lambda: detected(spark, sf_dir), required="has_icpsr",
+                         inputs=[read_table(spark, sf_dir, "documents")], version=rules)
+
+
+def articles_of(documents: DataFrame) -> DataFrame:
+    """Articles of some documents; columns of documents beside theirs are kept."""
+    more = [c for c in documents.columns if c.startswith("_")]
+    source = documents.sparkSession
+    sql = ARTICLES_SQL.replace("SELECT doc_id AS seq", "SELECT " + "".join(f"{c}, " for c in more) + "doc_id AS seq", 1)
+    return _run(source, sql, documents=documents)

@@ -20,7 +20,8 @@ from citeharbor.operators.stats import funnel_stats
 from citeharbor.operators.summary import dataset_summary
 from citeharbor.operators.views import prepare_articles, prepare_datasets
 from citeharbor.sources import readers, writers
-from citeharbor.sources.stages import committed, load_or_build, usable_stage
+from citeharbor.sources.stages import (
+    committed, forget, load_or_build, manifest, reads_from, remember, unchanged, usable_stage)
 
 
 @dataclass(frozen=True)
@@ -77,7 +78,12 @@ def take_works(spark: SparkSession, layout: Layout, path: str, one_array: bool =
     """Works from JSON files, in arrival order; records that cannot be read go to a table of their own.
 
     Both are counted on the way, and a run whose counts do not add up to the records read is an error.
+    Files that have not changed since the last run are not read again.
     """
+    made_of = manifest(spark, [spark.read.text(path)], f"one_array={one_array}")
+    if unchanged(spark, layout.works, made_of) and committed(spark, layout.works):
+        return stored_works(spark, layout)
+    forget(spark, layout.works)
     seen, kept, out = Observation(), Observation(), Observation()
     records = readers.read_work_records(spark, path, one_array).observe(seen, F.count(F.lit(1)).alias("n"))
     rejected = records.filter("work IS NULL").drop("work").observe(out, F.count(F.lit(1)).alias("n"))
@@ -86,15 +92,10 @@ def take_works(spark: SparkSession, layout: Layout, path: str, one_array: bool =
     writers.write_json(works, layout.works)
     if seen.get["n"] != kept.get["n"] + out.get["n"]:
         raise RuntimeError(f"{seen.get['n']} records gave {kept.get['n']} works and {out.get['n']} rejected ones")
+    remember(spark, layout.works, made_of)
     return stored_works(spark, layout)
 
 
-def stored_in(table: DataFrame, path: str) -> bool:
-    """True when a table is read from the files of a folder and can not replace them."""
-    name = path.rstrip("/").rsplit("/", 2)[-2:]
-    return any(f.rsplit("/", 3)[1:3] == name for f in table.inputFiles()[:1])
-
-
 def stored_works(spark: SparkSession, layout: Layout) -> DataFrame:
     """The raw works of an earlier :func:`take_works`, with their arrival numbers."""
     kind = T.StructType([*schemas.WORKS.fields, T.StructField("seq", schemas.LONG)])
@@ -106,19 +107,21 @@ def build_articles(spark: SparkSession, layout: Layout, works: DataFrame | None
                    articles: DataFrame | None = None, reuse: bool = False) -> DataFrame:
     """Raw works, or ready-made ``articles``, to the stored article table.
 
-    What is given replaces a stored table, unless ``reuse`` asks for that one; it is also used when
-    nothing is given.
+    What is given replaces a stored table, unless it was made of the same files or ``reuse`` asks for
+    that one; it is also used when nothing is given.
     """
-    given = works is not None or articles is not None
+    given = [df for df in (articles, works) if df is not None and not reuse][:1]
 
     def build() -> DataFrame:
         if articles is not None:
             return articles
-        if not stored_in(works, layout.works):
+        if not reads_from(works, layout.works):
+            forget(spark, layout.works)
             writers.write_json(works, layout.works)
         return dedupe_by_doi(flatten_works(works), null_key=null_key)
 
-    stored = load_or_build(spark, layout.articles, build, required="id", rebuild=given and not reuse)
+    stored = load_or_build(spark, layout.articles, build, required="id", rebuild=bool(given), inputs=given,
+                           version=f"null_key={null_key}")
     if with_csv:
         writers.write_csv(stored, f"{layout.articles}_csv")
     return stored
@@ -130,21 +133,24 @@ def article_texts(spark: SparkSession, layout: Layout, works: DataFrame | None =
                   reuse: bool = False) -> DataFrame:
     """Articles with their text, as a stored stage.
 
-    Works, articles or pages that are given are processed and replace the stored text, unless
-    ``reuse`` asks for that. Without any, the stored text is used, or that of a stored detection
-    table.
+    Works, articles or pages that are given are processed and replace the stored text, unless that was
+    made of the same files or ``reuse`` asks for it. Without any, the stored text is used, or that of a
+    stored detection table.
     """
-    rebuild = not reuse and not (works is None and articles is None and pages is None)
+    if not reuse and not (works is None and articles is None and pages is None):
+        stored = build_articles(spark, layout, works, null_key, with_csv, articles)
+        return load_or_build(spark, layout.texts, lambda: attach_fulltext(stored, pages), required="fulltext",
+                             rebuild=True, inputs=[stored] if pages is None else [stored, pages])
 
     def build() -> DataFrame:
-        earlier = None if rebuild else usable_stage(spark, layout.detection, "fulltext")
+        earlier = usable_stage(spark, layout.detection, "fulltext")
         if earlier is not None:
             return earlier.drop(*schemas.TEXT_RESULT.names, *schemas.REFERENCE_RESULT.names,
                                 "icpsr_work_category")
         stored = build_articles(spark, layout, works, null_key, with_csv, articles, reuse)
         return attach_fulltext(stored, pages)
 
-    return load_or_build(spark, layout.texts, build, required="fulltext", rebuild=rebuild)
+    return load_or_build(spark, layout.texts, build, required="fulltext")
 
 
 def run_detection(spark: SparkSession, layout: Layout, works: DataFrame | None = None,

@@ -349,6 +349,8 @@ ORACLE: dict[str, str] = {
         "FROM sig",
     "q_detect_documents":
         f"WITH {DETECTED} SELECT k AS seq, * EXCLUDE (k) FROM det",
+    "q_detection_refresh":
+        f"WITH {DETECTED} SELECT k AS seq, has_icpsr, icpsr_study_number, detection_score FROM det WHERE k % 5 <> 2",
     "q_detect_natural":
         f"WITH {sentence_cte('documents', 'doc_id', 'text')}, {signals_cte(NATURAL)}, "
         f"{result_cte(NATURAL, 'documents', 'doc_id')} SELECT k AS doc_id, * EXCLUDE (k) FROM det",
