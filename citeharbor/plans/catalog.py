@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from citeharbor.functions.detection import negative_context
 from citeharbor.functions.patterns import PatternSet, SignalRule
 from citeharbor.operators import (
     classify, detect, fulltext, linkmap, normalize, pages, references, similarity, stats,
-    summary, views)
+    summary, textindex, views)
 from citeharbor.plans import fixtures
 from citeharbor.sources.readers import (
     read_articles_csv, read_csv, read_table, read_work_map, read_works, rejected_works, spread)
@@ -438,6 +439,17 @@ def q_article_search(spark, sf_dir):
         "row_id", "seq", "title", "journal", "year", "has_dataset_link")
 
 
+INDEXED_PATTERNS = ("title 1[0-9]{2} ", "dup1[0-4]$|icpsr010(05|07)", "src1[0-4]?$", "[a-z]*")
+
+
+@query
+def q_indexed_search(spark, sf_dir):
+    """Several searches of one index over the articles; the last pattern can only be answered by a scan."""
+    index = textindex.build_index(_view(spark, sf_dir), f"{_file_folder(spark)}/index")
+    found = [index.search(pattern).select(F.lit(i).alias("pattern"), "seq") for i, pattern in enumerate(INDEXED_PATTERNS)]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 @query
 def q_article_detail(spark, sf_dir):
     return views.article_detail(_search(spark, sf_dir))

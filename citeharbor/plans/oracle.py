@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from citeharbor.functions.patterns import ARCHIVE, PatternSet
-from citeharbor.plans.catalog import NATURAL, SEARCH_TEXT, SOURCE_TERMS
+from citeharbor.plans.catalog import INDEXED_PATTERNS, NATURAL, SEARCH_TEXT, SOURCE_TERMS
 from citeharbor.plans.fixtures import ARTICLES_SQL, MAP_SQL, REFERENCE_CELLS_SQL, STUDY_PAGES_SQL, URLS_SQL
 
 WS = r"\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -307,6 +307,11 @@ ORACLE: dict[str, str] = {
         f"WITH {ARTICLES}, {REFERENCED} SELECT query_ord, a.seq AS source_seq, h.seq IS NOT NULL AS ref_has_icpsr, "
         "coalesce(ids, '') AS ref_icpsr_work_ids FROM (SELECT 0 AS query_ord, * FROM articles WHERE NOT is_oa "
         "UNION ALL SELECT 1, * FROM articles) a LEFT JOIN hits h ON h.seq = a.seq",
+    "q_indexed_search":
+        f"WITH {VIEW} " + " UNION ALL ".join(
+            f"SELECT {i} AS pattern, seq FROM vw WHERE " + " OR ".join(
+                f"regexp_matches(lower(coalesce({c}, '')), '{pattern}')" for c in ("title", "doi", "journal"))
+            for i, pattern in enumerate(INDEXED_PATTERNS)),
     "q_article_lookup":
         f"WITH {ROW_TABLE}, best AS (SELECT * FROM chosen ORDER BY detection_score DESC, seq LIMIT 1) "
         f"SELECT row_id, concat('[', row_id, '] ', {SHORT.format(t='title', n=90)}) AS label, "

@@ -1,0 +1,98 @@
+"""Indexed search finds what a scan finds, and reads less."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from citeharbor.operators import textindex, views
+
+
+@pytest.fixture(scope="module")
+def articles(spark):
+    rng = random.Random(3)
+    words = ["survey", "panel", "income", "Élite", "health", "aging", "vote", "a.b", "x+y", "(c)", "ΣΑΣ", "straße", "co\nop"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 4))) + (f" rare{i}" if i % 50 == 0 else ""),
+             f"10.1/{i}" if i % 3 else None, rng.choice(["Journal of X", "Annals", None]), i % 2 == 0) for i in range(3000)]
+    return spark.createDataFrame(rows + [(None, "survey", None, None, True)],
+                                 "seq long, title string, doi string, journal string, has_icpsr boolean")
+
+
+@pytest.fixture(scope="module")
+def index(articles, tmp_path_factory):
+    return textindex.build_index(articles, str(tmp_path_factory.mktemp("index")))
+
+
+PATTERNS = ["rare50", "RARE1.0 *", "(rare|health).*(vote|income)$", "survey panel", "^élite", "10\\.1/29[0-9]{2}", "pan(el|a)s?",
+            "(?:hea)lth (a)ging", "x*", "ab", "surv.?ey|annals", "(?i)Vote", "\\bvote\\b", "co\\sop", "co.op", "vo(te)+ vote", "a\\.b x\\+y",
+            "[jk]ournal of x", "zzzz", "(rare)?zzz", "straße", "\\qa.b\\e", "σασ", "", "rare(?=1)", "rare[^0]00", "(?:rare1|rare2)00?"]
+
+
+@pytest.mark.parametrize("query", PATTERNS)
+def test_equal_to_the_scan(articles, index, query):
+    present = articles.filter("seq IS NOT NULL")
+    try:
+        want = sorted(r["seq"] for r in views.filter_articles(present, query=query).collect())
+    except Exception:  # a broken pattern fails either way
+        with pytest.raises(Exception):
+            index.search(query).collect()
+        return
+    assert sorted(r["seq"] for r in index.search(query).collect()) == want
+
+
+def test_literal_search_and_other_filters(articles, index):
+    for query in ("a.b", "(c)", "x+y panel", "[", "rare"):
+        want = views.filter_articles(articles.filter("seq IS NOT NULL"), query=query, mode="literal", only_hits=True)
+        got = index.search(query, mode="literal", only_hits=True)
+        assert sorted(r["seq"] for r in got.collect()) == sorted(r["seq"] for r in want.collect())
+    with pytest.raises(ValueError, match="title"):
+        index.search("x", columns=["has_icpsr"])
+
+
+def random_pattern(rng, depth=0):
+    kind = rng.randrange(8 if depth < 3 else 3)
+    if kind < 3:
+        return "".join(rng.choice("abc") for _ in range(rng.randint(0, 5)))
+    if kind == 3:
+        return f"({random_pattern(rng, depth + 1)}|{random_pattern(rng, depth + 1)})"
+    if kind == 4:
+        return f"(?:{random_pattern(rng, depth + 1)}){rng.choice(['?', '*', '+', '{2}', '{0,1}', '+?'])}"
+    if kind == 5:
+        return rng.choice([".", "[ab]", "[^a]", "^", "$", "\\b", "a|b"])
+    return random_pattern(rng, depth + 1) + random_pattern(rng, depth + 1)
+
+
+def holds(need, text):
+    if isinstance(need, str):
+        return need in text
+    return (all if need.every else any)(holds(p, text) for p in need.parts)
+
+
+def test_needs_of_random_patterns():
+    """Whatever a pattern matches holds what was derived from it."""
+    rng, asked = random.Random(1), 0
+    for _ in range(3000):
+        pattern = random_pattern(rng)
+        need = textindex.required(pattern)
+        asked += need is not None
+        for _ in range(20):
+            text = "".join(rng.choice("abc") for _ in range(rng.randint(0, 14)))
+            if need is not None and re.search(pattern, text):
+                assert holds(need, text), (pattern, text)
+    assert asked > 500
+
+
+def test_less_is_read(index, spark):
+    assert index.candidates("rare100").count() == 2 and index.candidates("x*") is None and index.candidates("survey") is None
+    plan = index.search("rare100")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "In(seq" in plan.replace("EqualTo(seq", "In(seq")
+    assert index.candidates("nothing like it").count() == 0
+
+
+def test_postings_are_divided_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(textindex, "RANGE_BITS", 4)
+    frame = spark.range(-20, 80).select(F.col("id").alias("seq"), F.lit("abcd").alias("title"))
+    rows = textindex.postings(frame).collect()
+    assert {r["gram"] for r in rows} == {"abc", "bcd"} and max(len(r["rows"]) for r in rows) == 16
+    assert sorted((r["range"] << 4) + x for r in rows for x in r["rows"] if r["gram"] == "abc") == list(range(-20, 80))
