@@ -14,13 +14,13 @@ from citeharbor.functions import identifiers, nested, text
 from citeharbor.functions.detection import negative_context
 from citeharbor.functions.patterns import PatternSet, SignalRule
 from citeharbor.operators import (
-    classify, detect, fulltext, linkmap, normalize, pages, references, similarity, stats,
+    classify, detect, fulltext, linkmap, normalize, pages, references, rollup, similarity, stats,
     summary, textindex, views)
 from citeharbor.plans import fixtures
 from citeharbor.sources.readers import (
     read_articles_csv, read_csv, read_table, read_work_map, read_works, rejected_works, spread)
 from citeharbor.sources.refresh import refresh
-from citeharbor.sources.stages import remove, shared_folder
+from citeharbor.sources.stages import cut, remove, shared_folder
 from citeharbor.sources.writers import write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -427,6 +427,33 @@ def q_filter_counts(spark, sf_dir):
         year_min=2000, year_max=2020, article_type="research")
 
 
+def _rollup(spark, sf_dir):
+    """The counts of two batches of works, merged and stored."""
+    articles = _view(spark, sf_dir)
+    batches = [rollup.rollup(articles.filter(F.col("seq") % 2 == k)) for k in range(2)]
+    return cut(rollup.merged(*batches))
+
+
+@query
+def q_rollup_overview(spark, sf_dir):
+    return rollup.overview(_rollup(spark, sf_dir))
+
+
+@query
+def q_rollup_counts(spark, sf_dir):
+    return rollup.filter_counts(_rollup(spark, sf_dir), only_hits=True, year_min=2000, year_max=2020, article_type="research")
+
+
+@query
+def q_rollup_journals(spark, sf_dir):
+    return rollup.journal_ranking(_rollup(spark, sf_dir))
+
+
+@query
+def q_rollup_profile(spark, sf_dir):
+    return rollup.journal_profile(_rollup(spark, sf_dir))
+
+
 def _search(spark, sf_dir):
     return views.article_table(
         _view(spark, sf_dir), query=SEARCH_TEXT, only_hits=True, year_min=1999, year_max=2022,

@@ -15,6 +15,7 @@ from citeharbor.operators.fulltext import attach_fulltext
 from citeharbor.operators.linkmap import build_work_map
 from citeharbor.operators.normalize import dedupe_by_doi, flatten_works
 from citeharbor.operators.references import with_evidence
+from citeharbor.operators.rollup import rollup
 from citeharbor.operators.similarity import cluster_datasets
 from citeharbor.operators.stats import funnel_stats
 from citeharbor.operators.summary import dataset_summary
@@ -69,6 +70,10 @@ class Layout:
     def clusters(self) -> str:
         return self.path("clusters")
 
+    @property
+    def rollup(self) -> str:
+        return self.path("view_counts")
+
     @property
     def stats(self) -> str:
         return self.path("run_counts")
@@ -171,6 +176,7 @@ def run_detection(spark: SparkSession, layout: Layout, works: DataFrame | None =
     writers.write_table(found, layout.detection, with_csv)
     table = spark.read.parquet(layout.detection)
     writers.write_table(detected_subset(table, include_ref_hits), layout.detected, with_csv)
+    write_rollup(spark, layout)
     summarize(spark, layout, with_csv)
     return table
 
@@ -198,6 +204,13 @@ def summarize(spark: SparkSession, layout: Layout, with_csv: bool = False,
     return True
 
 
+def write_rollup(spark: SparkSession, layout: Layout) -> DataFrame:
+    """Counts over the detected articles, from which ``operators.rollup`` answers the report views."""
+    articles = schemas.with_optional(prepare_articles(spark.read.parquet(layout.detected)), schemas.VIEW_COLUMNS)
+    writers.write_table(rollup(articles), layout.rollup)
+    return spark.read.parquet(layout.rollup)
+
+
 def build_map(spark: SparkSession, layout: Layout, doi: str = "doi") -> DataFrame:
     """Dataset-to-work map from the stored summary and articles; the next run uses it."""
     datasets = readers.read_datasets(spark, layout.datasets)

@@ -487,3 +487,10 @@ ORACLE: dict[str, str] = {
         f"WITH {VIEW} SELECT DISTINCT journal FROM linked "
         "WHERE journal IS NOT NULL AND study_norm IS NOT NULL",
 }
+# The same views, answered from counts.
+ROLLED = {"q_rollup_overview": "q_overview", "q_rollup_journals": "q_journal_ranking", "q_rollup_profile": "q_journal_profile"}
+ORACLE |= {name: ORACLE[view] for name, view in ROLLED.items()}
+CHOSEN_COUNTS = ("has_icpsr AND year BETWEEN 2000 AND 2020 AND icpsr_work_category = 'research_article_using_icpsr'")
+ORACLE["q_rollup_counts"] = f"WITH {VIEW} SELECT " + ", ".join(
+    [f"count(*) FILTER ({f}) AS total_{n}" for n, f in COUNT_FLAGS.items()]
+    + [f"count(*) FILTER ({f} AND {CHOSEN_COUNTS}) AS filtered_{n}" for n, f in COUNT_FLAGS.items()]) + " FROM vw"
