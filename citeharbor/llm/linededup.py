@@ -473,31 +473,40 @@ def judged(docs: DataFrame) -> DataFrame:
                          F.size(gone).cast("long").alias("n_removed"), F.array_sort(gone).alias("removed"))
 
 
-def _kept(batches):
-    for batch in batches:
-        texts = []
-        for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
-            if gone:
-                raw = text.encode("utf-8", "surrogatepass")
-                found = Lines.of(0, 1, np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
-                pairs = {(g["line"], g["key"]) for g in gone}
-                drop = {n for n, k in zip(found.number.tolist(), _half(found.key).tolist()) if (n, k) in pairs}
-                text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
-            texts.append(text)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), pa.array(texts, pa.string())], ["row", "kept"])
+def _without(raw: bytes, gone: list[dict]) -> bytes:
+    found = Lines.of(0, 1, np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
+    pairs = {(g["line"], g["key"]) for g in gone}
+    drop = {n for n, k in zip(found.number.tolist(), _half(found.key).tolist()) if (n, k) in pairs}
+    return b"\n".join(x for i, x in enumerate(raw.split(b"\n")) if i not in drop)
+
+
+def _kept(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """Texts without some of their lines; NULL stays NULL. One text at a time is taken out of Arrow."""
+    out = [_without(text.as_buffer().to_pybytes(), lines.as_py()) if text.is_valid else None
+           for text, lines in zip(texts, gone)]
+    return pa.array(out, pa.binary()).cast(pa.string())
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the repeated lines taken out of ``text``; a column n_chars follows."""
+    """The rows of ``docs`` with the repeated lines taken out of ``text``; a column n_chars follows.
+
+    Only texts that lose a line go through Python; all other rows and columns stay as they are.
+    """
     gone = LineDedup(docs).by_document().withColumnRenamed("doc_id", "__id")
-    columns = docs.columns
-    row = F.struct(*[F.col(c) for c in columns]).alias("row")
-    joined = docs.select(row, F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"))
-    marked = joined.join(gone, "__id", "left").select("row", "text", "gone")
-    kind = docs.select(row).schema["row"].dataType.simpleString()
-    done = marked.mapInArrow(_kept, f"row {kind}, kept string")
-    own = [F.col("kept").alias(c) if c == "text" else
-           F.when(F.col("row.n_chars").isNotNull(), F.length("kept").cast(docs.schema[c].dataType)).alias(c)
-           if c == "n_chars" else F.col("row")[c].alias(c) for c in columns]
-    return done.select(*own)
+    without = F.arrow_udf(_kept, "string")
+    text = F.col("text").cast("string")
+    row = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__id"), text.alias("__text"))
+    marked = row.join(gone, "__id", "left")
+    hit = F.col("gone").isNotNull() & F.col("__text").isNotNull()
+    done = marked.select("__row", "__text", hit.alias("__hit"), without(F.when(hit, F.col("__text")), F.col("gone")).alias("__cut"))
+    kept = F.when(F.col("__hit"), F.col("__cut")).otherwise(F.col("__text"))
+
+    def column(name: str):
+        value = F.col("__row").getField(name)
+        if name == "text":
+            value = kept
+        elif name == "n_chars":
+            value = F.when(value.isNotNull(), F.length(kept).cast(docs.schema[name].dataType))
+        return value.alias(name)
+
+    return done.select(*[column(c) for c in docs.columns])

@@ -236,5 +236,8 @@ def repeated(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], ke
     """The rows of ``docs``, each as often as its copies, columns unchanged; no text is shuffled."""
     row = docs.select(F.struct("*").alias("__row"), "doc_id", "text", "lang")
     mix = fit(cut(properties(row).select(*NARROW)), labelled, weights, keep_all)
-    return mix.apply(properties(row)).filter("copies > 0").select(
+    # Through a one-row generator: what follows would else be merged with the properties and scan the text
+    # again for each of its uses.
+    bound = properties(row).select("__row", F.inline(F.array(F.struct("n_tokens", "draw", "cells"))))
+    return mix.apply(bound).filter("copies > 0").select(
         "__row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("__row.*")

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeharbor.llm import linededup, mixing, nearcopies, sentencepieces, toxicity
+from citeharbor.llm import linededup, mixing, sentencepieces, simhash, toxicity
 from citeharbor.llm.queries import label_domains
 from citeharbor.llm.tables import table
 from citeharbor.sources.stages import shared_folder
@@ -24,7 +24,8 @@ WEIGHTS = {"good": 0.85, "poor": 0.15}
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below one half; the classifier learns from the labels table."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("toxicity < 0.5").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("__row"), "text")  # a column of docs may be called toxicity
+    return toxicity.score(rows, model).filter("toxicity < 0.5").select("__row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +34,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8): the smallest doc_id."""
-    return nearcopies.keep_one(docs)
+    """One document of each group of near copies (fingerprints of four-word shingles that chains of at most
+    four differing bits link): the smallest doc_id."""
+    return simhash.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,3 +76,19 @@ def test_tokens(stages):
 def test_run_gives_the_last_stage(spark, sf_dir, stages):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert sorted((r.doc_id, r.ids) for r in rows) == sorted((r.doc_id, r.ids) for r in stages[5])
+
+
+def test_stages_keep_columns_with_odd_names(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    odd = docs.selectExpr("*", "doc_id AS `a.b`", "text AS `c-d`", "lang AS toxicity", "source AS gone", "lang AS copies", "doc_id AS `__id x`")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, odd, sf_dir)
+        assert found.columns == odd.columns, name
+        rows = found.selectExpr("doc_id = `a.b` AND lang = toxicity AND source = gone AND lang = copies AS same").distinct().collect()
+        assert [r["same"] for r in rows] == [True], name
+
+
+def test_mixing_scans_each_text_once(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = corpus_pipeline.mix(spark, docs, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("[A-Z]{4}|!!") <= 2
