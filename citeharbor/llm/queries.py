@@ -40,8 +40,7 @@ def op3_line_dedup(spark, sf_dir):
 
 @query
 def op4_sentencepiece(spark, sf_dir):
-    coded = sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    back = sentencepieces.decode(coded)
+    back = sentencepieces.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), sentencepieces.SPACE, " ")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

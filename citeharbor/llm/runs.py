@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,6 +50,14 @@ def bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), len(table))
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Workers live on between tasks, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU systems only
+    if trim is not None:
+        trim(0)
+
+
 def by_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch]):
     """A ``mapInArrow`` function that handles each batch on its own."""
     def run(batches):

@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeharbor.llm.runs import give_back
+
 SPACE = "▁"
 INDEX_CHARS = 500_000  # characters of distinct segments that one suffix array covers
 CACHE_BITS = 20
@@ -388,6 +390,32 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     return docs.withColumn("ids", ids(F.coalesce(F.col("text"), F.lit(""))))
 
 
+def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """``docs`` with ``ids`` as of :func:`encode` and ``decoded`` as of :func:`decode`, by one function.
+
+    Two functions in a row would be merged into one call of each and one of both: texts would be encoded
+    twice.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model or default_model()))
+    held: dict[str, Encoder] = {}
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(texts: pa.Array) -> pa.Array:
+        if "encoder" not in held:
+            held["encoder"] = Encoder(shared.value)
+        parts = []
+        for at in range(0, len(texts), BATCH):
+            ids = held["encoder"].texts(texts.slice(at, BATCH))
+            back = pa.array([decoded(shared.value, x.values.tolist()) for x in ids], pa.string())
+            parts.append(pa.StructArray.from_arrays([ids, back], ["ids", "decoded"]))
+        give_back()
+        return pa.concat_arrays(parts) if parts else pa.array(
+            [], pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())]))
+
+    coded = docs.withColumn("__coded", both(F.coalesce(F.col("text"), F.lit(""))))
+    return coded.withColumns({"ids": F.col("__coded.ids"), "decoded": F.col("__coded.decoded")}).drop("__coded")
+
+
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """``encoded`` with ``decoded``, the text of its column ``ids`` (NULL: empty).
 

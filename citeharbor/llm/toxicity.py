@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeharbor.llm import words as W
+from citeharbor.llm.runs import give_back
 from citeharbor.sources.stages import cut
 
 ORDERS = (3, 4, 5)
@@ -200,7 +201,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.scores(texts))
+        scores = pa.array(shared.value.scores(texts))
+        give_back()
+        return scores
 
     return docs.withColumn("toxicity", scored(F.coalesce(F.col("text"), F.lit(""))))
 

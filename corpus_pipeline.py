@@ -47,7 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
-    coded = sentencepieces.decode(sentencepieces.encode(docs.select("doc_id", "text", "lang", "source")))
+    coded = sentencepieces.round_trip(docs.select("doc_id", "text", "lang", "source"))
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), sentencepieces.SPACE, " ")
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
                         same.alias("round_trip"))

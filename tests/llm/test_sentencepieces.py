@@ -67,3 +67,13 @@ def test_decoding_matches_the_library(library):
         ids = library.encode(text)
         assert own.decoded(vocabulary, ids) == library.decode(ids)
     assert own.decoded(vocabulary, [3 + 0xC3]) == "�"
+
+
+def test_both_ways_at_once_equal_one_after_the_other(docs):
+    rows = edge_rows() + [(9, "Ünï ▁ 日本 😀 x" * 40)]
+    frame = docs(rows).select("doc_id", "text")
+    apart = own.decode(own.encode(frame)).select("doc_id", "ids", "decoded")
+    at_once = own.round_trip(frame)
+    assert sorted(map(str, at_once.select("doc_id", "ids", "decoded").collect())) == sorted(map(str, apart.collect()))
+    plan = at_once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.split("ArrowEvalPython")[1].split("\n")[0].count("both(") == 1
