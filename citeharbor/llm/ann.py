@@ -2,9 +2,13 @@
 
 The tree is fitted on a bounded sample, every vector is filed under its leaf. A query walks the
 tree with a priority queue of nodes ordered by distance and so meets the leaves in the order of
-their promise; it visits the first ``visits`` of them. How many are needed is measured: a bounded
-set of probe queries is compared with an exact search over all vectors, and the number of visits
-doubles until the recall asked for is reached (all leaves, if nothing less will do).
+their promise; it visits the first ``visits`` of them. How many are needed is measured: for a bounded
+set of probe queries an exact search over all vectors tells in which leaves the true neighbours
+lie, and the visits are widened until the recall asked for is reached.
+
+Neighbouring leaves share a shelf of about ``PART`` vectors, a larger leaf takes several. A query goes
+once to each shelf that it visits, with the list of its leaves there, and gets one list back. The vectors
+of a shelf come first, queries stream past them, and shelves with many queries are copied for blocks of them.
 
 Nearness is the inner product. The tree works on distances: each vector gets one more component
 that brings all vectors to the same length, so the largest product is the smallest distance.
@@ -20,15 +24,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeharbor.llm.runs import bounds, whole_groups
+from citeharbor.llm.runs import bounds
 from citeharbor.sources.stages import cut
 
 SAMPLE = 20_000  # vectors that the tree is fitted on, at most
 BRANCH, LEAF = 16, 64  # children of a node; sampled vectors of a leaf
-PROBES = 64  # queries that calibrate the number of visits
-RECALL = 0.95  # over the probes; leaves room above the 0.9 asked of the whole
-VISIT_ROWS = 4096  # rows of queries and leaves made at once
-PART = 4096  # vectors of a leaf that one task group compares
+PROBES = 128  # queries that calibrate the number of visits
+RECALL = 0.97  # over the probes; leaves room above the 0.9 asked of the whole
+VISIT_ROWS = 4096  # rows of queries and shelves made at once
+PART = 4096  # vectors of a shelf, about
+BLOCK_QUERIES = 1 << 16  # queries of a shelf that one task group answers, about
+ASKED = 128  # queries compared with a shelf at once
+PAIRS = 1 << 16  # exact products made at once
 
 
 @dataclass
@@ -39,7 +46,9 @@ class Tree:
     children: list[range]
     leaf: np.ndarray  # leaf number of a node, -1 for inner nodes
     longest: float
-    held: np.ndarray | None = None  # stored vectors of each leaf
+    held: np.ndarray | None = None  # distinct stored vectors of each leaf
+    shelf: np.ndarray | None = None  # first shelf of each leaf
+    shelves: np.ndarray | None = None  # number of shelves of each leaf
 
     @property
     def leaves(self) -> int:
@@ -70,20 +79,40 @@ class Tree:
 
         At least ``visits`` of them, and as many as hold ``least`` stored vectors; all, if need be.
         """
-        point = np.append(query, 0.0)[None, :]
+        return self.walks(query[None, :], visits, [least])[0]
+
+    def walks(self, queries: np.ndarray, visits: int, least: list[int]) -> list[list[int]]:
+        """:meth:`best_first` of several queries; their distances to all centres are made at once."""
+        if visits >= self.leaves:
+            return [list(range(self.leaves))] * len(queries)
+        far = _distances(np.column_stack([queries, np.zeros(len(queries))]), self.centres)
+        return [self._walk(far[q].tolist(), visits, least[q]) for q in range(len(queries))]
+
+    def _walk(self, far: list[float], visits: int, least: int) -> list[int]:
         queue, found, met = [(0.0, 0)], [], 0
         while queue and (len(found) < visits or met < least):
-            _, at = heapq.heappop(queue)
+            at = heapq.heappop(queue)[1]
             kids = self.children[at]
             if not len(kids):
                 found.append(int(self.leaf[at]))
                 met += least and int(self.held[found[-1]])
-                continue
-            far = _distances(point, self.centres[kids.start:kids.stop])[0]
-            for k, d in zip(kids, far):
-                heapq.heappush(queue, (float(d), k))
+            for kid in kids:
+                heapq.heappush(queue, (far[kid], kid))
         return found
 
+    def place(self, stored: np.ndarray, part: int) -> None:
+        """Deal the leaves, which hold ``stored`` rows each, out to shelves of about ``part`` rows."""
+        self.shelf, self.shelves = np.zeros((2, len(stored)), dtype=np.int64)
+        at, room = -1, 0
+        for leaf, n in enumerate(stored.tolist()):
+            self.shelves[leaf] = many = max(1, -(-n // part))
+            if many > 1 or n > room:
+                at += 1
+                room = part
+            self.shelf[leaf] = at
+            at += many - 1
+            room = 0 if many > 1 else room - n
+
 
 def _distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (centres ** 2).sum(axis=1)[None, :] - 2 * points @ centres.T
@@ -128,35 +157,73 @@ def grow(sample: np.ndarray, longest: float, branch: int = BRANCH, leaf: int = L
     return Tree(np.array(centres), children, leaf_of, longest)
 
 
-def _matrix(lists) -> np.ndarray:
+def _matrix(lists, width: int = -1) -> np.ndarray:
     """Lists of one length as rows of doubles."""
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    return np.asarray(lists.flatten(), dtype=np.float64).reshape(len(lists), -1)
+    values = np.asarray(lists.flatten(), dtype=np.float64)
+    return values.reshape(len(lists), width) if len(lists) else np.zeros((0, max(width, 0)))
 
 
-def products(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, added up from the first component to the last."""
-    total = np.zeros(len(vectors))
-    for k in range(len(query)):
-        total += query[k] * vectors[:, k]
+def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products of rows in double precision, added up from the first component to the last."""
+    parts = np.ascontiguousarray((queries * vectors).T)
+    total = np.zeros(len(queries))
+    for part in parts:
+        total += part
     return total
 
 
-def nearest(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """For each query its ``k`` best vectors of a block: (query position, vector position, score)."""
-    rough = queries @ vectors.T
-    rough[query_ids[:, None] == ids[None, :]] = -np.inf
-    slack = 1e-9 * (1 + np.abs(rough[np.isfinite(rough)]).max(initial=0.0))
-    for q in range(len(queries)):
-        row = rough[q]
-        if len(ids) > k:
-            floor = np.partition(row, len(row) - k)[len(row) - k]
-            near = np.flatnonzero((row >= floor - slack) & np.isfinite(row))
+class Shelf:
+    """Stored vectors by leaf, rows that repeat id and vector once, and of equal vectors the ``k`` + 1 smallest
+    ids: with one id left out for the query's own, no others can be among its ``k`` best."""
+
+    def __init__(self, ids: np.ndarray, leaves: np.ndarray, vectors: np.ndarray, k: int):
+        vectors = vectors + 0.0  # no negative zeros, so equal vectors have equal bytes
+        _, same = np.unique(np.ascontiguousarray(vectors).view(f"V{8 * vectors.shape[1]}").ravel(),
+                            return_inverse=True)
+        order = np.lexsort((ids, same, leaves))
+        ids, same = ids[order], same[order]
+        fresh = np.ones(len(ids), dtype=bool)
+        fresh[1:] = (ids[1:] != ids[:-1]) | (same[1:] != same[:-1])
+        order, same = order[fresh], same[fresh]
+        first = np.flatnonzero(np.append(True, same[1:] != same[:-1]))
+        place = np.arange(len(same)) - np.repeat(first, np.diff(np.append(first, len(same))))
+        order, ids = order[place <= k], ids[fresh][place <= k]
+        self.ids, self.vectors, self.k = ids, vectors[order], k
+        self.leaves, starts = np.unique(leaves[order], return_index=True)
+        self.cuts = np.append(starts, len(order))
+
+    def best(self, asked: np.ndarray, queries: np.ndarray, visited: list[np.ndarray] | None = None):
+        """Query position, stored position and score of the ``k`` best in the leaves that each query visits."""
+        rough = np.full((len(queries), len(self.ids)), -np.inf)
+        if visited is None:
+            rough = queries @ self.vectors.T
         else:
-            near = np.flatnonzero(np.isfinite(row))
-        exact = products(queries[q], vectors[near])
-        best = np.lexsort((ids[near], -exact))[:k]
-        yield q, near[best], exact[best]
+            who = np.repeat(np.arange(len(visited)), [len(v) for v in visited])
+            which = np.concatenate(visited)
+            for n, leaf in enumerate(self.leaves):
+                rows = who[which == leaf]
+                low, high = self.cuts[n], self.cuts[n + 1]
+                rough[rows, low:high] = queries[rows] @ self.vectors[low:high].T
+        rough[asked[:, None] == self.ids[None, :]] = -np.inf
+        real = np.isfinite(rough)
+        floor = np.full(len(queries), -np.inf)
+        if len(self.ids) > self.k:
+            floor = np.partition(rough, len(self.ids) - self.k, axis=1)[:, len(self.ids) - self.k]
+        slack = 1e-9 * (1 + np.abs(rough[real]).max(initial=0.0))
+        at, near = np.nonzero(real & (rough >= floor[:, None] - slack))
+        scores = np.concatenate([np.zeros(0), *(
+            products(queries[at[i:i + PAIRS]], self.vectors[near[i:i + PAIRS]]) for i in range(0, len(at), PAIRS))])
+        return first_of(at, self.ids[near], scores, self.k)
+
+
+def first_of(at: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
+    """The ``k`` best rows of each value of ``at``: largest score first, ties to the smaller id."""
+    order = np.lexsort((ids, -scores, at))
+    at, ids, scores = at[order], ids[order], scores[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, dtype=np.int64)
+    keep = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at)))) < k
+    return at[keep], ids[keep], scores[keep]
 
 
 def usable(vector: Column) -> Column:
@@ -165,68 +232,79 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
 
 
-BLOCK = ["leaf", "part"]
+BLOCK = ["shelf", "block"]
 FOUND = "query_id long, vec_id long, score double"
 
 
 def _compare(k: int):
-    """Best vectors of each block of a leaf for each query that visits it.
-
-    Rows of a block: its vectors (``query`` false) and the queries (true), any order.
-    """
+    """Best vectors of each shelf for each query that visits it: rows of a block come vectors first."""
     def run(batches):
-        for table in whole_groups(batches, BLOCK):
-            cuts = bounds(table, BLOCK)
-            ids = table["id"].to_numpy()
-            asks = table["query"].to_numpy(zero_copy_only=False).astype(bool)
+        key, held, shelf = None, [], None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            cuts = bounds(table, [*BLOCK, "query"])
             for low, high in zip(cuts[:-1], cuts[1:]):
-                block = table.slice(low, high - low)
-                ask, own = asks[low:high], ids[low:high]
-                if ask.all() or not ask.any():
+                rows = table.slice(low, high - low)
+                here = tuple(rows[c][0].as_py() for c in BLOCK)
+                if here != key:
+                    key, held, shelf = here, [], None
+                if not rows["query"][0].as_py():
+                    held.append(rows)
                     continue
-                vectors = _matrix(block["vector"])
-                stored = vectors[~ask]
-                for start in range(0, int(ask.sum()), 256):
-                    part = np.flatnonzero(ask)[start:start + 256]
-                    yield from _rows(nearest(vectors[part], own[part], stored, own[~ask], k), own[part], own[~ask])
+                if shelf is None and held:
+                    stored, held = pa.concat_tables(held).combine_chunks(), []
+                    leaves = np.asarray(stored["leaves"].combine_chunks().flatten())
+                    shelf = Shelf(stored["id"].to_numpy(), leaves, _matrix(stored["vector"]), k)
+                for start in range(0, len(rows), ASKED):
+                    part = rows.slice(start, ASKED)
+                    ids = part["id"].to_numpy()
+                    visited = [np.asarray(v.values) for v in part["leaves"]]
+                    at, near, scores = shelf.best(ids, _matrix(part["vector"]), visited)
+                    yield _batch(ids[at], near, scores)
     return run
 
 
-def _rows(found, query_ids, ids):
-    queries, near, scores = [], [], []
-    for q, at, values in found:
-        queries.append(np.full(len(at), query_ids[q]))
-        near.append(ids[at])
-        scores.append(values)
-    if queries and sum(map(len, queries)):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(x)) for x in (queries, near, scores)], ["query_id", "vec_id", "score"])
+def _batch(queries: np.ndarray, near: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(queries), pa.array(near), pa.array(scores)], ["query_id", "vec_id", "score"])
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
     """The ``k`` best of each query: largest score first, ties to the smaller id, ids once."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
+    rows = found.repartition("query_id").distinct()  # one shuffle serves both
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
 
 
 def _visits(tree, k: int, visits: int):
-    """A row for each query and leaf it visits, a bounded number of rows at a time.
+    """A row for each query and shelf it visits, with its leaves there; a bounded number of rows at a time.
 
     Leaves visited hold ``k`` vectors besides the query's own (third column: how many those are).
     """
-    step = max(1, VISIT_ROWS // max(visits, 1))
-
     def run(batches):
+        grown = tree.value
+        step = max(1, VISIT_ROWS // int(grown.shelves.sum()))
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                paths = [tree.value.best_first(v, visits, k + own)
-                         for v, own in zip(_matrix(part.column(1)), part.column(2).to_pylist())]
-                n = pa.array(np.repeat(np.arange(len(paths)), [len(p) for p in paths]))
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
+                paths = grown.walks(_matrix(part.column(1)), visits, [k + n for n in part.column(2).to_pylist()])
+                row = np.repeat(np.arange(len(paths)), [len(p) for p in paths])
+                leaf = np.concatenate(paths).astype(np.int64)
+                many = grown.shelves[leaf]  # a leaf in several shelves counts for each of them
+                first = np.repeat(np.cumsum(many) - many, many)
+                row, leaf = np.repeat(row, many), np.repeat(leaf, many)
+                shelf = grown.shelf[leaf] + np.arange(len(leaf)) - first
+                order = np.lexsort((leaf, shelf, row))
+                row, leaf, shelf = row[order], leaf[order], shelf[order]
+                new = np.append(True, (row[1:] != row[:-1]) | (shelf[1:] != shelf[:-1]))
+                starts = np.flatnonzero(new)
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.append(starts, len(row)).astype(np.int32)), pa.array(leaf.astype(np.int32)))
+                n = pa.array(row[starts])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(n), part.column(1).take(n),
-                     pa.array(np.concatenate(paths).astype(np.int32))], ["id", "vector", "leaf"])
+                    [part.column(0).take(n), part.column(1).take(n), pa.array(shelf[starts].astype(np.int32)), lists],
+                    ["id", "vector", "shelf", "leaves"])
     return run
 
 
@@ -240,68 +318,97 @@ def _filed(tree):
 
 
 class Index:
-    """Every usable vector of a table under its leaf, in a checkpoint; large leaves in parts."""
+    """Every usable vector of a table under its leaf, in a checkpoint."""
 
-    def __init__(self, vectors: DataFrame, sample: int = SAMPLE, branch: int = BRANCH, leaf: int = LEAF,
+    def __init__(self, vectors: DataFrame, width: int, sample: int = SAMPLE, branch: int = BRANCH, leaf: int = LEAF,
                  part: int = PART):
         spark = vectors.sparkSession
+        self.kind = vectors.schema["vector"].dataType.simpleString()
         size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate(
-            F.col("vector"), F.lit(0.0), lambda t, x: t + x * x))).alias("longest")).first()
-        self.rows, self.part, self.vectors = size["n"], part, vectors
-        chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()
-        grown = grow(_matrix(chosen["vector"]), size["longest"], branch, leaf) if self.rows else None
-        self.leaves = grown.leaves if grown else 0
-        self.tree = spark.sparkContext.broadcast(grown)  # at most ``sample`` centres
-        if grown:
-            filed = cut(vectors.select("id", "vector").mapInArrow(
-                _filed(self.tree), "id long, vector array<double>, leaf int"))
-            counts = cut(filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")))  # one row per leaf
-            self.sizes = counts.select("leaf", F.ceil(F.col("n") / part).cast("int").alias("parts"))
-            grown.held = np.zeros(self.leaves, dtype=np.int64)
-            for r in counts.collect():
-                grown.held[r["leaf"]] = r["n"]
-            self.tree = spark.sparkContext.broadcast(grown)
-            self.repeats = filed.groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("__own"))
-            self.filed = filed.join(F.broadcast(self.sizes), "leaf").select(
-                "leaf", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "vector")
+            F.col("vector"), F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))).alias("longest")).first()
+        self.rows, self.leaves, self.vectors = size["n"], 0, vectors
+        if not self.rows:
+            return
+        # Only rows near the beginning of the hash order are sorted: somewhat more than the sample.
+        order = F.xxhash64("id", "vector")
+        share = min(1.0, 1.25 * sample / self.rows)
+        early = vectors if share == 1 else vectors.filter(
+            F.shiftrightunsigned(order, 11) < F.lit(int(share * (1 << 53))))
+        chosen = early.orderBy(order, "id").limit(sample).select("vector").toArrow()
+        grown = grow(_matrix(chosen["vector"], width), size["longest"], branch, leaf)
+        self.leaves = grown.leaves
+        first = spark.sparkContext.broadcast(grown)  # at most ``sample`` leaves
+        filed = cut(vectors.select("id", "vector").mapInArrow(
+            _filed(first), f"id long, vector {self.kind}, leaf int"))
+        distinct = filed.groupBy("leaf", "id", F.xxhash64("vector").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+        distinct = cut(distinct.select("leaf", "id", "n"))  # narrow
+        stored, grown.held = np.zeros((2, self.leaves), dtype=np.int64)
+        for r in distinct.groupBy("leaf").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("held")).collect():
+            stored[r["leaf"]], grown.held[r["leaf"]] = r["n"], r["held"]  # one row for each leaf
+        grown.place(stored, part)
+        self.tree = spark.sparkContext.broadcast(grown)
+        self.repeats = distinct.groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("__own"))
+        shelf = F.element_at(F.lit(grown.shelf.tolist()), F.col("leaf") + 1)
+        many = F.element_at(F.lit(grown.shelves.tolist()), F.col("leaf") + 1)
+        self.filed = filed.select(
+            (shelf + F.pmod(F.xxhash64("id"), many)).cast("int").alias("shelf"), F.lit(0).alias("query"), "id",
+            "vector", F.array("leaf").alias("leaves"))
 
     def search(self, queries: DataFrame, k: int, visits: int) -> DataFrame:
         """``query_id, rank, vec_id, score``: the ``k`` best vectors in the leaves visited."""
         own = queries.join(self.repeats, queries["id"] == self.repeats["__id"], "left")
-        asked = own.select("id", "vector", F.coalesce("__own", F.lit(0)).alias("own")).mapInArrow(
-            _visits(self.tree, k, visits), "id long, vector array<double>, leaf int")
-        asked = asked.join(F.broadcast(self.sizes), "leaf").select(
-            "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "vector",
-            F.lit(True).alias("query"))
-        rows = self.filed.withColumn("query", F.lit(False)).unionByName(asked)
-        found = rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(_compare(k), FOUND)
+        asked = cut(own.select("id", "vector", F.coalesce("__own", F.lit(0)).alias("own")).mapInArrow(
+            _visits(self.tree, k, visits), f"id long, vector {self.kind}, shelf int, leaves array<int>"))
+        blocks = asked.groupBy(F.col("shelf").alias("__shelf")).agg(
+            F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("blocks"))
+        stored = self.filed.join(blocks, F.col("shelf") == F.col("__shelf")).select(
+            "shelf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query", "id", "vector",
+            "leaves")
+        asked = asked.join(blocks, F.col("shelf") == F.col("__shelf")).select(
+            "shelf", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("query"),
+            "id", "vector", "leaves")
+        rows = stored.unionByName(asked)
+        found = rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "query").mapInArrow(_compare(k), FOUND)
         return _best(found, k)
 
     def exact(self, queries: DataFrame, k: int) -> DataFrame:
-        """The same by comparing a bounded set of queries with all vectors, block by block."""
+        """The same by comparing a bounded set of queries with all vectors, batch by batch."""
         asked = queries.select("id", "vector").toArrow()
         probes = self.vectors.sparkSession.sparkContext.broadcast(
             (asked["id"].to_numpy(), _matrix(asked["vector"])))
 
         def run(batches):
             ids, points = probes.value
+            best = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)]
             for batch in batches:
-                if batch.num_rows:
-                    own = batch.column(0).to_numpy()
-                    yield from _rows(nearest(points, ids, _matrix(batch.column(1)), own, k), ids, own)
+                for low in range(0, batch.num_rows, PART):
+                    part = batch.slice(low, PART)
+                    shelf = Shelf(part.column(0).to_numpy(), np.zeros(part.num_rows, dtype=np.int64),
+                                  _matrix(part.column(1)), k)
+                    new = shelf.best(ids, points)
+                    best = first_of(*(np.concatenate(x) for x in zip(best, new)), k)
+            if len(best[0]):
+                yield _batch(ids[best[0]], best[1], best[2])
 
         return _best(self.vectors.select("id", "vector").mapInArrow(run, FOUND), k)
 
     def calibrate(self, queries: DataFrame, k: int, recall: float = RECALL, probes: int = PROBES) -> int:
         """Leaves to visit for ``recall`` over ``probes`` of the queries, against the exact result."""
         few = cut(queries.orderBy(F.xxhash64("id"), "id").limit(probes))
-        truth = cut(self.exact(few, k).select("query_id", "vec_id"))
-        total, visits = truth.count(), min(8, self.leaves)
-        while visits < self.leaves and total:
-            hits = self.search(few, k, visits).join(truth, ["query_id", "vec_id"]).count()
-            if hits >= recall * total:
-                break
-            visits = min(2 * visits, self.leaves)
+        truth = self.exact(few, k).select("query_id", F.col("vec_id").alias("id"))
+        leaves = self.filed.select("id", F.element_at("leaves", 1).alias("leaf"))
+        places = leaves.join(F.broadcast(truth), "id").groupBy("query_id").agg(  # k rows a probe at most
+            F.collect_list("leaf").alias("leaves"))
+        at = {r["query_id"]: r["leaves"] for r in places.collect()}
+        grown, ranks = self.tree.value, []
+        for row in few.collect():
+            walk = grown.best_first(np.array(row["vector"], dtype=np.float64), self.leaves - 1)
+            order = {leaf: n for n, leaf in enumerate(walk)}
+            ranks.extend(order.get(leaf, self.leaves - 1) for leaf in at.get(row["id"], []))
+        met = np.cumsum(np.bincount(ranks, minlength=1))
+        visits = min(8, self.leaves)
+        while ranks and visits < self.leaves and met[min(visits, len(met)) - 1] < recall * len(ranks):
+            visits += 1
         return visits
 
 
@@ -314,9 +421,11 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, reca
     part; nor do vectors whose length is not the commonest one. Rows that repeat id and vector are
     one candidate. Fewer than ``k`` candidates are all returned; an empty table gives no rows.
     """
+    kinds = {df.schema["embedding"].dataType.simpleString() for df in (vectors, queries)}
+    kind = kinds.pop() if kinds == {"array<float>"} else "array<double>"  # floats are widened where they are multiplied
+
     def clean(df):
-        vector = F.col("embedding").cast("array<double>")
-        return df.select(F.col("vec_id").cast("long").alias("id"), vector.alias("vector")).filter(
+        return df.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(kind).alias("vector")).filter(
             F.col("id").isNotNull() & usable(F.col("vector")))
 
     all_rows = clean(vectors)
@@ -326,5 +435,5 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, reca
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     same = F.size("vector") == width["w"]
     asked = cut(clean(queries).filter(same).distinct())
-    index = Index(cut(all_rows.filter(same).distinct()), **options)
+    index = Index(all_rows.filter(same), width["w"], **options)
     return index.search(asked, k, index.calibrate(asked, k, recall))

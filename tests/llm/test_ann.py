@@ -106,3 +106,35 @@ def test_walk_goes_on_until_the_leaves_hold_enough():
     assert len(tree.best_first(np.ones(4), 8, 21)) == 21
     assert len(tree.best_first(np.ones(4), 8, 5)) == 8
     assert len(tree.best_first(np.ones(4), 8, 10 ** 6)) == tree.leaves
+
+
+def test_leaves_share_shelves_and_large_leaves_take_several():
+    tree = ann.Tree(np.zeros((1, 2)), [range(0)], np.array([0]), 1.0)
+    tree.place(np.array([30, 40, 50, 250, 0, 10, 100]), 100)
+    assert tree.shelf.tolist() == [0, 0, 1, 2, 4, 5, 6] and tree.shelves.tolist() == [1, 1, 1, 3, 1, 1, 1]
+
+
+def test_shelf_leaves_out_only_copies_that_cannot_be_found():
+    rng = np.random.default_rng(4)
+    vectors = np.repeat(rng.normal(size=(6, 5)), 40, axis=0)
+    ids = rng.permutation(240)
+    leaves = np.sort(rng.integers(0, 3, 240))
+    shelf = ann.Shelf(np.append(ids, ids[:9]), np.append(leaves, leaves[:9]), np.vstack([vectors, vectors[:9]]), 7)
+    assert len(shelf.ids) < 240
+    asked = ids[::11]
+    at, near, scores = shelf.best(asked, vectors[::11], [np.array([0, 2]), np.array([1])] * (len(asked) // 2))
+    for q, query in enumerate(asked):
+        seen = np.isin(leaves, [0, 2] if q % 2 == 0 else [1])
+        rows = {int(i): v for i, v, s in zip(ids, vectors, seen) if s or i == query}
+        want = exact({**rows, query: vectors[::11][q]}, query, 7)
+        assert list(zip(near[at == q].tolist(), scores[at == q].tolist())) == want
+
+
+def test_many_queries_of_a_shelf_are_answered_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 16)
+    monkeypatch.setattr(ann, "VISIT_ROWS", 8)
+    rng = np.random.default_rng(8)
+    rows = [(i, p.tolist()) for i, p in enumerate(rng.normal(size=(300, 6)).astype(np.float32))]
+    table = frame(spark, rows)
+    got = ann.nearest_neighbours(table, table, k=4, recall=1.0, branch=3, leaf=8, part=50).collect()
+    assert len(check(got, {i: np.array(v, dtype=np.float32) for i, v in rows}, k=4, least=0.97)) == 300
