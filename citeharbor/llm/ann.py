@@ -31,6 +31,7 @@ SAMPLE = 20_000  # vectors that the tree is fitted on, at most
 BRANCH, LEAF = 16, 64  # children of a node; sampled vectors of a leaf
 PROBES = 128  # queries that calibrate the number of visits
 RECALL = 0.97  # over the probes; leaves room above the 0.9 asked of the whole
+WALKS = 4096  # queries that one task walks the tree for, about
 VISIT_ROWS = 4096  # rows of queries and shelves made at once
 PART = 4096  # vectors of a shelf, about
 BLOCK_QUERIES = 1 << 16  # queries of a shelf that one task group answers, about
@@ -357,7 +358,9 @@ class Index:
     def search(self, queries: DataFrame, k: int, visits: int) -> DataFrame:
         """``query_id, rank, vec_id, score``: the ``k`` best vectors in the leaves visited."""
         own = queries.join(self.repeats, queries["id"] == self.repeats["__id"], "left")
-        asked = cut(own.select("id", "vector", F.coalesce("__own", F.lit(0)).alias("own")).mapInArrow(
+        tasks = max(self.vectors.sparkSession.sparkContext.defaultParallelism, -(-queries.count() // WALKS))
+        own = own.select("id", "vector", F.coalesce("__own", F.lit(0)).alias("own")).repartition(tasks)
+        asked = cut(own.mapInArrow(
             _visits(self.tree, k, visits), f"id long, vector {self.kind}, shelf int, leaves array<int>"))
         blocks = asked.groupBy(F.col("shelf").alias("__shelf")).agg(
             F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("blocks"))
