@@ -2,9 +2,10 @@
 
 Fingerprints of 64 bits link at ``max_bits`` or fewer differing bits. Bits that differ spoil at
 most ``max_bits`` of the eight bytes, so linked fingerprints agree on at least ``8 - max_bits``
-byte positions. The index therefore holds, for every choice of that many positions, the list of
-fingerprints with the same bytes there. Within a list the shared positional bytes of each pair are
-counted, pairs below the guaranteed number are dropped, the rest verified bit by bit.
+byte positions. The index holds, for every choice of one position less, the list of fingerprints
+with the same bytes there. Within a list the shared positional bytes of each pair are counted: pairs
+that share no byte beyond those of the list fall below the guaranteed number and are dropped, the
+rest verified bit by bit.
 """
 
 from __future__ import annotations
@@ -71,13 +72,19 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
 
 def _masks(max_bits: int) -> list[int]:
+    guaranteed = 8 - max_bits
     masks = []
-    for positions in combinations(range(8), 8 - max_bits):
+    for positions in combinations(range(8), max(guaranteed - 1, min(guaranteed, 1))):
         mask = sum(0xFF << 8 * p for p in positions)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     return masks
 
 
+def tally(differing: np.ndarray) -> np.ndarray:
+    """Byte positions that each pair shares, given the exclusive or of its fingerprints."""
+    return (np.ascontiguousarray(differing).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+
+
 def _forest(values: np.ndarray, max_bits: int) -> tuple[list, list]:
     """Links that join what is linked within one list: each member found, to where it was found."""
     left, right = [], []
@@ -86,8 +93,7 @@ def _forest(values: np.ndarray, max_bits: int) -> tuple[list, list]:
         root, frontier, rest = rest[0], [rest[0]], rest[1:]
         while frontier and len(rest):
             differing = rest ^ frontier.pop()
-            shared = (differing.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            near = shared >= 8 - max_bits
+            near = tally(differing) >= 8 - max_bits
             near[near] = np.bitwise_count(differing[near]) <= max_bits
             found = rest[near]
             rest = rest[~near]
@@ -107,10 +113,9 @@ def _links(max_bits: int):
             values = table["fp"].to_numpy().astype(np.int64).view(np.uint64)
             sizes = np.diff(cuts)
             first = cuts[:-1][sizes == 2]
-            differing = np.ascontiguousarray(values[first] ^ values[first + 1])
-            shared = (differing.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            near = (shared >= 8 - max_bits) & (np.bitwise_count(differing) <= max_bits)
-            pairs = first[near]
+            differing = values[first] ^ values[first + 1]
+            likely = tally(differing) >= 8 - max_bits
+            pairs = first[likely][np.bitwise_count(differing[likely]) <= max_bits]
             left, right = [values[pairs]], [values[pairs + 1]]
             for at in np.flatnonzero(sizes > 2):
                 a, b = _forest(values[cuts[at]:cuts[at + 1]], max_bits)

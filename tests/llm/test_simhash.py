@@ -93,3 +93,25 @@ def test_keep_one(docs):
     kept = simhash.keep_one(docs([(3, "a b c d e"), (1, "a b c d e"), (2, "other words"), (None, "a b c d e")]))
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 2, None]
     assert "fp" in kept.columns
+
+
+def test_tally_rejects_pairs_of_a_list_before_bits_are_compared(spark, monkeypatch):
+    """Pairs that agree on the three positions of a list and on no other byte never reach the bit count."""
+    base = 0x0123456789ABCDEF
+    five = base ^ 0x0101010101  # five bytes differ, by one bit each
+    four = base ^ 0x8080808000000000
+    assert simhash.tally(simhash.np.array([base ^ five, base ^ four], dtype="uint64")).tolist() == [3, 4]
+    assert len(simhash._masks(4)) == 56 and len(simhash._masks(7)) == 8
+    verified = []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(simhash_np, name)
+
+        def bitwise_count(self, values):
+            verified.extend(values.tolist())
+            return simhash_np.bitwise_count(values)
+    simhash_np = simhash.np
+    monkeypatch.setattr(simhash, "np", Counting())
+    left, right = simhash._forest(simhash_np.array([base, five, four], dtype=simhash_np.uint64), 4)
+    assert list(zip(left, right)) == [(base, four)] and base ^ five not in verified
