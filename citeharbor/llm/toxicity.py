@@ -1,7 +1,7 @@
 """Toxicity: linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are byte n-grams (3 to 5 bytes, A-Z lowered) that a text holds at all; a text's length
-does not thin them out. Each is scaled by the log ratio of its smoothed frequencies in toxic and
+Features are n-grams of characters (3 to 5 code points, A-Z lowered; known by a 64-bit hash) that a text
+holds at all; a text's length does not thin them out. Each is scaled by the log ratio of its smoothed frequencies in toxic and
 clean texts, and a logistic regression is fitted on the scaled features. The classifier is fitted
 on a bounded sample of labelled rows (``per_class`` of each class, by hash order of their ids);
 n-grams are counted in Spark. Scoring is one pass over the texts, without a shuffle.
@@ -30,15 +30,28 @@ LOWER[65:91] += 32
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(data: np.ndarray, order: int) -> np.ndarray:
-    """The ``order`` bytes from each place, packed into one number; the order is its top byte."""
-    n = len(data) - order + 1
-    if n < 1:
-        return np.zeros(0, dtype=np.uint64)
-    packed = np.full(n, order, dtype=np.uint64)
-    for k in range(order):
-        packed = (packed << np.uint64(8)) | data[k:k + n]
-    return packed
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A mixed number for each code point of UTF-8 ``data``, and ``offsets`` counted in code points."""
+    points = np.frombuffer(LOWER[data].tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+    before = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=before[1:])
+    return W.mix(points + np.uint64(1)), before[offsets]
+
+
+def grams(marks: np.ndarray) -> dict[int, np.ndarray]:
+    """By order, the hash of that many code points from each place; each order continues the one before."""
+    found, hashes = {}, marks
+    for order in range(2, ORDERS[-1] + 1):
+        hashes = hashes[:len(marks) - order + 1] * W.BASE + marks[order - 1:] if len(marks) >= order else marks[:0]
+        if order in ORDERS:
+            found[order] = hashes
+    return found
+
+
+def key(gram: str) -> int:
+    """The hash that stands for an n-gram."""
+    data = np.frombuffer(gram.encode(), dtype=np.uint8)
+    return int(grams(characters(data, np.array([0, len(data)]))[0])[len(gram)][0])
 
 
 def _slot(packed: np.ndarray) -> np.ndarray:
@@ -62,9 +75,8 @@ class Model:
             self._marked = np.zeros(1 << TABLE_BITS, dtype=bool)
             self._marked[_slot(self.keys)] = True
         hits = []
-        data = LOWER[data]
-        for order in ORDERS:
-            packed = grams(data, order)
+        marks, offsets = characters(data, offsets)
+        for order, packed in grams(marks).items():
             at = np.flatnonzero(self._marked[_slot(packed)])
             row = np.searchsorted(offsets, at, side="right") - 1
             whole = at + order <= offsets[row + 1]  # not over the end of a text
@@ -89,12 +101,11 @@ def _text_grams(batches):
     for batch in batches:
         toxic = batch.column(0).to_numpy(zero_copy_only=False)
         for first, rows, data, offsets in W.spans(batch.column(1)):
-            data = LOWER[data]
+            marks, places = characters(data, offsets)
             parts = {0: [], 1: []}
             for row in range(rows):
-                piece = data[offsets[row]:offsets[row + 1]]
-                parts[int(toxic[first + row])].append(
-                    np.unique(np.concatenate([grams(piece, n) for n in ORDERS])))
+                piece = marks[places[row]:places[row + 1]]
+                parts[int(toxic[first + row])].append(np.unique(np.concatenate(list(grams(piece).values()))))
             for label, found in parts.items():
                 if found:
                     keys, n = np.unique(np.concatenate(found), return_counts=True)

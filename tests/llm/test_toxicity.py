@@ -51,18 +51,37 @@ def test_edge_cases(docs, spark):
 
 
 def test_scores_equal_a_plain_sum_over_present_grams():
-    grams = [b"abc", b"bcd", "é1".encode(), b"abcd", b"zzzzz"]
-    keys = np.array([int.from_bytes(bytes([len(g)]) + g, "big") for g in grams], dtype=np.uint64)
+    grams = ["abc", "bcd", "éé1", "abcd", "zzzzz", "日本語", "本語x"]
+    keys = np.array([toxicity.key(g) for g in grams], dtype=np.uint64)
     order = np.argsort(keys)
-    weights = np.array([1.0, -2.0, 0.5, 3.0, 7.0])
+    weights = np.array([1.0, -2.0, 0.5, 3.0, 7.0, -1.5, 2.5])
     model = toxicity.Model(keys[order], weights[order], -0.25)
-    texts = ["abc", "ABCD abcd", "ab", "", None, "xé1é1", "c", "zzzz", "zzz zz", "d" * 5 + "zzzzzz"]
+    texts = ["abc", "ABCD abcd", "ab", "", None, "xéé1éé1", "c", "zzzz", "zzz zz", "d" * 5 + "zzzzzz", "é", "é1",
+             "日本", "語x", "x日本語X", "𝄞日本語𝄞abc"]
     for text, got in zip(texts, model.scores(pa.array(texts))):
-        raw = (text or "").encode().translate(bytes.maketrans(b"ABCD", b"abcd"))
+        raw = (text or "").translate(str.maketrans("ABCDX", "abcdx"))
         z = -0.25 + sum(w for g, w in zip(grams, weights) if g in raw)
         assert math.isclose(got, 1 / (1 + math.exp(-z)), rel_tol=1e-9)
 
 
+def test_counts_and_ratios_equal_a_plain_version():
+    rows = [(1, "Abcab ééé"), (0, "abcab"), (1, "日本語日本語"), (0, ""), (0, "ab"), (1, "bcab")]
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows]), pa.array([x for _, x in rows])], ["t", "x"])
+    got = {}
+    for part in toxicity._text_grams([batch]):
+        for gram, toxic, clean in zip(*(c.to_pylist() for c in part.columns)):
+            old = got.get(gram, (0, 0))
+            got[gram] = (old[0] + toxic, old[1] + clean)
+    want = {}
+    for toxic, text in rows:
+        low = text.replace("A", "a")
+        for gram in {low[i:i + n] for n in (3, 4, 5) for i in range(len(low) - n + 1)}:
+            at = np.array([toxicity.key(gram)], dtype=np.uint64).view(np.int64)[0]
+            old = want.get(int(at), (0, 0))
+            want[int(at)] = (old[0] + toxic, old[1] + 1 - toxic)
+    assert got == want
+
+
 def test_a_single_bad_word_is_found_in_a_long_text(docs, spark):
     rows = [(i, f"calm words number {i} " + ("you idiot " if i % 2 else "")) for i in range(300)]
     labels = labelled(spark, [(i, 1, i % 2, None) for i in range(300)])
