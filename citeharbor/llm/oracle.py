@@ -22,7 +22,7 @@ def _measure(name: str, part: str) -> str:
 
 
 PARTS = {"word_length": "word_chars", "symbols": "n_symbols", "dup_lines": "20 * n_dup_lines"}
-SLACK = " ".join(f"WHEN '{m}' THEN {s}" for m, s in quality.MEASURES.items())
+SLACK = " ".join(f"WHEN '{m}' THEN {'q3 // 2' if m in quality.TWO_SIDED else s}" for m, s in quality.MEASURES.items())
 INSIDE = " AND ".join(
     f"(1000 * {p}) // greatest(n_words, 1) <= high_{m}"
     + (f" AND (1000 * {p}) // greatest(n_words, 1) >= low_{m}" if m in quality.TWO_SIDED else "")
@@ -58,8 +58,9 @@ ORACLE = {
                     f"THEN l.{q} ELSE a.{q} END AS {q}" for q in ("q1", "q3"))
         + " FROM by_source s JOIN by_lang l ON l.lang IS NOT DISTINCT FROM s.lang AND l.measure = s.measure "
         "JOIN by_all a ON a.measure = s.measure), "
-        "fences AS (SELECT lang, source, measure, q1 - reach AS low, q3 + reach AS high FROM (SELECT *, "
-        f"greatest({quality.SPREADS} * (q3 - q1), CASE measure {SLACK} END) AS reach FROM chosen)), "
+        "fences AS (SELECT lang, source, measure, q1 - least(greatest(spread, q1 // 4), q1 // 2) AS low, "
+        f"q3 + greatest(spread, CASE measure {SLACK} END) AS high FROM (SELECT *, "
+        f"{quality.SPREADS} * (q3 - q1) AS spread FROM chosen)), "
         f"limits AS (SELECT lang, source, {SIDES} FROM fences GROUP BY lang, source) "
         "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, "
         f"NOT base_failed AND coalesce({INSIDE}, true) AS kept FROM base LEFT JOIN limits "

@@ -22,8 +22,9 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MIN_ROWS = 200  # rows that passed the fixed rules, for a source to have cutoffs of its own
 SPREADS = 6  # quartile distances beyond the quartile
-# Measures in thousandths, and how far a cutoff stays from the quartile at least.
-MEASURES = {"word_length": 4000, "symbols": 250, "dup_lines": 400}
+# Measures in thousandths, and how far an upper cutoff stays from the quartile at least: these many thousandths
+# for measures that are 0 in most texts, a share of the quartile itself for the length of words.
+MEASURES = {"word_length": 0, "symbols": 250, "dup_lines": 400}
 TWO_SIDED = ("word_length",)
 BITS = 10
 
@@ -78,7 +79,7 @@ def _thousandths(part: str, whole: str) -> Column:
 
 
 def with_measures(df: DataFrame) -> DataFrame:
-    """Ratios per word in thousandths; repeated lines per 1,000 code points of words."""
+    """Ratios per word in thousandths; repeated lines per 20 words."""
     return df.withColumns({
         "word_length": _thousandths("word_chars", "n_words"),
         "symbols": _thousandths("n_symbols", "n_words"),
@@ -140,9 +141,12 @@ def cutoffs(sketch: DataFrame) -> DataFrame:
     rows = joined.select(F.col("lang_s").alias("lang"), F.col("source_s").alias("source"),
                          F.col("measure_s").alias("measure"), chosen("q1").alias("q1"), chosen("q3").alias("q3"))
     slack = F.element_at(F.create_map(*[F.lit(x) for kv in MEASURES.items() for x in kv]), F.col("measure"))
-    reach = F.greatest(SPREADS * (F.col("q3") - F.col("q1")), slack.cast("long"))
-    fences = rows.select("lang", "source", "measure", (F.col("q1") - reach).alias("low"),
-                         (F.col("q3") + reach).alias("high"))
+    own = F.when(F.col("measure").isin(*TWO_SIDED), F.expr("q3 DIV 2")).otherwise(slack.cast("long"))
+    spread = SPREADS * (F.col("q3") - F.col("q1"))
+    # Downwards no cutoff goes further than half of the quartile, or nothing could fall below it.
+    below = F.least(F.greatest(spread, F.expr("q1 DIV 4")), F.expr("q1 DIV 2"))
+    fences = rows.select("lang", "source", "measure", (F.col("q1") - below).alias("low"),
+                         (F.col("q3") + F.greatest(spread, own)).alias("high"))
 
     def of(measure, side):
         return F.max(F.when(F.col("measure") == measure, F.col(side))).alias(f"{side}_{measure}")

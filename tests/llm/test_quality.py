@@ -56,6 +56,20 @@ def test_cutoffs_adapt_to_the_source(spark):
     assert [kept[i] for i in range(5000, 5005)] == [False, False, False, False, True]
 
 
+def test_lengths_of_words_are_bounded_on_both_sides(spark):
+    def text(length, i):
+        return " ".join(f"{k:02d}x{i}".ljust(length, "a")[:length] for k in range(40))
+    letters = " ".join("abcdefghijklmnopqrstuvwxyzabcdefghijklmn")
+    rows = [(i, text(5 + i % 2, i), "en", "plain") for i in range(300)]
+    rows += [(5000, letters, "en", "plain"), (5001, text(40, 9), "en", "plain"), (5002, text(8, 9), "en", "plain"),
+             (5003, letters, None, None)]
+    rows += [(6000 + i, text(30, i), "de", "code") for i in range(300)] + [(7000, text(9, 9), "de", "code")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality.quality(frame).collect()}
+    assert [kept[i] for i in (5000, 5001, 5002, 5003, 7000)] == [False, False, True, False, False]
+    assert all(kept[i] for i in [*range(300), *range(6000, 6300)])
+
+
 def test_cells_keep_ten_leading_bits(spark):
     frame = spark.createDataFrame([(0,), (5,), (1023,), (1024,), (1025,), (4099,), (10**12 + 7,)], "v long")
     cells = [r[0] for r in frame.select(quality.cell(frame["v"])).collect()]
