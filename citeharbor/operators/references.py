@@ -12,7 +12,9 @@ from citeharbor.functions.nested import name_nulls, parse_references
 from citeharbor.functions.patterns import ARCHIVE, PatternSet
 from citeharbor.operators.classify import with_category
 from citeharbor.operators.detect import with_detection
+from citeharbor.sources.stages import cut
 
+FILTER_BITS = 24  # of the bitmap of mapped work ids: 2 MB, however many there are
 REFERENCE_FIELDS = ("ref_has_icpsr", "ref_icpsr_work_ids", "ref_icpsr_dois",
                     "ref_icpsr_study_numbers")
 
@@ -35,15 +37,46 @@ def mapped_works(work_map: DataFrame, order: str = "seq") -> DataFrame:
                 F.when(~number.isin("", "0"), number).alias("study")))
 
 
-def citation_edges(articles: DataFrame, key: str = "seq") -> DataFrame:
+def id_bitmap(ids: DataFrame, name: str = "work_id", bits: int = FILTER_BITS) -> DataFrame:
+    """One row: ``bitmap``, 2^bits bits in longs, in which the hash of every id has its bit set.
+
+    Of fixed size. Ids that are not there may pass as well, the more of them the fuller it is, so it
+    only spares rows that a join drops later.
+    """
+    spark = ids.sparkSession
+    slot = F.pmod(F.xxhash64(F.col(name).cast("string")), F.lit(1 << bits))
+    words = ids.filter(F.col(name).isNotNull()).select(slot.alias("slot")).groupBy(
+        F.shiftright("slot", 6).alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("bits"))
+    every = spark.range(1 << (bits - 6)).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("bits"))
+    dense = words.unionByName(every).groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    ordered = F.array_sort(F.collect_list(F.struct("at", "bits")))
+    return dense.agg(F.transform(ordered, lambda x: x["bits"]).alias("bitmap"))
+
+
+def citation_edges(articles: DataFrame, key: str = "seq", among: DataFrame | None = None,
+                   bits: int = FILTER_BITS) -> DataFrame:
     """``key, pos, work_id``: one row per reference, in list order.
 
-    ``referenced_works`` is an array of ids or a text cell that encodes one.
+    ``referenced_works`` is an array of ids or a text cell that encodes one. With ``among``, a table
+    with ``work_id``, references that are certainly not in it are dropped inside their list, before
+    a row is made of them; a few others remain, so join the result as before.
     """
     kind = articles.schema["referenced_works"].dataType
     parse = name_nulls if isinstance(kind, T.ArrayType) else parse_references
-    return articles.select(
-        key, F.posexplode(parse("referenced_works")).alias("pos", "work_id"))
+    listed = parse("referenced_works")
+    if among is None:
+        return articles.select(key, F.posexplode(listed).alias("pos", "work_id"))
+    placed = F.transform(listed, lambda x, i: F.struct(i.alias("pos"), x.alias("work_id")))
+
+    def may(x):
+        slot = F.pmod(F.xxhash64(x["work_id"].cast("string")), F.lit(1 << bits))
+        long = F.get(F.col("bitmap"), F.shiftright(slot, 6).cast("int"))
+        return F.getbit(long, F.pmod(slot, F.lit(64)).cast("int")) == 1
+
+    wanted = cut(id_bitmap(among.select("work_id"), bits=bits)).scalar()
+    return articles.select(key, placed.alias("placed"), wanted.alias("bitmap")).select(
+        key, F.filter("placed", may).alias("placed")).select(key, F.inline("placed"))
 
 
 def matched_edges(edges: DataFrame, works: DataFrame) -> DataFrame:
@@ -66,13 +99,17 @@ def matched_pairs(edges: DataFrame, works: DataFrame, key: str) -> DataFrame:
 
 
 def reference_hits(articles: DataFrame, work_map: DataFrame, key: str = "seq",
-                   map_order: str = "seq") -> DataFrame:
+                   map_order: str = "seq", prefilter: bool = False) -> DataFrame:
     """Reference evidence of the articles that have any, one row each.
 
+    ``prefilter`` looks references up in a bitmap of the map's ids first, which pays where the map is
+    too large to be broadcast and most references are to other works; the result is the same.
     Work ids keep list order and repeats; DOIs and numbers are sorted sets. A
     group is never larger than the reference cell it came from.
     """
-    hits = matched_edges(citation_edges(articles, key), mapped_works(work_map, map_order))
+    works = mapped_works(work_map, map_order)
+    among = work_map.select(F.col("openalex_work_id").alias("work_id")) if prefilter else None
+    hits = matched_edges(citation_edges(articles, key, among), works)
     ordered = F.sort_array(F.collect_list(F.struct("pos", "work_id")))
     return hits.groupBy(key).agg(
         F.lit(True).alias("ref_has_icpsr"),
@@ -84,7 +121,8 @@ def reference_hits(articles: DataFrame, work_map: DataFrame, key: str = "seq",
 
 
 def with_references(articles: DataFrame, work_map: DataFrame | None, key: str = "seq",
-                    map_order: str = "seq", citations: DataFrame | None = None) -> DataFrame:
+                    map_order: str = "seq", citations: DataFrame | None = None,
+                    prefilter: bool = False) -> DataFrame:
     """Add the four reference columns; without references or a map nothing matches.
 
     ``citations`` is where the reference cells are read from. Pass the table as
@@ -96,7 +134,7 @@ def with_references(articles: DataFrame, work_map: DataFrame | None, key: str =
         return articles.withColumns({
             "ref_has_icpsr": F.lit(False), "ref_icpsr_work_ids": F.lit(""),
             "ref_icpsr_dois": F.lit(""), "ref_icpsr_study_numbers": F.lit("")})
-    hits = reference_hits(citations, work_map, key, map_order)
+    hits = reference_hits(citations, work_map, key, map_order, prefilter)
     return articles.join(hits, key, "left").withColumns({
         "ref_has_icpsr": F.coalesce("ref_has_icpsr", F.lit(False)),
         **{c: F.coalesce(c, F.lit("")) for c in REFERENCE_FIELDS[1:]}})

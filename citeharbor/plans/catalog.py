@@ -291,6 +291,13 @@ def q_ref_detect(spark, sf_dir):
         "referenced_works")
 
 
+@query
+def q_ref_detect_prefiltered(spark, sf_dir):
+    articles = fixtures.articles(spark, sf_dir).select("seq", "referenced_works")
+    return references.with_references(articles, fixtures.work_map(spark, sf_dir), prefilter=True).drop(
+        "referenced_works")
+
+
 @query
 def q_ref_detect_graph(spark, sf_dir):
     edges = read_table(spark, sf_dir, "lineitem").select(
@@ -403,6 +410,18 @@ def q_cluster_datasets(spark, sf_dir):
     return similarity.cluster_datasets(datasets).select("icpsr_study_number", "cluster")
 
 
+@query
+def q_cluster_complete(spark, sf_dir):
+    datasets = summary.dataset_summary(fixtures.detected_stage(spark, sf_dir))
+    return similarity.cluster_datasets(datasets, linkage="complete").select("icpsr_study_number", "cluster")
+
+
+@query
+def q_similarity_matrix(spark, sf_dir):
+    datasets = summary.dataset_summary(fixtures.detected_stage(spark, sf_dir))
+    return similarity.clusters_and_matrix(datasets)[1]
+
+
 # --- report views ---------------------------------------------------------------------
 
 def _view(spark, sf_dir):

@@ -16,7 +16,7 @@ from citeharbor.operators.linkmap import build_work_map
 from citeharbor.operators.normalize import dedupe_by_doi, flatten_works
 from citeharbor.operators.references import with_evidence
 from citeharbor.operators.rollup import rollup
-from citeharbor.operators.similarity import cluster_datasets
+from citeharbor.operators.similarity import clusters_and_matrix
 from citeharbor.operators.stats import funnel_stats
 from citeharbor.operators.summary import dataset_summary
 from citeharbor.operators.views import prepare_articles, prepare_datasets
@@ -70,6 +70,10 @@ class Layout:
     def clusters(self) -> str:
         return self.path("clusters")
 
+    @property
+    def similarities(self) -> str:
+        return self.path("dataset_similarities")
+
     @property
     def rollup(self) -> str:
         return self.path("view_counts")
@@ -190,17 +194,25 @@ def import_detection(spark: SparkSession, layout: Layout, csv: str) -> DataFrame
 
 
 def summarize(spark: SparkSession, layout: Layout, with_csv: bool = False,
-              merge_numbers: bool = False) -> bool:
-    """Dataset summary and optional clusters from the stored detection table.
+              merge_numbers: bool = False, linkage: str = "single") -> bool:
+    """Dataset summary, optional clusters and their similarities from the stored detection table.
 
-    False when no dataset was found; then neither is written.
+    False when no dataset was found; then none is written.
     """
     table = spark.read.parquet(layout.detection)
     summary = dataset_summary(table, merge_numbers=merge_numbers).orderBy("icpsr_study_number")
     if not writers.write_if_any(summary, layout.datasets, with_csv):
         return False
     datasets = readers.read_datasets(spark, layout.datasets)
-    writers.write_optional(lambda: cluster_datasets(datasets), layout.clusters)
+    similarities = []
+
+    def clusters():
+        rows, matrix = clusters_and_matrix(datasets, linkage=linkage)
+        similarities.append(matrix)
+        return rows
+
+    if writers.write_optional(clusters, layout.clusters):
+        writers.write_optional(similarities.pop, layout.similarities)
     return True
 
 

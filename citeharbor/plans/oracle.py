@@ -364,6 +364,11 @@ ORACLE: dict[str, str] = {
         "coalesce(ids, '') AS ref_icpsr_work_ids, coalesce(dois, '') AS ref_icpsr_dois, "
         "coalesce(studies, '') AS ref_icpsr_study_numbers "
         "FROM articles a LEFT JOIN hits h ON h.seq = a.seq",
+    "q_ref_detect_prefiltered":
+        f"WITH {ARTICLES}, {REFERENCED} SELECT a.seq, h.seq IS NOT NULL AS ref_has_icpsr, "
+        "coalesce(ids, '') AS ref_icpsr_work_ids, coalesce(dois, '') AS ref_icpsr_dois, "
+        "coalesce(studies, '') AS ref_icpsr_study_numbers "
+        "FROM articles a LEFT JOIN hits h ON h.seq = a.seq",
     "q_ref_detect_graph":
         "SELECT l_orderkey AS work, p_partkey AS work_id, concat('10.5555/', p_brand) AS doi, "
         "CAST(p_partkey AS VARCHAR) AS study, count(*) AS n_refs FROM lineitem "
@@ -425,6 +430,10 @@ ORACLE: dict[str, str] = {
         "round(sum(a.w * b.w), 6) AS similarity FROM unit a JOIN unit b ON a.term = b.term "
         "AND a.group_study < b.group_study GROUP BY ALL) "
         "SELECT * FROM pairs WHERE similarity >= 0.5",
+    "q_similarity_matrix":
+        f"WITH {TERMS} SELECT a.group_study AS study_a, b.group_study AS study_b, "
+        "round(sum(a.w * b.w), 6) AS similarity FROM unit a JOIN unit b ON a.term = b.term GROUP BY ALL "
+        "HAVING a.group_study = b.group_study OR round(sum(a.w * b.w), 6) >= 0.5",
     "q_dataset_text_groups":
         f"WITH {SIMILAR} SELECT icpsr_study_number, group_study, n_datasets FROM named "
         "JOIN leaders ON leaders.text = named.text",

@@ -102,3 +102,29 @@ def test_build_map_needs_its_columns(spark):
     bare = spark.createDataFrame([("1",)], "icpsr_study_number string")
     with pytest.raises(ValueError, match="doi"):
         linkmap.build_work_map(bare, bare)
+
+
+def test_bitmap_spares_edges_and_changes_no_result(spark):
+    rows = [(i, [f"w{(i * 7 + k) % 5000}" for k in range(20)] + [None, "w1"]) for i in range(400)] + [(400, None), (401, [])]
+    articles = spark.createDataFrame(rows, "seq bigint, referenced_works array<string>")
+    work_map = spark.createDataFrame(
+        [(f"w{i}", str(i), f"10/{i}", i) for i in range(0, 300, 3)] + [(None, "9", "10/9", 900), ("w1", None, None, 901)],
+        "openalex_work_id string, icpsr_study_number string, icpsr_doi string, seq bigint")
+    plain = references.with_references(articles, work_map).drop("referenced_works")
+    spared = references.with_references(articles, work_map, prefilter=True).drop("referenced_works")
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, spared.collect()))
+    works = references.mapped_works(work_map)
+    every, few = references.citation_edges(articles), references.citation_edges(articles, among=works)
+    real = references.matched_edges(every, works)
+    assert real.count() <= few.count() <= real.count() + 5 < every.count() / 5
+    assert sorted(map(tuple, few.join(works, "work_id", "left_semi").select("seq", "pos").collect())) == sorted(
+        map(tuple, real.select("seq", "pos").collect()))
+    full = references.citation_edges(articles, among=works, bits=6)  # nearly all bits set: lets all pass
+    assert real.count() <= full.count() <= every.count()
+
+
+def test_bitmap_filter_comes_before_the_rows(spark):
+    articles = spark.createDataFrame([(1, ["w1"])], "seq bigint, referenced_works array<string>")
+    works = spark.createDataFrame([("w1",)], "work_id string")
+    plan = plan_text(references.citation_edges(articles, among=works))
+    assert plan.index("inline") < plan.index("getbit") and "Join" not in plan and "Python" not in plan
