@@ -2,12 +2,13 @@
 
 A classifier learned from a labelled table gives each document a posterior over domains: naive
 Bayes over a few discrete properties of the text. Rates (how often each document is used) are then
-fitted by least squares with conditioned gradient steps until the gradient vanishes, so that the
-expected tokens of each domain, rate times tokens times posterior summed over all documents, meet the
-targets. Documents with the same properties have the same posterior and the same rate; the steps
-therefore run over one row for each combination of properties, with the tokens of all its documents.
-Each property has a fixed number of values, so the classifier and the steps are small arrays, and
-rates are worked out in each row without a join.
+fitted by least squares, so that the expected tokens of each domain, rate times tokens times posterior
+summed over all documents, meet the targets: projected gradient steps move the rates themselves and
+set negative ones to zero, until the projected gradient vanishes. Documents with the same properties
+have the same posterior and the same rate; the steps therefore run over one row for each combination
+of properties, with the tokens of all its documents. Each property has a fixed number of values, so
+the classifier and the steps are small arrays. A rate follows from the list of steps and the posterior
+of its row, without a join.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from pyspark.sql import functions as F
 
 from citeharbor.sources.stages import cut
 
-STEPS = 200  # more is an error; ten or so are usual
-SETTLED = 1e-6  # weighted gradient, as a share of the tokens, at which the fit ends
-NEAR = 1e-9  # weight of the distance of rates from 1 against the residual
+STEPS = 500  # more is an error; ten to fifty are usual
+SETTLED = 1e-6  # length of the projected gradient at which the fit ends
+DAMPING = (1e-9, 1e-6, 1e-4, 1e-3, 1e-2, 1e-1, 1.0)  # share of plain gradient in the directions of a step
+LENGTHS = tuple(2.0 ** -k for k in range(-2, 10))  # step lengths tried in each direction
 MAX_DOMAINS = 256
 DRAW = 1 << 20
 #: Properties of a text and how many values each has.
@@ -91,14 +93,34 @@ def softmax(logs: str) -> Column:
     return F.transform(raw, lambda x: x / whole)
 
 
-def _rate(pull: list[float], floor: float) -> Column:
-    """Rate for the posterior of a row: 1 moved by ``pull`` on its domains and cut at ``floor``."""
-    return F.greatest(_pulled(pull), F.lit(float(floor)))
+def _dot(a, b) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _pulled(pull: list[float]) -> Column:
-    slopes = F.array(*[F.lit(float(x)) for x in pull])
-    return F.lit(1.0) + F.aggregate(F.zip_with("posterior", slopes, lambda p, g: p * g), F.lit(0.0), lambda a, x: a + x)
+def _moved(rate: Column, slope: Column, move: Column, floor: float) -> Column:
+    """A rate after a step: it stays at ``floor`` where the gradient presses it there."""
+    low = F.lit(float(floor))
+    return F.when((rate <= low) & (slope > 0), low).otherwise(F.greatest(low, rate + move))
+
+
+class Rates:
+    """Rates as the projected steps taken so far, all from rate 1 (or the floor, if that is higher).
+
+    A step is a pair of vectors over the domains: with the posterior of a row they give the gradient
+    of its rate and how far the rate moves.
+    """
+
+    def __init__(self, floor: float, steps=()):
+        self.floor, self.steps = float(floor), list(steps)
+
+    def column(self) -> Column:
+        start = F.lit(max(1.0, self.floor))
+        if not self.steps:
+            return start
+        taken = F.array(*[F.struct(F.lit(g.tolist()).alias("slope"), F.lit(v.tolist()).alias("move"))
+                          for g, v in self.steps])
+        return F.aggregate(taken, start, lambda r, x: _moved(
+            r, _dot(F.col("posterior"), x["slope"]), _dot(F.col("posterior"), x["move"]), self.floor))
 
 
 def _totals(soft: DataFrame, rate: Column, k: int) -> list[float]:
@@ -107,69 +129,89 @@ def _totals(soft: DataFrame, rate: Column, k: int) -> list[float]:
     return [float(x or 0.0) for x in row]
 
 
-def _slopes(soft: DataFrame, pull: np.ndarray, floor: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """At ``pull``: the integral of all rates over it, the totals of the domains, and how they change."""
-    k, low = len(pull), float(floor)
-    u = F.col("u")
-    over = (u >= low).cast("double")
-    area = F.when(u > low, u * u / 2).otherwise(u * low - low * low / 2)
-    row = soft.select(F.col("tokens").cast("double").alias("tokens"), "posterior", _pulled(list(pull)).alias("u"))
-    parts = F.concat(
-        F.array(F.col("tokens") * area),
-        F.transform("posterior", lambda p: p * F.col("tokens") * F.greatest(u, F.lit(low))),
-        F.flatten(F.transform("posterior", lambda p: F.transform(
-            "posterior", lambda q: p * q * F.col("tokens") * over))))
+def _state(soft: DataFrame, rates: Rates, slope: np.ndarray) -> tuple[float, np.ndarray]:
+    """Squared length of the projected gradient over tokens, and the products of the posteriors of
+    the rows whose rate can move, summed over their tokens."""
+    k, low = len(slope), F.lit(rates.floor)
+    row = soft.select(F.col("tokens").cast("double").alias("n"), "posterior", rates.column().alias("r"),
+                      _dot(F.col("posterior"), F.lit(slope.tolist())).alias("g"))
+    far = F.col("r") - F.greatest(low, F.col("r") - F.col("g"))
+    free = F.when((F.col("r") <= low) & (F.col("g") > 0), F.lit(0.0)).otherwise(F.col("n"))
+    parts = F.concat(F.array(F.col("n") * far * far), F.flatten(F.transform("posterior", lambda a: F.transform(
+        "posterior", lambda b: a * b * free))))
     sums = row.select(F.posexplode(parts).alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(1 + k + k * k)
+    out = np.zeros(1 + k * k)
     for r in sums:
         out[r["at"]] = r["x"] or 0.0
-    return out[0], out[1:k + 1], out[k + 1:].reshape(k, k)
+    return float(out[0]), out[1:].reshape(k, k)
+
+
+def _tried(soft: DataFrame, rates: Rates, slope: np.ndarray, moves: list[np.ndarray]) -> np.ndarray:
+    """Totals of the domains after each of some steps, all in one pass."""
+    k = len(slope)
+    row = soft.select(F.col("tokens").cast("double").alias("n"), "posterior", rates.column().alias("r"),
+                      _dot(F.col("posterior"), F.lit(slope.tolist())).alias("g"))
+    each = row.select("n", "posterior", "r", "g", F.posexplode(F.array(*[F.lit(m.tolist()) for m in moves])).alias(
+        "at", "move"))
+    use = F.col("n") * _moved(F.col("r"), F.col("g"), _dot(F.col("posterior"), F.col("move")), rates.floor)
+    sums = each.select("at", use.alias("use"), "posterior").groupBy("at").agg(
+        *[F.sum(F.col("use") * F.col("posterior")[i]) for i in range(k)]).collect()
+    out = np.zeros((len(moves), k))
+    for r in sums:
+        out[r["at"]] = r[1:]
+    return out
 
 
 def fit_rates(soft: DataFrame, targets: list[float], floor: float = 0.0, steps: int = STEPS) -> Column:
     """Rate expression over ``soft`` (``posterior``, ``tokens``) whose domain totals meet ``targets``.
 
-    Least squares, each domain's residual weighed by its tokens at rate 1; among the rates that are
-    as near, those nearest to 1 (the term ``NEAR``). The minimum has the form of :func:`_rate` with
-    one number for each domain. These are found by conditioned gradient steps (Newton) on totals of
-    ``soft``, each halved until it goes down. Raises RuntimeError if they do not settle.
+    Least squares over rates of at least ``floor``, each domain's residual weighed by its tokens at
+    rate 1. Every step goes along the gradient, conditioned by the products of the posteriors of the
+    rows that can move, and is projected; rates that the gradient presses to the floor stay there.
+    Several dampings and lengths are tried in one pass and the lowest point is taken, so the squares
+    always fall. Raises RuntimeError if the projected gradient does not vanish.
     """
-    base = np.array(_totals(soft, F.lit(1.0), len(targets)))
-    pull = np.zeros(len(targets))
-    live = base > 1e-12 * max(base.sum(), 1.0)
+    k = len(targets)
+    whole = max(float(soft.agg(F.sum("tokens")).first()[0] or 0.0), 1.0)
+    base = np.array(_totals(soft, F.lit(1.0), k)) / whole
+    live = base > 1e-12
+    rates = Rates(floor)
     if not live.any():
-        return _rate(list(pull), floor)
-    want, root = np.array(targets, dtype=float)[live], np.sqrt(base[live])
-    settled = SETTLED * math.sqrt(base.sum())
-
-    def at(pull):
-        area, totals, change = _slopes(soft, pull, floor)
-        x = pull[live] * root
-        slope = (totals[live] - want) / root + NEAR * x
-        return (area - want @ pull[live] + NEAR * x @ x / 2, slope,
-                change[np.ix_(live, live)] / np.outer(root, root) + NEAR * np.eye(len(x)))
-
-    height, slope, change = at(pull)
+        return rates.column()
+    want, root = np.array(targets, dtype=float)[live] / whole, np.sqrt(base[live])
+
+    def spread(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(k)
+        out[live] = x / root
+        return out
+
+    apart = (np.array(_totals(soft, rates.column(), k))[live] / whole - want) / root
     for _ in range(steps):
-        if np.linalg.norm(slope) <= settled:
-            return _rate(list(pull), floor)
-        move, size = -np.linalg.solve(change, slope), 1.0
-        while True:
-            tried = pull.copy()
-            tried[live] += size * move / root
-            found = at(tried)
-            down = found[0] <= height + 1e-4 * size * float(slope @ move)
-            if down or np.linalg.norm(found[1]) <= np.linalg.norm(slope) / 2:
-                break
-            size /= 2
-            if size < 1e-9:
-                raise RuntimeError("the rates did not settle: no step goes down")
-        pull, (height, slope, change) = tried, found
-    if np.linalg.norm(slope) <= settled:
-        return _rate(list(pull), floor)
+        slope = spread(apart)
+        far, products = _state(soft, rates, slope)
+        if math.sqrt(far / whole) <= SETTLED:
+            return rates.column()
+        bend = products[np.ix_(live, live)] / whole / np.outer(root, root)
+        size = max(float(np.trace(bend)), 1e-300) / len(root)
+        ways = [-np.linalg.solve(bend + d * size * np.eye(len(root)), apart) for d in DAMPING]
+        moves = [spread(a * w) for w in ways for a in LENGTHS]
+        found = (_tried(soft, rates, slope, moves)[:, live] / whole - want) / root
+        squares = (found ** 2).sum(axis=1)
+        best = int(np.argmin(squares))
+        if not squares[best] < (apart ** 2).sum():
+            raise RuntimeError("the rates did not settle: no step goes down")
+        rates.steps.append((slope, moves[best]))
+        apart = found[best]
     raise RuntimeError(f"the rates did not settle in {steps} steps")
 
 
+def effective_share(rows: DataFrame) -> float:
+    """How evenly the tokens (``n_tokens``) are used (``rate``): 1 if all are used alike, 1/n if one of n is."""
+    row = rows.agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("rate")),
+                   F.sum(F.col("n_tokens") * F.col("rate") * F.col("rate"))).first()
+    return float(row[1] ** 2 / (row[0] * row[2])) if row[0] and row[2] else 0.0
+
+
 def _with_posterior(rows: DataFrame, model: Classifier) -> DataFrame:
     scored = rows.withColumn("scores", model.scores())
     return scored.withColumn("posterior", softmax("scores")).drop("scores")

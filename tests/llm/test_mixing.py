@@ -111,3 +111,23 @@ def test_a_fit_that_does_not_settle_is_an_error(spark):
     soft = spark.createDataFrame([([0.9, 0.1], 100.0), ([0.2, 0.8], 50.0)], "posterior array<double>, tokens double")
     with pytest.raises(RuntimeError, match="settle"):
         mixing.fit_rates(soft, [10.0, 140.0], steps=0)
+
+
+@pytest.mark.parametrize("floor,share", [(0.0, [0.8, 0.15, 0.05]), (1.0, [0.8, 0.15, 0.05]), (0.0, [0.1, 0.1, 0.8])])
+def test_no_rate_can_be_moved_to_come_nearer(spark, floor, share):
+    """Plain gradient of the squares at the fitted rates: zero where a rate is free, upwards at the floor."""
+    rng = np.random.default_rng(6)
+    p = rng.dirichlet([3.0, 2.0, 0.3], 500)
+    n = rng.integers(1, 400, 500).astype(float)
+    soft = spark.createDataFrame([(x.tolist(), t) for x, t in zip(p, n.tolist())], "posterior array<double>, tokens double")
+    target = n.sum() * np.array(share)
+    rows = soft.repartition(3).withColumn("rate", mixing.fit_rates(soft, target.tolist(), floor)).collect()
+    rate, q, m = (np.array([r[c] for r in rows]) for c in ("rate", "posterior", "tokens"))
+    slope = q @ (((rate * m) @ q - target) / (m @ q))
+    assert rate.min() >= floor and np.abs(slope[rate > floor]).max() < 1e-3 and slope[rate <= floor].min(initial=0) > -1e-3
+
+
+def test_effective_share(spark):
+    assert mixing.effective_share(spark.createDataFrame([(10, 2.0)] * 4, "n_tokens long, rate double")) == pytest.approx(1)
+    one = spark.createDataFrame([(10, 4.0)] + [(10, 0.0)] * 3, "n_tokens long, rate double")
+    assert mixing.effective_share(one) == pytest.approx(0.25)
