@@ -1,7 +1,9 @@
 """Mixing to target weights with soft domains, in DataFrame operations only.
 
 A classifier learned from a labelled table gives each document a posterior over domains: naive
-Bayes over a few discrete properties of the text. Rates (how often each document is used) are then
+Bayes over a few discrete properties of the text, among them how much its words speak for each domain
+(log ratios of hashed words, learned from the same table in two halves, so that no labelled document is
+judged by its own words). Rates (how often each document is used) are then
 fitted by least squares, so that the expected tokens of each domain, rate times tokens times posterior
 summed over all documents, meet the targets: projected gradient steps move the rates themselves and
 set negative ones to zero, until the projected gradient vanishes. Documents with the same properties
@@ -13,6 +15,7 @@ of its row, without a join.
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
 
@@ -28,6 +31,8 @@ DAMPING = (1e-9, 1e-6, 1e-4, 1e-3, 1e-2, 1e-1, 1.0)  # share of plain gradient i
 LENGTHS = tuple(2.0 ** -k for k in range(-2, 10))  # step lengths tried in each direction
 MAX_DOMAINS = 256
 DRAW = 1 << 20
+BUCKETS = 1 << 13  # of hashed words
+LEVELS = 32  # of what the words say for a domain
 #: Properties of a text and how many values each has.
 PROPERTIES = {"lang": 256, "size": 32, "wide": 12, "marks": 12, "digits": 12, "shouts": 12, "lines": 9}
 
@@ -39,10 +44,14 @@ def _level(part: Column, whole: Column) -> Column:
 
 
 def properties(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``n_tokens`` (words), ``draw`` (0 to 1, by hash) and ``cells``, its properties."""
+    """``docs`` with ``n_tokens`` (words), ``draw`` (0 to 1, by hash), ``cells``, its properties, and
+    ``buckets``, the hashes of its lower-case words, each once."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     length = F.length(text)
-    words = F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""))
+    listed = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    words = F.size(listed)
+    distinct = F.array_distinct(F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), ""))
+    buckets = F.array_distinct(F.transform(distinct, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
     values = {
         "lang": F.pmod(F.hash(F.col("lang").cast("string")), F.lit(PROPERTIES["lang"])),
         "size": F.length(F.bin(words)),
@@ -54,22 +63,66 @@ def properties(docs: DataFrame) -> DataFrame:
     }
     cells = F.array(*[F.least(v.cast("int"), F.lit(PROPERTIES[k] - 1)) for k, v in values.items()])
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text), F.lit(DRAW)) / float(DRAW)
-    return docs.withColumns({"n_tokens": words.cast("long"), "draw": draw, "cells": cells})
+    return docs.withColumns({"n_tokens": words.cast("long"), "draw": draw, "cells": cells, "buckets": buckets})
+
+
+def constant(values: list) -> Column:
+    """Nested lists of numbers as one literal, which is folded once; thousands of literals take long to plan."""
+    kind = "array<" * (depth := 1 + isinstance(values[0], list)) + "double" + ">" * depth
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+class Words:
+    """Log ratios of hashed words for each domain against the others, from both halves of the labelled rows.
+
+    ``marked`` has ``buckets``, ``domain`` and ``half`` (0 or 1). At most as many counts as buckets,
+    domains and halves come back. Counts are smoothed by one.
+    """
+
+    def __init__(self, marked: DataFrame, domains: list):
+        at = {d: k for k, d in enumerate(domains)}
+        sizes, counts = np.zeros((2, len(domains))), np.zeros((2, len(domains), BUCKETS))
+        for r in marked.groupBy("domain", "half").agg(F.count(F.lit(1)).alias("n")).collect():
+            sizes[r["half"], at[r["domain"]]] = r["n"]
+        for r in marked.select("domain", "half", F.explode("buckets").alias("bucket")).groupBy(
+                "domain", "half", "bucket").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
+            counts[r["half"], at[r["domain"]], r["bucket"]] = r["n"]
+        self.whole = self._ratios(sizes.sum(axis=0), counts.sum(axis=0))
+        self.other = [self._ratios(sizes[1 - h], counts[1 - h]) for h in (0, 1)]
+
+    @staticmethod
+    def _ratios(sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        rest, seen = sizes.sum() - sizes, counts.sum(axis=0) - counts
+        return np.log((counts + 1) / (sizes[:, None] + 2)) - np.log((seen + 1) / (rest[:, None] + 2))
+
+    @staticmethod
+    def _levels(ratios: np.ndarray) -> Column:
+        levels = []
+        for table in map(constant, np.round(ratios, 2).tolist()):
+            score = F.aggregate("buckets", F.lit(0.0), lambda acc, b: acc + F.get(table, b))
+            size = F.least(F.floor(F.lit(2.0) * F.log2(F.lit(1.0) + F.abs(score))), F.lit(LEVELS // 2 - 1))
+            levels.append((F.lit(LEVELS // 2) + F.signum(score) * size).cast("int"))
+        return F.array(*levels)
+
+    def cells(self) -> Column:
+        """``cells`` with a level for each domain behind, from ``cells`` and ``buckets``."""
+        return F.concat("cells", self._levels(self.whole))
+
+    def cells_of_halves(self) -> Column:
+        """The same for labelled rows, each by what the other half has learned."""
+        one, two = (self._levels(r) for r in self.other)
+        return F.concat("cells", F.when(F.col("half") == 0, one).otherwise(two))
 
 
 class Classifier:
     """Log priors and, for each property and value, log likelihoods of the domains."""
 
-    def __init__(self, marked: DataFrame):
-        """``marked`` has ``cells`` and ``domain``. Counts are smoothed by one."""
-        sizes = marked.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy("domain").limit(
-            MAX_DOMAINS + 1).collect()
-        if len(sizes) > MAX_DOMAINS:
-            raise ValueError(f"more than {MAX_DOMAINS} domains")
-        self.domains, n = [r["domain"] for r in sizes], [r["n"] for r in sizes]
+    def __init__(self, marked: DataFrame, sizes: dict):
+        """``marked`` has ``cells`` and ``domain``; ``sizes`` its rows by domain. Counts are smoothed by one."""
+        self.domains, n = list(sizes), list(sizes.values())
         at = {d: k for k, d in enumerate(self.domains)}
         self.priors = [math.log(m / sum(n)) for m in n]
-        widths = list(PROPERTIES.values())
+        widths = [*PROPERTIES.values(), *[LEVELS] * len(n)]
         self.logs = [[[math.log(1 / (m + w)) for m in n] for _ in range(w)] for w in widths]
         # At most as many rows as the properties have values, for each domain.
         counts = marked.select("domain", F.posexplode("cells").alias("property", "value")).groupBy(
@@ -82,7 +135,7 @@ class Classifier:
         """Log probabilities of the domains but for a constant, from the column ``cells``."""
         parts = [F.lit(self.priors)]
         for k, table in enumerate(self.logs):
-            parts.append(F.element_at(F.array(*[F.lit(row) for row in table]), F.col("cells")[k] + 1))
+            parts.append(F.element_at(constant(table), F.col("cells")[k] + 1))
         logs = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), parts)
         return logs
 
@@ -117,8 +170,8 @@ class Rates:
         start = F.lit(max(1.0, self.floor))
         if not self.steps:
             return start
-        taken = F.array(*[F.struct(F.lit(g.tolist()).alias("slope"), F.lit(v.tolist()).alias("move"))
-                          for g, v in self.steps])
+        slopes, moves = (constant([x.tolist() for x in part]) for part in zip(*self.steps))
+        taken = F.zip_with(slopes, moves, lambda g, v: F.struct(g.alias("slope"), v.alias("move")))
         return F.aggregate(taken, start, lambda r, x: _moved(
             r, _dot(F.col("posterior"), x["slope"]), _dot(F.col("posterior"), x["move"]), self.floor))
 
@@ -134,7 +187,7 @@ def _state(soft: DataFrame, rates: Rates, slope: np.ndarray) -> tuple[float, np.
     the rows whose rate can move, summed over their tokens."""
     k, low = len(slope), F.lit(rates.floor)
     row = soft.select(F.col("tokens").cast("double").alias("n"), "posterior", rates.column().alias("r"),
-                      _dot(F.col("posterior"), F.lit(slope.tolist())).alias("g"))
+                      _dot(F.col("posterior"), constant(slope.tolist())).alias("g"))
     far = F.col("r") - F.greatest(low, F.col("r") - F.col("g"))
     free = F.when((F.col("r") <= low) & (F.col("g") > 0), F.lit(0.0)).otherwise(F.col("n"))
     parts = F.concat(F.array(F.col("n") * far * far), F.flatten(F.transform("posterior", lambda a: F.transform(
@@ -150,8 +203,8 @@ def _tried(soft: DataFrame, rates: Rates, slope: np.ndarray, moves: list[np.ndar
     """Totals of the domains after each of some steps, all in one pass."""
     k = len(slope)
     row = soft.select(F.col("tokens").cast("double").alias("n"), "posterior", rates.column().alias("r"),
-                      _dot(F.col("posterior"), F.lit(slope.tolist())).alias("g"))
-    each = row.select("n", "posterior", "r", "g", F.posexplode(F.array(*[F.lit(m.tolist()) for m in moves])).alias(
+                      _dot(F.col("posterior"), constant(slope.tolist())).alias("g"))
+    each = row.select("n", "posterior", "r", "g", F.posexplode(constant([m.tolist() for m in moves])).alias(
         "at", "move"))
     use = F.col("n") * _moved(F.col("r"), F.col("g"), _dot(F.col("posterior"), F.col("move")), rates.floor)
     sums = each.select("at", use.alias("use"), "posterior").groupBy("at").agg(
@@ -220,11 +273,17 @@ def _with_posterior(rows: DataFrame, model: Classifier) -> DataFrame:
 class Mix:
     """A fitted mix: give it documents and it adds their rates. See :func:`fit`."""
 
-    def __init__(self, model: Classifier | None, rate: Column):
-        self.model, self.rate = model, rate
+    def __init__(self, words: Words | None = None, model: Classifier | None = None):
+        self.words, self.model, self.rate = words, model, F.lit(1.0)
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """Rows of :func:`properties` with all cells and without ``buckets``."""
+        if self.words is None:
+            return rows.drop("buckets")
+        return rows.withColumn("cells", self.words.cells()).drop("buckets")
 
     def apply(self, rows: DataFrame) -> DataFrame:
-        """Rows with ``cells`` and ``draw``, plus ``posterior`` (map by domain), ``rate``, ``copies``."""
+        """Rows of :meth:`placed`, plus ``posterior`` (map by domain), ``rate``, ``copies``."""
         if self.model is None:
             return rows.withColumns({
                 "posterior": F.create_map().cast("map<string,double>"), "rate": F.lit(1.0), "copies": F.lit(1)})
@@ -234,52 +293,69 @@ class Mix:
         return rated.withColumn("copies", (whole + (F.col("draw") < F.col("rate") - whole).cast("int")).cast("int"))
 
 
-def fit(narrow: DataFrame, labelled: DataFrame, weights: dict[str, float], keep_all: bool = False) -> Mix:
-    """The mix of documents (``doc_id, n_tokens, cells``) that meets ``weights``.
-
-    ``labelled`` has doc_id and domain (ids with several domains count for each; NULLs count for
-    none). ``weights`` are relative; domains without one get zero. The targets keep the number of
-    tokens; with ``keep_all`` no rate falls below 1 and the targets are the least totals in these
-    proportions that need no document dropped. Without any labelled document all rates are 1.
-    """
+def learn(docs: DataFrame, labelled: DataFrame) -> Mix:
+    """The classifier from the documents (doc_id, text, lang) that ``labelled`` gives a domain; no rates yet."""
     known = labelled.select("doc_id", F.col("domain").cast("string").alias("domain")).dropna().distinct()
-    marked = cut(narrow.select("doc_id", "cells").join(known, "doc_id").select("cells", "domain"))
-    if marked.isEmpty():
-        return Mix(None, F.lit(1.0))
-    model = Classifier(marked)
-    share = [max(float(weights.get(d, 0.0)), 0.0) for d in model.domains]
+    half = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(2)).cast("int")
+    rows = properties(docs.join(known.select("doc_id").distinct(), "doc_id", "left_semi"))
+    marked = cut(rows.select("doc_id", "cells", "buckets").join(known, "doc_id").select(
+        "cells", "buckets", "domain", half.alias("half")))
+    sizes = {r["domain"]: r["n"] for r in marked.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(
+        "domain").limit(MAX_DOMAINS + 1).collect()}
+    if len(sizes) > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} domains")
+    if not sizes:
+        return Mix()
+    words = Words(marked, list(sizes))
+    return Mix(words, Classifier(marked.select(words.cells_of_halves().alias("cells"), "domain"), sizes))
+
+
+def fit(mix: Mix, narrow: DataFrame, weights: dict[str, float], keep_all: bool = False) -> Mix:
+    """``mix`` with the rates of documents (``n_tokens, cells`` of :meth:`Mix.placed`) that meet ``weights``.
+
+    ``weights`` are relative; domains without one get zero. The targets keep the number of tokens;
+    with ``keep_all`` no rate falls below 1 and the targets are the least totals in these proportions
+    that need no document dropped. Without any labelled document all rates are 1.
+    """
+    if mix.model is None:
+        return mix
+    share = [max(float(weights.get(d, 0.0)), 0.0) for d in mix.model.domains]
     if not sum(share):
         raise ValueError("no weight for any labelled domain")
-    soft = cut(_with_posterior(narrow.groupBy("cells").agg(F.sum("n_tokens").alias("tokens")), model))
+    soft = cut(_with_posterior(narrow.groupBy("cells").agg(F.sum("n_tokens").alias("tokens")), mix.model).select(
+        "posterior", "tokens"))
     base = _totals(soft, F.lit(1.0), len(share))
     total = sum(base)
     if keep_all:
         total = max((b * sum(share) / s for b, s in zip(base, share) if s > 0), default=total)
-    targets = [total * s / sum(share) for s in share]
-    return Mix(model, fit_rates(soft, targets, 1.0 if keep_all else 0.0))
-
-
-NARROW = ["doc_id", "n_tokens", "draw", "cells"]
+    mix.rate = fit_rates(soft, [total * s / sum(share) for s in share], 1.0 if keep_all else 0.0)
+    return mix
 
 
 def judged(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], keep_all: bool = False) -> DataFrame:
     """``doc_id, n_tokens, posterior, rate, copies`` for each row of ``docs`` (doc_id, text, lang).
 
-    ``copies`` is the rate rounded up or down by a hash of doc_id and text, so that its expectation
-    is the rate. A NULL or empty text has no tokens. Repeated rows are judged alike. Other columns
-    are ignored. See :func:`fit` for the rest.
+    ``labelled`` has doc_id and domain (ids with several domains count for each; NULLs count for
+    none). ``copies`` is the rate rounded up or down by a hash of doc_id and text, so that its
+    expectation is the rate. A NULL or empty text has no tokens. Repeated rows are judged alike.
+    Other columns are ignored. See :func:`fit` for the rest.
     """
-    narrow = cut(properties(docs.select("doc_id", "text", "lang")).select(*NARROW))
-    mix = fit(narrow, labelled, weights, keep_all)
-    return mix.apply(narrow).select("doc_id", "n_tokens", "posterior", "rate", "copies")
+    texts = docs.select("doc_id", "text", "lang")
+    mix = learn(texts, labelled)
+    narrow = cut(mix.placed(properties(texts).drop("text", "lang")))
+    return fit(mix, narrow, weights, keep_all).apply(narrow).select(
+        "doc_id", "n_tokens", "posterior", "rate", "copies")
 
 
 def repeated(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], keep_all: bool = True) -> DataFrame:
     """The rows of ``docs``, each as often as its copies, columns unchanged; no text is shuffled."""
+    texts = docs.select("doc_id", "text", "lang")
+    mix = learn(texts, labelled)
+    fit(mix, cut(mix.placed(properties(texts).drop("text", "lang"))), weights, keep_all)
     row = docs.select(F.struct("*").alias("__row"), "doc_id", "text", "lang")
-    mix = fit(cut(properties(row).select(*NARROW)), labelled, weights, keep_all)
     # Through a one-row generator: what follows would else be merged with the properties and scan the text
     # again for each of its uses.
-    bound = properties(row).select("__row", F.inline(F.array(F.struct("n_tokens", "draw", "cells"))))
+    found = F.struct("n_tokens", "draw", "cells", "buckets")
+    bound = mix.placed(properties(row).select("__row", F.inline(F.array(found))))
     return mix.apply(bound).filter("copies > 0").select(
         "__row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("__row.*")
