@@ -15,7 +15,6 @@ of its row, without a join.
 
 from __future__ import annotations
 
-import json
 import math
 from functools import reduce
 
@@ -27,12 +26,12 @@ from citeharbor.sources.stages import cut
 
 STEPS = 500  # more is an error; ten to fifty are usual
 SETTLED = 1e-6  # length of the projected gradient at which the fit ends
-DAMPING = (1e-9, 1e-6, 1e-4, 1e-3, 1e-2, 1e-1, 1.0)  # share of plain gradient in the directions of a step
-LENGTHS = tuple(2.0 ** -k for k in range(-2, 10))  # step lengths tried in each direction
+DAMPING = (1e-9, 1e-4, 1e-2, 1e-1)  # share of plain gradient in the directions of a step
+LENGTHS = (4.0, 2.0, 1.0, 0.5, 2.0 ** -4, 2.0 ** -9)  # step lengths tried in each direction
 MAX_DOMAINS = 256
 DRAW = 1 << 20
 BUCKETS = 1 << 13  # of hashed words
-LEVELS = 32  # of what the words say for a domain
+LEVELS = 16  # of what the words say for a domain
 #: Properties of a text and how many values each has.
 PROPERTIES = {"lang": 256, "size": 32, "wide": 12, "marks": 12, "digits": 12, "shouts": 12, "lines": 9}
 
@@ -50,8 +49,8 @@ def properties(docs: DataFrame) -> DataFrame:
     length = F.length(text)
     listed = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
     words = F.size(listed)
-    distinct = F.array_distinct(F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), ""))
-    buckets = F.array_distinct(F.transform(distinct, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
+    buckets = F.array_distinct(F.transform(
+        listed, lambda w: F.pmod(F.xxhash64(F.lower(w)), F.lit(BUCKETS)).cast("int")))
     values = {
         "lang": F.pmod(F.hash(F.col("lang").cast("string")), F.lit(PROPERTIES["lang"])),
         "size": F.length(F.bin(words)),
@@ -67,9 +66,11 @@ def properties(docs: DataFrame) -> DataFrame:
 
 
 def constant(values: list) -> Column:
-    """Nested lists of numbers as one literal, which is folded once; thousands of literals take long to plan."""
-    kind = "array<" * (depth := 1 + isinstance(values[0], list)) + "double" + ">" * depth
-    return F.from_json(F.lit(json.dumps(values)), kind)
+    """A list of numbers, or of such lists, as a literal that is folded once; a literal for each number
+    takes long to plan."""
+    if isinstance(values[0], list):
+        return F.array(*[constant(x) for x in values])
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
 class Words:
@@ -84,9 +85,12 @@ class Words:
         sizes, counts = np.zeros((2, len(domains))), np.zeros((2, len(domains), BUCKETS))
         for r in marked.groupBy("domain", "half").agg(F.count(F.lit(1)).alias("n")).collect():
             sizes[r["half"], at[r["domain"]]] = r["n"]
-        for r in marked.select("domain", "half", F.explode("buckets").alias("bucket")).groupBy(
-                "domain", "half", "bucket").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
-            counts[r["half"], at[r["domain"]], r["bucket"]] = r["n"]
+        each = marked.select("domain", "half", F.explode("buckets").alias("bucket")).groupBy(
+            "domain", "half", "bucket").agg(F.count(F.lit(1)).alias("n"))
+        listed = F.array_join(F.collect_list(F.concat_ws(" ", "bucket", "n")), " ")
+        for r in each.groupBy("domain", "half").agg(listed.alias("pairs")).collect():
+            pairs = np.array(r["pairs"].split(), dtype=np.int64)
+            counts[r["half"], at[r["domain"]], pairs[::2]] = pairs[1::2]
         self.whole = self._ratios(sizes.sum(axis=0), counts.sum(axis=0))
         self.other = [self._ratios(sizes[1 - h], counts[1 - h]) for h in (0, 1)]
 
@@ -100,7 +104,7 @@ class Words:
         levels = []
         for table in map(constant, np.round(ratios, 2).tolist()):
             score = F.aggregate("buckets", F.lit(0.0), lambda acc, b: acc + F.get(table, b))
-            size = F.least(F.floor(F.lit(2.0) * F.log2(F.lit(1.0) + F.abs(score))), F.lit(LEVELS // 2 - 1))
+            size = F.least(F.floor(F.log2(F.lit(1.0) + F.abs(score))), F.lit(LEVELS // 2 - 1))
             levels.append((F.lit(LEVELS // 2) + F.signum(score) * size).cast("int"))
         return F.array(*levels)
 
@@ -146,8 +150,8 @@ def softmax(logs: str) -> Column:
     return F.transform(raw, lambda x: x / whole)
 
 
-def _dot(a, b) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+def _dot(a: Column, b: Column, k: int) -> Column:
+    return reduce(lambda x, y: x + y, [F.get(a, F.lit(i)) * F.get(b, F.lit(i)) for i in range(k)])
 
 
 def _moved(rate: Column, slope: Column, move: Column, floor: float) -> Column:
@@ -172,8 +176,9 @@ class Rates:
             return start
         slopes, moves = (constant([x.tolist() for x in part]) for part in zip(*self.steps))
         taken = F.zip_with(slopes, moves, lambda g, v: F.struct(g.alias("slope"), v.alias("move")))
+        k = len(self.steps[0][0])
         return F.aggregate(taken, start, lambda r, x: _moved(
-            r, _dot(F.col("posterior"), x["slope"]), _dot(F.col("posterior"), x["move"]), self.floor))
+            r, _dot(F.col("posterior"), x["slope"], k), _dot(F.col("posterior"), x["move"], k), self.floor))
 
 
 def _totals(soft: DataFrame, rate: Column, k: int) -> list[float]:
@@ -187,7 +192,7 @@ def _state(soft: DataFrame, rates: Rates, slope: np.ndarray) -> tuple[float, np.
     the rows whose rate can move, summed over their tokens."""
     k, low = len(slope), F.lit(rates.floor)
     row = soft.select(F.col("tokens").cast("double").alias("n"), "posterior", rates.column().alias("r"),
-                      _dot(F.col("posterior"), constant(slope.tolist())).alias("g"))
+                      _dot(F.col("posterior"), constant(slope.tolist()), k).alias("g"))
     far = F.col("r") - F.greatest(low, F.col("r") - F.col("g"))
     free = F.when((F.col("r") <= low) & (F.col("g") > 0), F.lit(0.0)).otherwise(F.col("n"))
     parts = F.concat(F.array(F.col("n") * far * far), F.flatten(F.transform("posterior", lambda a: F.transform(
@@ -203,10 +208,10 @@ def _tried(soft: DataFrame, rates: Rates, slope: np.ndarray, moves: list[np.ndar
     """Totals of the domains after each of some steps, all in one pass."""
     k = len(slope)
     row = soft.select(F.col("tokens").cast("double").alias("n"), "posterior", rates.column().alias("r"),
-                      _dot(F.col("posterior"), constant(slope.tolist())).alias("g"))
+                      _dot(F.col("posterior"), constant(slope.tolist()), k).alias("g"))
     each = row.select("n", "posterior", "r", "g", F.posexplode(constant([m.tolist() for m in moves])).alias(
         "at", "move"))
-    use = F.col("n") * _moved(F.col("r"), F.col("g"), _dot(F.col("posterior"), F.col("move")), rates.floor)
+    use = F.col("n") * _moved(F.col("r"), F.col("g"), _dot(F.col("posterior"), F.col("move"), k), rates.floor)
     sums = each.select("at", use.alias("use"), "posterior").groupBy("at").agg(
         *[F.sum(F.col("use") * F.col("posterior")[i]) for i in range(k)]).collect()
     out = np.zeros((len(moves), k))
@@ -293,11 +298,10 @@ class Mix:
         return rated.withColumn("copies", (whole + (F.col("draw") < F.col("rate") - whole).cast("int")).cast("int"))
 
 
-def learn(docs: DataFrame, labelled: DataFrame) -> Mix:
-    """The classifier from the documents (doc_id, text, lang) that ``labelled`` gives a domain; no rates yet."""
+def learn(rows: DataFrame, labelled: DataFrame) -> Mix:
+    """The classifier from those ``rows`` of :func:`properties` that ``labelled`` gives a domain; no rates yet."""
     known = labelled.select("doc_id", F.col("domain").cast("string").alias("domain")).dropna().distinct()
     half = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(2)).cast("int")
-    rows = properties(docs.join(known.select("doc_id").distinct(), "doc_id", "left_semi"))
     marked = cut(rows.select("doc_id", "cells", "buckets").join(known, "doc_id").select(
         "cells", "buckets", "domain", half.alias("half")))
     sizes = {r["domain"]: r["n"] for r in marked.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(
@@ -332,6 +336,11 @@ def fit(mix: Mix, narrow: DataFrame, weights: dict[str, float], keep_all: bool =
     return mix
 
 
+def _seen(docs: DataFrame) -> DataFrame:
+    """Properties of the texts without the texts, which are read once for them."""
+    return cut(properties(docs.select("doc_id", "text", "lang")).drop("text", "lang"))
+
+
 def judged(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], keep_all: bool = False) -> DataFrame:
     """``doc_id, n_tokens, posterior, rate, copies`` for each row of ``docs`` (doc_id, text, lang).
 
@@ -340,22 +349,23 @@ def judged(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], keep
     expectation is the rate. A NULL or empty text has no tokens. Repeated rows are judged alike.
     Other columns are ignored. See :func:`fit` for the rest.
     """
-    texts = docs.select("doc_id", "text", "lang")
-    mix = learn(texts, labelled)
-    narrow = cut(mix.placed(properties(texts).drop("text", "lang")))
+    rows = _seen(docs)
+    mix = learn(rows, labelled)
+    narrow = cut(mix.placed(rows))
     return fit(mix, narrow, weights, keep_all).apply(narrow).select(
         "doc_id", "n_tokens", "posterior", "rate", "copies")
 
 
 def repeated(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], keep_all: bool = True) -> DataFrame:
     """The rows of ``docs``, each as often as its copies, columns unchanged; no text is shuffled."""
-    texts = docs.select("doc_id", "text", "lang")
-    mix = learn(texts, labelled)
-    fit(mix, cut(mix.placed(properties(texts).drop("text", "lang"))), weights, keep_all)
+    rows = _seen(docs)
+    mix = learn(rows, labelled)
+    fit(mix, mix.placed(rows), weights, keep_all)
     row = docs.select(F.struct("*").alias("__row"), "doc_id", "text", "lang")
-    # Through a one-row generator: what follows would else be merged with the properties and scan the text
-    # again for each of its uses.
+    # Through one-row generators: what follows would else be merged with what they hold, and scan the text
+    # or add up its words again for each of its uses.
     found = F.struct("n_tokens", "draw", "cells", "buckets")
-    bound = mix.placed(properties(row).select("__row", F.inline(F.array(found))))
+    placed = mix.placed(properties(row).select("__row", F.inline(F.array(found))))
+    bound = placed.select("__row", F.inline(F.array(F.struct("n_tokens", "draw", "cells"))))
     return mix.apply(bound).filter("copies > 0").select(
         "__row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("__row.*")
