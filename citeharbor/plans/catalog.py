@@ -325,7 +325,7 @@ def q_detection_refresh(spark, sf_dir):
     documents = read_table(spark, sf_dir, "documents")
 
     def write(name, rows):
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
 
     def build(rows):
         found = detect.with_detection(fixtures.articles_of(rows))
