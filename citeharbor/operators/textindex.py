@@ -23,6 +23,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeharbor.functions.core import let
 from citeharbor.operators.views import SEARCH_COLUMNS, article_condition
 from citeharbor.sources.stages import cut
 
@@ -134,8 +135,12 @@ def _holds(need, grams: Column) -> Column:
 # --- the index -------------------------------------------------------------------------
 
 def _grams(text: Column) -> Column:
-    return F.when(F.length(text) >= 3, F.transform(
-        F.sequence(F.lit(1), F.length(text) - 2), lambda i: text.substr(i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    """The triples of a text, from the list of its characters: a substring would be looked for from the start."""
+    def triples(letters: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(letters) - 3), lambda i: F.concat(
+            F.get(letters, i), F.get(letters, i + 1), F.get(letters, i + 2)))
+
+    return F.when(F.length(text) >= 3, let(F.split(text, ""), triples)).otherwise(F.array().cast("array<string>"))
 
 
 def postings(articles: DataFrame, key: str = "seq", columns: Sequence[str] = SEARCH_COLUMNS) -> DataFrame:

@@ -1,5 +1,6 @@
 """What a query reads in one task, shuffles and computes grows no faster than its input."""
 
+from citeharbor.operators import textindex
 from citeharbor.plans import catalog
 from conftest import plan_text
 
@@ -19,3 +20,14 @@ def test_refresh_folder_is_written_by_as_many_tasks_as_read_it(spark, tmp_path,
     assert sorted(r["seq"] for r in rows) == [i for i in range(80) if i % 5 != 2] and all(r["has_icpsr"] for r in rows)
     for name in ("part0", "part1", "part3", "part4"):
         assert len(list((tmp_path / "folder" / name).glob("*.parquet"))) > 1
+
+
+def test_triples_are_not_looked_for_from_the_start_of_the_text(spark):
+    texts = ["", "ab", "abc", "Élan ΣΑΡ", "a\U0001f600b\U0001f600", "x\ny z", None, "abcab" * 3]
+    frame = spark.createDataFrame(list(enumerate(texts)), "seq long, title string")
+    found = textindex.postings(frame)
+    low = [(t or "").lower() for t in texts]
+    want = {(t[i:i + 3], n) for n, t in enumerate(low) for i in range(len(t) - 2)}
+    got = {(r["gram"], n) for r in found.collect() for n in r["rows"]}
+    assert got == want
+    assert "substring(" not in plan_text(found) and "substr(" not in plan_text(found)
