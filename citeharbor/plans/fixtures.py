@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeharbor.functions.core import as_column, let
 from citeharbor.functions.patterns import ARCHIVE
 from citeharbor.operators.references import with_evidence
 from citeharbor.sources.readers import read_table, spread
@@ -145,12 +146,33 @@ def articles_with_urls(spark: SparkSession, sf_dir: str,
                 pages=read_table(spark, sf_dir, "pages")).drop("fulltext")
 
 
+def gathered(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, texts``: the texts of each key, which is one unless keys repeat; NULLs are left out."""
+    return texts.filter(F.col(text).isNotNull()).groupBy(key).agg(F.collect_list(text).alias("texts"))
+
+
+def word_positions(texts: Column | str) -> Column:
+    """A list of texts as one map from word to its positions; NULL stays NULL.
+
+    The words are sorted inside the row and cut where another word begins; nothing is shuffled.
+    """
+    texts = as_column(texts)
+    tokens = F.flatten(F.transform(texts, lambda t: F.transform(
+        F.split(t, " "), lambda w, i: F.struct(w.alias("word"), i.alias("pos")))))
+
+    def entries(tokens: Column) -> Column:
+        begins = F.array_compact(F.transform(tokens, lambda x, i: F.when(
+            ~x["word"].eqNullSafe(F.get(tokens, i - 1)["word"]), i)))
+        places = F.transform(tokens, lambda x: x["pos"])
+        return let(places, lambda places: let(begins, lambda begins: F.transform(begins, lambda i, k: F.struct(
+            F.get(tokens, i)["word"], F.slice(places, i + 1, F.coalesce(F.get(begins, k + 1), F.size(tokens)) - i)))))
+
+    return F.when(texts.isNotNull(), F.map_from_entries(let(F.sort_array(tokens), entries)))
+
+
 def word_index(texts: DataFrame, key: str, text: str) -> DataFrame:
     """``key, word_index``: each text as a map from word to its positions."""
-    tokens = texts.select(key, F.posexplode(F.split(text, " ")).alias("pos", "word"))
-    return (tokens.groupBy(key, "word").agg(F.collect_list("pos").alias("positions"))
-            .groupBy(key).agg(F.map_from_entries(
-                F.collect_list(F.struct("word", "positions"))).alias("word_index")))
+    return gathered(texts, key, text).select(key, word_positions("texts").alias("word_index"))
 
 
 def nested_works(spark: SparkSession, sf_dir: str, with_abstract: bool = True) -> DataFrame:

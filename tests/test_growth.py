@@ -1,7 +1,7 @@
 """What a query reads in one task, shuffles and computes grows no faster than its input."""
 
 from citeharbor.operators import textindex
-from citeharbor.plans import catalog
+from citeharbor.plans import catalog, fixtures
 from conftest import plan_text
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -31,3 +31,16 @@ def test_triples_are_not_looked_for_from_the_start_of_the_text(spark):
     got = {(r["gram"], n) for r in found.collect() for n in r["rows"]}
     assert got == want
     assert "substring(" not in plan_text(found) and "substr(" not in plan_text(found)
+
+
+def test_word_index_shuffles_each_text_once(spark):
+    rows = [(1, "b a  b "), (2, ""), (3, None), (4, "x y"), (4, "x y"), (None, "n"), (5, "É " + "w é " * 500)]
+    index = fixtures.word_index(documents(spark, rows), "doc_id", "text")
+    got = {r["doc_id"]: {w: sorted(p) for w, p in r["word_index"].items()} for r in index.collect()}
+    want = {}
+    for i, t in rows:
+        for place, word in enumerate([] if t is None else t.split(" ")):
+            want.setdefault(i, {}).setdefault(word, []).append(place)
+    assert got == {i: {w: sorted(p) for w, p in m.items()} for i, m in want.items()}
+    plan = plan_text(fixtures.word_index(documents(spark, rows), "doc_id", "text"))
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
