@@ -179,8 +179,10 @@ def nested_works(spark: SparkSession, sf_dir: str, with_abstract: bool = True) -
     """Works in the nested source layout."""
     if with_abstract:
         source = spread_articles(spark, sf_dir)
-        index = word_index(source.filter(F.trim("abstract_text") != ""), "seq", "abstract_text")
-        base = articles_with_urls(spark, sf_dir, source).join(index, "seq", "left")
+        abstracts = gathered(source.filter(F.trim("abstract_text") != ""), "seq", "abstract_text")
+        # The map is several times as large as the text and is made behind the join.
+        base = articles_with_urls(spark, sf_dir, source).join(abstracts, "seq", "left").withColumn(
+            "word_index", word_positions("texts"))
     else:
         base = articles_with_urls(spark, sf_dir).withColumn(
             "word_index", F.lit(None).cast("map<string,array<int>>"))

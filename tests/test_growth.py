@@ -44,3 +44,15 @@ def test_word_index_shuffles_each_text_once(spark):
     assert got == {i: {w: sorted(p) for w, p in m.items()} for i, m in want.items()}
     plan = plan_text(fixtures.word_index(documents(spark, rows), "doc_id", "text"))
     assert plan.count("Exchange") == 1 and "Generate" not in plan
+
+
+def test_works_are_joined_before_their_maps_are_made(spark, tmp_path):
+    documents(spark, [(i, f"w{i} w w{i}") for i in range(40)]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(3, "http://p/3", "<p>x</p>")], "page_id long, url string, html string").write.parquet(
+        str(tmp_path / "pages.parquet"))
+    flat = catalog.QUERIES["q_works_normalize"](spark, str(tmp_path))
+    assert {r["seq"]: r["abstract_text"] for r in flat.collect()} == {
+        i: None if i % 5 < 2 else f"w{i} w w{i}" for i in range(40)}
+    plan = plan_text(catalog.QUERIES["q_works_normalize"](spark, str(tmp_path)))
+    assert plan.count("map_from_entries(") == 1 and plan.index("map_from_entries(") < plan.index("Join")
+    assert "Generate" not in plan
