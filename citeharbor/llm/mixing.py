@@ -302,7 +302,8 @@ def learn(rows: DataFrame, labelled: DataFrame) -> Mix:
     """The classifier from those ``rows`` of :func:`properties` that ``labelled`` gives a domain; no rates yet."""
     known = labelled.select("doc_id", F.col("domain").cast("string").alias("domain")).dropna().distinct()
     half = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(2)).cast("int")
-    marked = cut(rows.select("doc_id", "cells", "buckets").join(known, "doc_id").select(
+    # Merged whatever the labels' size: they grow with the documents and are no broadcast.
+    marked = cut(rows.select("doc_id", "cells", "buckets").join(known.hint("merge"), "doc_id").select(
         "cells", "buckets", "domain", half.alias("half")))
     sizes = {r["domain"]: r["n"] for r in marked.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(
         "domain").limit(MAX_DOMAINS + 1).collect()}

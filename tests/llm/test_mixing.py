@@ -131,3 +131,12 @@ def test_effective_share(spark):
     assert mixing.effective_share(spark.createDataFrame([(10, 2.0)] * 4, "n_tokens long, rate double")) == pytest.approx(1)
     one = spark.createDataFrame([(10, 4.0)] + [(10, 0.0)] * 3, "n_tokens long, rate double")
     assert mixing.effective_share(one) == pytest.approx(0.25)
+
+
+def test_labels_are_no_broadcast_however_few(spark, docs, monkeypatch):
+    """They grow with the documents, and so must what is shuffled for them, from the start."""
+    plans, cut = [], mixing.cut
+    monkeypatch.setattr(mixing, "cut", lambda df: (plans.append(df._jdf.queryExecution().sparkPlan().toString()), cut(df))[1])
+    labels = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, domain string")
+    mixing.learn(mixing.properties(docs([(1, "x y"), (2, "z")])), labels)
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
