@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,6 +159,7 @@ def _prefixes(rarity, wanted=None):
                 leads[early[np.append(True, found.key[early][1:] != found.key[early][:-1])]] = True
                 # Sets of fewer than four words are similar to equal sets only.
                 keep = (place < prefix_length(found.size)[line]) & (leads & (found.size >= 4))[line]
+                keep &= rank[order] > 0  # alone in its bucket: no other line has the word
                 if wanted is not None:
                     slot = (found.words[order] >> np.uint64(32)).astype(np.int64) & ((1 << FILTER_BITS) - 1)
                     keep &= (wanted.value[slot >> 3] >> (slot & 7)) & 1 > 0
@@ -320,19 +322,21 @@ def _sets(batches):
     """Distinct words of the listed lines of each text."""
     for batch in batches:
         ids, packed, sizes, wanted = batch.columns
-        texts = pa.array([pa.decompress(p, decompressed_size=n, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass")
-                          for p, n in zip(packed.to_pylist(), sizes.to_pylist())], pa.large_string())
-        numbers = [set(w) for w in wanted.to_pylist()]
+        raw = b"".join(pa.decompress(p.as_buffer(), decompressed_size=n, codec="zstd", asbytes=True)
+                       for p, n in zip(packed, sizes.to_pylist()))
+        offsets = np.append(0, np.cumsum(sizes.to_numpy(), dtype=np.int64))
+        texts = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(offsets), pa.py_buffer(raw))
+        listed = pc.list_parent_indices(wanted).to_numpy() << 32 | pc.list_flatten(wanted).to_numpy()
         for span in W.spans(texts):
             found = Lines.of(*span)
-            keep = np.array([n in numbers[r] for r, n in zip(found.row.tolist(), found.number.tolist())], dtype=bool)
-            at = np.flatnonzero(keep)
+            at = np.flatnonzero(np.isin(found.row << 32 | found.number, listed))
             if not len(at):
                 continue
-            ends = np.append(found.starts[1:], len(found.words))
+            ends = pa.array(np.append(found.starts, len(found.words)).astype(np.int32))
+            sets = pa.ListArray.from_arrays(ends, pa.array(found.words.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(found.row[at])), pa.array(found.number[at].astype(np.int32)), pa.array(_half(found.key[at])),
-                 pa.array([found.words[found.starts[k]:ends[k]].view(np.int64) for k in at], pa.list_(pa.int64()))],
+                 sets.take(pa.array(at))],
                 ["doc_id", "line", "key", "words"])
 
 
@@ -340,10 +344,9 @@ def _compressed(text: str):
     """The column ``text`` as Zstandard, to shuffle less; and its size in bytes."""
     @F.arrow_udf("struct<packed:binary,size:int>")
     def packed(texts: pa.Array) -> pa.Array:
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
         return pa.StructArray.from_arrays(
-            [pa.array([pa.compress(r, codec="zstd", asbytes=True) for r in raw], pa.binary()),
-             pa.array([len(r) for r in raw], pa.int32())], ["packed", "size"])
+            [pa.array([pa.compress(t.as_buffer(), codec="zstd", asbytes=True) for t in texts], pa.binary()),
+             pc.binary_length(texts).cast(pa.int32())], ["packed", "size"])
 
     return packed(text)
 
