@@ -32,6 +32,7 @@ LIST_ROWS = 4096  # longer lists are compared block against block
 SHORT_LIST = 64  # lists up to this length are compared many at a time
 LONG_LINE = 96  # words from which a line has a bitmap of 256 parities instead of 64
 FILTER_BITS = 24  # of the bitmaps of documents and words that are still wanted, 2 MB each
+SPAN_BYTES = 1 << 18  # text taken at a time: arrays of 8 bytes for each byte stay below 4 MB, where new pages cost most
 
 
 @dataclass
@@ -53,9 +54,10 @@ class Lines:
         if not len(hashes):
             empty = np.zeros(0, dtype=np.int64)
             return cls(empty, empty, empty, empty, empty.view(np.uint64), empty)
-        breaks = np.append(0, np.cumsum(data == 10))
+        breaks = np.flatnonzero(data == 10)
         row = np.repeat(np.arange(rows), chunk.counts())
-        number = breaks[chunk.starts] - breaks[offsets[row]]
+        before = np.cumsum(np.bincount(np.searchsorted(chunk.starts, breaks), minlength=len(hashes)))[:len(hashes)]
+        number = before - np.searchsorted(breaks, offsets[:-1])[row]
         new = np.append(True, (row[1:] != row[:-1]) | (number[1:] != number[:-1]))
         line = np.cumsum(new) - 1
         order = _sorted(line, hashes)
@@ -68,6 +70,12 @@ class Lines:
         at = np.flatnonzero(new)
         return cls(row[at] + first, number[at], key, size, words, starts)
 
+    def only(self, keep: np.ndarray) -> Lines:
+        """Some of the lines."""
+        size = self.size[keep]
+        return Lines(self.row[keep], self.number[keep], self.key[keep], size,
+                     self.words[np.repeat(keep, self.size)], np.cumsum(size) - size)
+
 
 def _sorted(line: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Order by line, then hash; one sort of line number and leading hash bits where they fit."""
@@ -94,7 +102,7 @@ def _scan(batches):
     counts = np.zeros(1 << RARITY_BITS, dtype=np.int64)
     names = ["doc_id", "lines", "keys", "counts"]
     for batch in batches:
-        for run in W.spans(batch.column(1)):
+        for run in W.spans(batch.column(1), SPAN_BYTES):
             found = Lines.of(*run)
             counts += np.bincount(_bucket(found.words), minlength=len(counts))
             cuts = pa.array(np.searchsorted(found.row, run[0] + np.arange(run[1] + 1)).astype(np.int32))
@@ -129,10 +137,36 @@ def bitmaps(words: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarr
     return out.view(np.int64)
 
 
-#: ids: word (32 bits) and key (32 bits); sizes: words of the line and place in its order.
-PREFIX = "part int, ids long, doc_id long, line int, sizes long, b0 long, b1 long, b2 long, b3 long"
+#: list: word (32 bits) and part, in one number, which sorts faster than two; lines: line and key (32 bits each);
+#: sizes: words of the line and place in its order; wide: the other 192 parities of a line that has them.
+PREFIX = "list long, doc_id long, lines long, sizes long, b0 long, wide binary"
 PREFIX_NAMES = [c.split()[0] for c in PREFIX.split(", ")]
-LIST = ["word", "part"]
+LIST = ["list"]
+WIDE_BYTES = 24
+
+
+def _wide(bits: np.ndarray, long: np.ndarray) -> pa.Array:
+    """The parities of the long lines as bytes; NULL for the others."""
+    ends = np.append(0, np.cumsum(long) * WIDE_BYTES).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(long), [
+        pa.py_buffer(np.packbits(long, bitorder="little")), pa.py_buffer(ends),
+        pa.py_buffer(np.ascontiguousarray(bits[:, long].T))])
+
+
+def _unpacked(table: pa.Table) -> pa.Table:
+    """Rows of :data:`PREFIX` with the columns that :class:`_List` takes."""
+    lists, lines = (table[c].to_numpy() for c in ("list", "lines"))
+    wide = table["wide"].combine_chunks()
+    bits = np.zeros((4, len(table)), dtype=np.int64)
+    bits[0] = table["b0"].to_numpy()
+    if wide.null_count < len(wide):
+        long, kept = wide.is_valid().to_numpy(zero_copy_only=False), wide.drop_null().cast(pa.binary(WIDE_BYTES))
+        raw = np.frombuffer(kept.buffers()[1], dtype=np.int64)[kept.offset * 3:(kept.offset + len(kept)) * 3]
+        bits[1:, long] = raw.reshape(-1, 3).T
+    columns = {"ids": lists >> 32 << 32 | lines & 0xFFFFFFFF, "part": (lists & 0xFFFFFFFF).astype(np.int32),
+               "doc_id": table["doc_id"], "line": (lines >> 32).astype(np.int32), "sizes": table["sizes"],
+               **{f"b{k}": b for k, b in enumerate(bits)}}
+    return pa.table({**columns, **{c: table[c] for c in table.column_names if c == "words"}})
 
 
 def _prefixes(rarity, wanted=None):
@@ -140,12 +174,18 @@ def _prefixes(rarity, wanted=None):
 
     With a bitmap of words only those it has, and then each row holds the words of its line.
     """
+    def may(words):
+        slot = (words >> np.uint64(32)).astype(np.int64) & ((1 << FILTER_BITS) - 1)
+        return (wanted.value[slot >> 3] >> (slot & 7)) & 1 > 0
+
     def run(batches):
         order_of = rarity.value  # log-scaled counts, one byte for each bucket
         for batch in batches:
             ids = batch.column(0)
-            for span in W.spans(batch.column(1)):
+            for span in W.spans(batch.column(1), SPAN_BYTES):
                 found = Lines.of(*span)
+                if wanted is not None and len(found.key):
+                    found = found.only(np.logical_or.reduceat(may(found.words), found.starts))
                 if not len(found.key):
                     continue
                 line = np.repeat(np.arange(len(found.key)), found.size)
@@ -161,8 +201,7 @@ def _prefixes(rarity, wanted=None):
                 keep = (place < prefix_length(found.size)[line]) & (leads & (found.size >= 4))[line]
                 keep &= rank[order] > 0  # alone in its bucket: no other line has the word
                 if wanted is not None:
-                    slot = (found.words[order] >> np.uint64(32)).astype(np.int64) & ((1 << FILTER_BITS) - 1)
-                    keep &= (wanted.value[slot >> 3] >> (slot & 7)) & 1 > 0
+                    keep &= may(found.words[order])
                 order, line, place = order[keep], line[keep], place[keep]
                 words, rank = found.words[order], rank[order]
                 expected = 2.0 ** (rank / 8.0 + 0.125)
@@ -172,13 +211,12 @@ def _prefixes(rarity, wanted=None):
                 other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
                 low, high = np.minimum(own[again], other), np.maximum(own[again], other)
                 line, n = line[again], blocks[again]
-                key = found.key.view(np.uint64) & np.uint64(0xFFFFFFFF)
-                packed = (words[again] >> np.uint64(32) << np.uint64(32)) | key[line]
+                lists = (words[again] >> np.uint64(32) << np.uint64(32)).view(np.int64) | (low * n + high)
+                lines = found.number << 32 | found.key & 0xFFFFFFFF
                 bits = bitmaps(found.words, found.starts, found.size)
-                columns = [pa.array(x) for x in (
-                    (low * n + high).astype(np.int32), packed.view(np.int64), doc[line],
-                    found.number[line].astype(np.int32), found.size[line] << 32 | place[again],
-                    *bits[:, line])]
+                columns = [*[pa.array(x) for x in (
+                    lists, doc[line], lines[line], found.size[line] << 32 | place[again], bits[0, line])],
+                    _wide(bits[1:, line], found.size[line] >= LONG_LINE)]
                 if wanted is None:
                     yield pa.RecordBatch.from_arrays(columns, PREFIX_NAMES)
                     continue
@@ -201,11 +239,18 @@ class _List:
         part, doc, line = (table[c].to_numpy() for c in ("part", "doc_id", "line"))
         word, key = ids >> np.uint64(32), (ids & np.uint64(0xFFFFFFFF))
         group = np.cumsum(np.append(0, (word[1:] != word[:-1]) | (part[1:] != part[:-1])))
-        # Half a key does not tell sets apart: their sizes and bitmaps must be equal as well.
-        same = [table[c].to_numpy() for c in ("sizes", "b0", "b1", "b2", "b3")] + [key, group]
-        order = np.lexsort((line, doc, *same))
-        first = np.append(True, np.any([x[order][1:] != x[order][:-1] for x in same], axis=0))
-        order = order[first]
+        halves = group.astype(np.uint64) << np.uint64(32) | key
+        order = np.argsort(halves)
+        again = halves[order][1:] == halves[order][:-1]
+        twins = order[np.append(again, False) | np.append(False, again)]
+        keep = np.ones(len(group), dtype=bool)
+        if len(twins):
+            # Half a key does not tell sets apart: their sizes and bitmaps must be equal as well.
+            same = [table[c].to_numpy()[twins] for c in ("sizes", "b0", "b1", "b2", "b3")] + [halves[twins]]
+            order = np.lexsort((line[twins], doc[twins], *same))
+            first = np.append(True, np.any([x[order][1:] != x[order][:-1] for x in same], axis=0))
+            keep[twins[order[~first]]] = False
+        order = np.flatnonzero(keep)
         order = order[np.lexsort((line[order], doc[order], group[order]))]
         self.order = order
         self.group, self.word, self.key = group[order], word[order], key[order]
@@ -265,7 +310,7 @@ def _candidates(witnesses: int):
     """Earlier lines of the same list that may be similar: the earliest few of each line."""
     def run(batches):
         for table in whole_groups(batches, LIST):
-            rows = _List(table)
+            rows = _List(_unpacked(table))
             for a, b in rows.pairs():
                 if not len(a):
                     continue
@@ -286,7 +331,7 @@ def _witnessed(batches):
     """Lines that have an earlier similar line in one of their lists, by their words; once each."""
     up, down = THRESHOLD
     for table in whole_groups(batches, LIST):
-        rows = _List(table)
+        rows = _List(_unpacked(table))
         sets = table["words"].combine_chunks().take(pa.array(rows.order))
         for start, n in zip(rows.starts[rows.lengths > 1], rows.lengths[rows.lengths > 1]):
             size = rows.size[start:start + n]
@@ -327,7 +372,7 @@ def _sets(batches):
         offsets = np.append(0, np.cumsum(sizes.to_numpy(), dtype=np.int64))
         texts = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(offsets), pa.py_buffer(raw))
         listed = pc.list_parent_indices(wanted).to_numpy() << 32 | pc.list_flatten(wanted).to_numpy()
-        for span in W.spans(texts):
+        for span in W.spans(texts, SPAN_BYTES):
             found = Lines.of(*span)
             at = np.flatnonzero(np.isin(found.row << 32 | found.number, listed))
             if not len(at):
@@ -432,7 +477,6 @@ class LineDedup:
 
     def _pairs(self, witnesses: int) -> DataFrame:
         rows = self.texts.filter("doc_id IS NOT NULL").mapInArrow(_prefixes(self.rarity), PREFIX)
-        rows = rows.withColumn("word", F.shiftright("ids", 32).cast("int"))
         return rows.repartition(*LIST).sortWithinPartitions(*LIST).mapInArrow(_candidates(witnesses), FOUND)
 
     def _whole_lists(self, lists: DataFrame) -> DataFrame:
@@ -440,7 +484,7 @@ class LineDedup:
         wanted = _bitmap(lists.select(F.pmod("word", F.lit(1 << FILTER_BITS)).cast("long").alias("slot")))
         rows = self.texts.filter("doc_id IS NOT NULL").mapInArrow(
             _prefixes(self.rarity, wanted), f"{PREFIX}, words array<long>")
-        rows = rows.withColumn("word", F.shiftright("ids", 32).cast("int")).join(lists, "word")
+        rows = rows.withColumn("word", F.shiftright("list", 32).cast("int")).join(lists, "word").drop("word")
         return rows.repartition(*LIST).sortWithinPartitions(*LIST).mapInArrow(
             _witnessed, "doc_id long, line int, key int")
 

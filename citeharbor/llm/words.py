@@ -50,7 +50,8 @@ def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
     """Polynomial hash modulo 2^64 of ``values[start:end]`` for each pair of bounds."""
     forward = powers(base, len(values))
     sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * forward, out=sums[1:])
+    np.multiply(values, forward, out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     return (sums[ends] - sums[starts]) * powers(_inverse(base), len(values) + 1)[starts]
 
 
@@ -59,7 +60,7 @@ class Chunk:
 
     def __init__(self, first_row: int, rows: int, data: np.ndarray, offsets: np.ndarray):
         self.first_row, self.rows, self.data = first_row, rows, data
-        space = SPACE[data]
+        space = (data == 32) | (data - np.uint8(9) < 5)  # as SPACE; below 9 the difference wraps
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[0] = edge[-1] = True
         edge[offsets] = True  # words never reach over the end of a text
@@ -83,7 +84,9 @@ class Chunk:
         """One 64-bit hash per word; equal words have equal hashes."""
         if not len(self.starts):
             return np.zeros(0, dtype=np.uint64)
-        raw = rolling(self.data.astype(np.uint64) + np.uint64(1), self.starts, self.ends, int(BASE))
+        values = self.data.astype(np.uint64)
+        values += np.uint64(1)
+        raw = rolling(values, self.starts, self.ends, int(BASE))
         return mix(raw + (self.ends - self.starts).astype(np.uint64))
 
 

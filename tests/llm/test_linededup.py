@@ -3,6 +3,7 @@
 import random
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -98,3 +99,32 @@ def test_different_sets_with_equal_half_keys_both_stay_in_a_list():
         "sizes": pa.array([10 << 32] * 3, pa.int64()), "b0": pa.array([1, 2, 2], pa.int64()),
         **{f"b{k}": pa.array([0] * 3, pa.int64()) for k in (1, 2, 3)}})
     assert linededup._List(table).doc.tolist() == [1, 2]
+
+
+def test_prefix_rows_are_narrow_and_sorted_by_one_number(docs):
+    """A row of a list holds the wide bitmap of long lines only, and gives back what the list takes."""
+    bits = np.arange(1, 13, dtype=np.int64).reshape(3, 4)
+    table = pa.table({
+        "list": pa.array([-7 << 32 | 3, 7 << 32, 8 << 32, 9 << 32]), "doc_id": pa.array([1, 2, 3, 4]),
+        "lines": pa.array([5 << 32 | 0xFFFFFFFF, 6 << 32 | 1, 2, 3]), "sizes": pa.array([100 << 32, 0, 96 << 32 | 1, 0]),
+        "b0": pa.array([20, 21, 22, 23]), "wide": linededup._wide(bits, np.array([True, False, True, False]))})
+    assert table["wide"].null_count == 2
+    got = linededup._unpacked(table)
+    assert got["ids"].to_pylist() == [-7 << 32 | 0xFFFFFFFF, 7 << 32 | 1, 8 << 32 | 2, 9 << 32 | 3]
+    assert got["part"].to_pylist() == [3, 0, 0, 0] and got["line"].to_pylist() == [5, 6, 0, 0]
+    assert [got[f"b{k}"].to_pylist() for k in range(4)] == [[20, 21, 22, 23], [1, 0, 3, 0], [5, 0, 7, 0], [9, 0, 11, 0]]
+    work = linededup.LineDedup(docs([(1, "a b c d e"), (2, "a b c d e f")]))
+    plan = work._pairs(4)._jdf.queryExecution().optimizedPlan().toString()
+    assert [x.split("[")[1].split(" ")[0].split("#")[0] for x in plan.splitlines() if "Sort [" in x] == ["list"]
+
+
+def test_no_work_array_reaches_the_size_of_huge_pages():
+    assert linededup.SPAN_BYTES * 8 < 1 << 22
+
+
+def test_only_keeps_the_lines_of_wanted_words():
+    raw = np.frombuffer(b"a b c\nd e\n\nf a", dtype=np.uint8)
+    found = linededup.Lines.of(0, 1, raw, np.array([0, len(raw)]))
+    some = found.only(np.array([True, False, True]))
+    assert some.number.tolist() == [0, 3] and some.size.tolist() == [3, 2] and some.starts.tolist() == [0, 3]
+    assert some.words.tolist() == [*found.words[:3], *found.words[5:]]
